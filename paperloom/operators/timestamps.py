@@ -119,7 +119,12 @@ def normalize_timestamps(df: DataFrame, id_col: str, date_col: str, profiles: Da
     rows = df.select(F.col(id_col).alias("row_id"), F.col(date_col).cast("string").alias("written"), src.alias("_source"))
     known = profiles.groupBy(F.col("source").cast("string").alias("_source")).agg(F.min("zone").alias("_zone"), F.min("slash_order").alias("_order"))
     trimmed = F.regexp_replace("written", r"(?U)\A[\s\[\](){}<>]+|[\s\[\](){}<>]+\z", "")
-    f = rows.join(known, "_source", "left").withColumn("_s", F.regexp_replace(trimmed, r"(?U)\s+", " "))
+    if source is None:
+        rows = rows.join(known, "_source", "left")
+    else:  # one row of the lookup, so its values are constants
+        zone, order = known.filter(F.col("_source") == source).select("_zone", "_order").first() or (None, None)
+        rows = rows.withColumns({"_zone": F.lit(zone).cast("string"), "_order": F.lit(order).cast("string")})
+    f = rows.withColumn("_s", F.regexp_replace(trimmed, r"(?U)\s+", " "))
     f = _fixed(f, _f=_cascade(F.col("_s")))
 
     g = {k: F.col(f"_f.{k}") for k in _FIELDS}
