@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.leakage import leaked_items
+from paperloom.llm.near_duplicates import duplicate_groups, similar_rows, text_rows
+from paperloom.llm.packing import pack, pack_each, token_sizes
 from paperloom.llm.quality import classify_form, text_statistics
 from paperloom.llm.repeated_lines import repeated_line_positions, repeated_lines, without_repeated_lines
 from paperloom.llm.splitting import split_oversized
-from paperloom.session import table
+from paperloom.session import shared, table
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,33 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).filter("piece_no = 1 AND n_pieces > 1").select("tbl", "row_id")
 
 
+def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rows(table(spark, sf_dir, "canonical_chunks"), "chunk_row_id", "document_key", F.col("text"))
+
+
+def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = F.when(F.col("description").isNotNull(), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
+    return text_rows(table(spark, sf_dir, "source_records"), "record_seq", "id", described)
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar rows of different documents (chunks) or records, with their similarity."""
+    chunks = similar_rows(_chunk_texts(spark, sf_dir)).withColumn("tbl", F.lit("canonical_chunks"))
+    records = similar_rows(_record_texts(spark, sf_dir)).withColumn("tbl", F.lit("source_records"))
+    return chunks.unionByName(records).select("tbl", "id_a", "id_b", "similarity")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("tbl", "id_a", "id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal texts, group of similar ones and number of links of every chunk and described record."""
+    chunks = duplicate_groups(_chunk_texts(spark, sf_dir)).withColumn("tbl", F.lit("canonical_chunks"))
+    records = duplicate_groups(_record_texts(spark, sf_dir)).withColumn("tbl", F.lit("source_records"))
+    return chunks.unionByName(records).select("tbl", "row_id", "class_id", "group_id", "n_links")
+
+
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that each source repeats, with the number of its documents that have them."""
     return repeated_lines(table(spark, sf_dir, "document_pages")).select(F.col("src").alias("source"), F.col("form").alias("line_form"), "n_docs", "src_docs")
@@ -40,6 +69,20 @@ def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(pages, repeated_lines(pages)).select(F.col("page_id").alias("page_row_id"), "n_removed", "text")
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r[0]: r[1] for r in table(spark, sf_dir, "containers").filter("capacity_tokens > 0").select("container", "capacity_tokens").collect()}
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of each capacity, once per capacity."""
+    return pack_each(token_sizes(table(spark, sf_dir, "documents")), _capacities(spark, sf_dir))
+
+
+def p8_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents once, each routed to the tier of its length, longer containers' gaps filled from shorter tiers."""
+    return pack(shared(token_sizes(table(spark, sf_dir, "documents"))), _capacities(spark, sf_dir))
+
+
 def p9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items with similar or equal windows of 13 words."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -64,7 +107,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_lines": p6_lines, "p6_pages": p6_pages,
+    "p8_pack": p8_pack, "p8_tiers": p8_tiers,
     "p9_found": p9_found, "p9_windows": p9_windows,
     "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_statistics": p10_statistics,
 }
@@ -82,6 +127,14 @@ SQL = {
 SELECT 'document_pages' AS tbl, page_row_id AS row_id FROM document_pages JOIN chunk_options USING (source) WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > target_tokens
 UNION ALL
 SELECT 'canonical_chunks', chunk_row_id FROM canonical_chunks JOIN chunk_options USING (source) WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > target_tokens""",
+    "p5_found": r"""
+WITH r AS (SELECT 'canonical_chunks' AS tbl, chunk_row_id AS id, document_key AS own, text FROM canonical_chunks WHERE text IS NOT NULL
+UNION ALL SELECT 'source_records', record_seq, id, coalesce(title, '') || ' ' || description FROM source_records WHERE description IS NOT NULL),
+w AS (SELECT tbl, id, own, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r),
+g AS (SELECT DISTINCT tbl, id, own, hash(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT tbl, id, own, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT x.tbl, x.id AS id_a, y.id AS id_b, count(*) AS c FROM g x JOIN g y ON x.tbl = y.tbl AND x.g = y.g AND x.id < y.id AND x.own <> y.own GROUP BY 1, 2, 3)
+SELECT c.tbl, id_a, id_b FROM c JOIN n a ON a.tbl = c.tbl AND a.id = id_a JOIN n b ON b.tbl = c.tbl AND b.id = id_b WHERE 2 * c >= a.n + b.n - c""",
     "p6_found": _LINES + "SELECT page_row_id, line_no FROM f JOIN c USING (source, form)",
     "p6_lines": _LINES + "SELECT source, form AS line_form, n_docs, src_docs FROM c",
     "p9_found": r"""
