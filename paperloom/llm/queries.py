@@ -9,7 +9,7 @@ from paperloom.llm.leakage import leaked_items
 from paperloom.llm.near_duplicates import duplicate_groups, similar_rows, text_rows
 from paperloom.llm.packing import pack, pack_each, token_sizes
 from paperloom.llm.quality import classify_form, text_statistics
-from paperloom.llm.repeated_lines import repeated_line_positions, repeated_lines, without_repeated_lines
+from paperloom.llm.repeated_lines import repeated_lines, without_repeated_lines
 from paperloom.llm.splitting import split_oversized
 from paperloom.session import shared, table
 
@@ -55,18 +55,20 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that each source repeats, with the number of its documents that have them."""
-    return repeated_lines(table(spark, sf_dir, "document_pages")).select(F.col("src").alias("source"), F.col("form").alias("line_form"), "n_docs", "src_docs")
+    confirmed, _ = repeated_lines(table(spark, sf_dir, "document_pages"))
+    return confirmed.select(F.col("src").alias("source"), F.col("form").alias("line_form"), "n_docs", "src_docs")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "document_pages")
-    return repeated_line_positions(pages, repeated_lines(pages)).select(F.col("page_id").alias("page_row_id"), "line_no")
+    _, places = repeated_lines(table(spark, sf_dir, "document_pages"))
+    return places.select(F.col("page_id").alias("page_row_id"), "line_no")
 
 
 def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page without its source's repeated lines."""
     pages = table(spark, sf_dir, "document_pages")
-    return without_repeated_lines(pages, repeated_lines(pages)).select(F.col("page_id").alias("page_row_id"), "n_removed", "text")
+    confirmed, _ = repeated_lines(pages)
+    return without_repeated_lines(pages, confirmed).select(F.col("page_id").alias("page_row_id"), "n_removed", "text")
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:

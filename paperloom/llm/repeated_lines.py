@@ -2,45 +2,53 @@
 
 Pass 1 keeps a mergeable heavy-hitter summary per source and task (counters of which the smallest are subtracted when
 there are too many), so no distinct line of the corpus is shuffled. The summaries' error bound proves that every line
-over the threshold is among the candidates. Pass 2 counts the candidates exactly by distinct document. Pass 3 marks or
-removes the confirmed lines with a broadcast of them, whose size pass 1's bound limits.
+over the threshold is among the candidates. Pass 2 finds where the candidates stand; only those few lines are shuffled,
+and counted exactly by distinct document. Confirmed lines are removed with a broadcast of them, whose number pass 1's
+bound limits and which is checked.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.session import shared
 
-#: Unicode white space, as a class of Java's and Python's regular expressions.
+#: Unicode white space, as a class of Java's regular expressions.
 SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: A run of letters.
-_FOUR_WORDS = r"(?:\p{L}+[^\p{L}]+){3}\p{L}"
-#: Confirmed lines that are broadcast, at most; beyond it they are joined with a shuffle.
+#: The same as a class of Python's.
+PY_SPACE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), SPACE)
+#: Candidate or confirmed lines that are sent to every task, at most; beyond it they are joined with a shuffle.
 MAX_BROADCAST_LINES = 200_000
 
+_LETTERS = r"[^\W\d_²³¹¼-¾]"
+_FOUR_RUNS = re.compile(rf"(?:{_LETTERS}+(?:(?!{_LETTERS}).)+){{3}}{_LETTERS}", re.S)
+_DIGITS = re.compile(r"\d+")
+_SPACES = re.compile(f"{PY_SPACE}+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to Unicode
 
-def line_form(line: Column) -> Column:
+
+def line_form(line: str) -> str:
     """Lower case, `#` for a run of digits, trimmed, one blank for a run of white space."""
-    digits = F.regexp_replace(F.lower(line), r"\p{Nd}+", "#")
-    return F.regexp_replace(F.regexp_replace(digits, f"{SPACE}+", " "), r"\A | \z", "")
+    low = line.lower()
+    if not low.isascii() or any(c in low for c in "0123456789"):
+        low = _DIGITS.sub("#", low)
+    return _SPACES.sub(" ", low).strip(" ") if _SEPARATORS.search(low) else " ".join(low.split())
 
 
-def _page_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pages.select(
-        F.col(id_col).alias("page_id"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"),
-    ).select("page_id", "doc", "src", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+def eligible_lines(text: str) -> list[tuple[int, str]]:
+    """Number (from 1) and form of the lines with at least four runs of letters."""
+    return [(n, line_form(line)) for n, line in enumerate(text.split("\n"), 1) if len(line) > 6 and _FOUR_RUNS.search(line)]
 
 
-def _eligible(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("src").isNotNull() & F.col("doc").isNotNull() & F.col("line").rlike(_FOUR_WORDS))
+def line_hash(form: str) -> int:
+    return xxhash.xxh64_intdigest(form) - (1 << 63)
 
 
 def reduce_counters(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -52,92 +60,127 @@ def reduce_counters(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
     return keys[keep], counts[keep] - cut, cut
 
 
+class Summary:
+    """Counters of the lines of one source in one task: no line with more than total / (k + 1) occurrences is lost."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.cut, self.new = k, 0, []
+        self.keys = self.counts = np.empty(0, np.int64)
+
+    def add(self, hashes: list[int]) -> None:
+        self.new += hashes
+        if len(self.new) > 4 * self.k + 10_000:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, at = np.unique(np.concatenate([self.keys, np.array(self.new, dtype=np.int64)]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([self.counts, np.ones(len(self.new), np.int64)]), minlength=len(keys)).astype(np.int64)
+        self.keys, self.counts, cut = reduce_counters(keys, counts, self.k)
+        self.cut += cut
+        self.new = []
+
+
 def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-
-        def settle(name: str) -> None:
-            s = held[name]
-            keys = np.concatenate([s["keys"], *s["new"]])
-            counts = np.concatenate([s["counts"], np.ones(len(keys) - len(s["keys"]), dtype=np.int64)])
-            u, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, weights=counts, minlength=len(u)).astype(np.int64)
-            s["keys"], s["counts"], cut = reduce_counters(u, total, k)
-            s["cut"] += cut
-            s["new"], s["n_new"] = [], 0
-
+        held: dict[str, Summary] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for name in table.column("src").unique().to_pylist():
-                h = table.filter(pc.equal(table.column("src"), name)).column("h").to_numpy()
-                s = held.setdefault(name, {"keys": np.empty(0, np.int64), "counts": np.empty(0, np.int64), "new": [], "n_new": 0, "cut": 0})
-                s["new"].append(h)
-                s["n_new"] += len(h)
-                if s["n_new"] > 4 * k:
-                    settle(name)
-        for name, s in held.items():
-            settle(name)
-            n = len(s["keys"])  # the row without a line tells what was subtracted
+            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(src, Summary(k)).add([line_hash(form) for _, form in eligible_lines(text)])
+        for src, s in held.items():
+            s.settle()
+            n = len(s.keys)  # the row without a line tells what was subtracted
             yield pa.RecordBatch.from_pydict({
-                "src": pa.array([name] * (n + 1), pa.string()), "h": pa.array([*s["keys"].tolist(), None], pa.int64()),
-                "n": pa.array([*s["counts"].tolist(), 0], pa.int64()), "cut": pa.array([0] * n + [s["cut"]], pa.int64()),
+                "src": pa.array([src] * (n + 1), pa.string()), "h": pa.array([*s.keys.tolist(), None], pa.int64()),
+                "n": pa.array([*s.counts.tolist(), 0], pa.int64()), "cut": pa.array([0] * n + [s.cut], pa.int64()),
             })
 
     return run
 
 
-def repeated_lines(pages: DataFrame, id_col: str = "page_row_id", text_col: str = "text", min_docs: int = 3, min_share: float = 0.08) -> DataFrame:
-    """The confirmed lines: src, form, n_docs (distinct documents with the line), src_docs (documents of the source).
+def _occurrences(wanted: dict[str, set[int]] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, doc, src, no, form, hashes = [], [], [], [], [], []
+            for p, d, s, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = wanted.get(s, ()) if wanted is not None else None
+                if own is not None and not own:
+                    continue
+                for n, f in eligible_lines(text):
+                    h = line_hash(f)
+                    if own is None or h in own:
+                        page.append(p)
+                        doc.append(d)
+                        src.append(s)
+                        no.append(n)
+                        form.append(f)
+                        hashes.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(doc, pa.string()), pa.array(src, pa.string()), pa.array(no, pa.int64()), pa.array(form, pa.string()), pa.array(hashes, pa.int64())], names=["page_id", "doc", "src", "line_no", "form", "h"])
+
+    return run
+
+
+def repeated_lines(pages: DataFrame, id_col: str = "page_row_id", text_col: str = "text", min_docs: int = 3, min_share: float = 0.08) -> tuple[DataFrame, DataFrame]:
+    """The confirmed lines (src, form, n_docs, src_docs) and where they stand (page_id, line_no from 1).
 
-    A line counts if it has at least four runs of letters; it is confirmed if at least `min_docs` and at least
-    `min_share` of the source's distinct documents have it. Lines are the same if their `line_form` is. A source's
-    documents are counted over all its pages, also blank ones. Pages without source, document key or text add no
-    lines; a page delivered twice adds nothing to a distinct count; an empty table gives no lines; other columns are
-    ignored.
+    n_docs are the distinct documents with the line, src_docs those of the source. A line counts if it has at least
+    four runs of letters; it is confirmed if at least `min_docs` and at least `min_share` of the source's documents
+    have it. Lines are the same if their `line_form` is. A source's documents are counted over all its pages, also
+    blank ones. Pages without source or document key neither give lines nor places, those without text no lines; a page
+    delivered twice adds nothing to a distinct count and has its places twice; an empty table gives two empty results;
+    other columns are ignored.
     """
-    sizes = (
-        pages.filter("source IS NOT NULL AND document_key IS NOT NULL")
-        .groupBy(F.col("source").cast("string").alias("src"), F.col("document_key").cast("string").alias("doc"))
-        .agg(F.sum(F.coalesce(F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0))).alias("n"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("text")).filter("src IS NOT NULL AND doc IS NOT NULL")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = shared(
+        rows.groupBy("src", "doc").agg(F.sum(F.coalesce(breaks, F.lit(0))).alias("n"))
         .groupBy("src").agg(F.count("*").alias("src_docs"), F.sum("n").alias("n_lines"))
     )
-    # Lines per unit of threshold: the number of lines that can reach it, hence of counters that can't miss one.
+    # As many lines can reach a source's threshold, so as many counters can't miss one.
     need = F.greatest(F.lit(float(min_docs)), F.lit(min_share) * F.col("src_docs"))
     k = int(sizes.agg(F.max(F.ceil(F.col("n_lines") / need))).first()[0] or 0) + 1
-    lines = _eligible(_page_lines(pages, id_col, text_col)).withColumn("form", line_form(F.col("line")))
-    hashed = lines.select("src", F.xxhash64("form").alias("h"))
-    summary = hashed.mapInArrow(_summaries(2 * k), "src string, h long, n long, cut long")
+    texts = rows.filter("text IS NOT NULL")
+    summary = texts.select("src", "text").mapInArrow(_summaries(2 * k), "src string, h long, n long, cut long")
     seen = shared(summary.groupBy("src", "h").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")))
     # What the tasks subtracted is the most that any line's sum can lack.
     errors = seen.filter("h IS NULL").select("src", F.col("cut").alias("err"))
     reach = F.col("n") + F.col("err")
-    candidates = seen.filter("h IS NOT NULL").join(errors, "src").join(sizes, "src").filter((reach >= F.col("src_docs") * min_share) & (reach >= min_docs)).select("src", "h", "src_docs")
-    counted = (
-        lines.select("src", "doc", "form", F.xxhash64("form").alias("h"))
-        .join(candidates, ["src", "h"])
-        .select("src", "doc", "form", "src_docs").distinct()
-        .groupBy("src", "form", "src_docs").agg(F.count("*").alias("n_docs"))
-    )
-    return counted.filter((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("src_docs") * min_share)).select("src", "form", "n_docs", "src_docs")
-
-
-def _bounded(lines: DataFrame) -> DataFrame:
-    return F.broadcast(lines) if lines.count() <= MAX_BROADCAST_LINES else lines
-
+    candidates = seen.filter("h IS NOT NULL").join(errors, "src").join(sizes, "src").filter((reach >= F.col("src_docs") * min_share) & (reach >= min_docs)).select("src", "h")
+    first = candidates.limit(MAX_BROADCAST_LINES + 1).collect()
+    few = len(first) <= MAX_BROADCAST_LINES
+    wanted: dict[str, set[int]] = {}
+    for src, h in first:
+        wanted.setdefault(src, set()).add(h)
+    places = texts.select("page_id", "doc", "src", "text").mapInArrow(_occurrences(wanted if few else None), "page_id long, doc string, src string, line_no long, form string, h long")
+    places = shared(places if few else places.join(candidates, ["src", "h"], "left_semi").select("page_id", "doc", "src", "line_no", "form", "h"))
+    counted = places.select("src", "form", "doc").distinct().groupBy("src", "form").agg(F.count("*").alias("n_docs")).join(F.broadcast(sizes.select("src", "src_docs")), "src")
+    confirmed = shared(counted.filter((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("src_docs") * min_share)).select("src", "form", "n_docs", "src_docs"))
+    small = F.broadcast(confirmed) if confirmed.count() <= MAX_BROADCAST_LINES else confirmed
+    return confirmed, places.join(small, ["src", "form"], "left_semi").select("page_id", "line_no")
+
+
+def _without(forms: dict[str, set[str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, kept = [], []
+            for src, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = forms.get(src)
+                drop = {n for n, f in eligible_lines(text) if f in own} if own and text else set()
+                removed.append(len(drop))
+                kept.append("\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop) if drop else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int32()), pa.array(kept, pa.string())], names=["page_id", "n_removed", "text"])
 
-def repeated_line_positions(pages: DataFrame, confirmed: DataFrame, id_col: str = "page_row_id", text_col: str = "text") -> DataFrame:
-    """Where the confirmed lines stand: page_id, line_no (from 1). `confirmed` is the result of `repeated_lines`."""
-    lines = _eligible(_page_lines(pages, id_col, text_col)).withColumn("form", line_form(F.col("line")))
-    return lines.join(_bounded(confirmed.select("src", "form")), ["src", "form"]).select("page_id", "line_no")
+    return run
 
 
 def without_repeated_lines(pages: DataFrame, confirmed: DataFrame, id_col: str = "page_row_id", text_col: str = "text") -> DataFrame:
-    """Every page without the confirmed lines: page_id, n_removed, text (null stays null). No page is shuffled unless
-    the confirmed lines are too many to broadcast."""
-    per_source = confirmed.groupBy("src").agg(F.collect_set("form").alias("forms"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("_text"))
-    joined = rows.join(F.broadcast(per_source) if confirmed.count() <= MAX_BROADCAST_LINES else per_source, "src", "left")
-    parts = F.split("_text", "\n")
-    kept = F.filter(parts, lambda line: ~(line.rlike(_FOUR_WORDS) & F.array_contains(F.col("forms"), line_form(line))))
-    kept = F.when(F.col("forms").isNull(), parts).otherwise(kept)
-    return joined.select("page_id", (F.size(parts) - F.size(kept)).alias("n_removed"), F.array_join(kept, "\n").alias("text")).withColumn("n_removed", F.when(F.col("text").isNotNull(), F.col("n_removed")).otherwise(F.lit(0)))
+    """Every page without its source's confirmed lines: page_id, n_removed, text (null stays null). No page is
+    shuffled. `confirmed` has at most a few lines per source; more than MAX_BROADCAST_LINES are refused, as a set of
+    that size isn't one of repeated lines."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("text"))
+    forms: dict[str, set[str]] = {}
+    found = confirmed.select("src", "form").limit(MAX_BROADCAST_LINES + 1).collect()
+    if len(found) > MAX_BROADCAST_LINES:
+        raise ValueError(f"more than {MAX_BROADCAST_LINES} repeated lines")
+    for src, form in found:
+        forms.setdefault(src, set()).add(form)
+    return rows.mapInArrow(_without(forms), "page_id long, n_removed int, text string")

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeated_lines import SPACE
+from paperloom.llm.repeated_lines import PY_SPACE, SPACE
 
-_TOKEN = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), SPACE).replace("[", "[^", 1) + "+")
+_TOKEN = re.compile(PY_SPACE.replace("[", "[^", 1) + "+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\Z")
 _CLAUSE = re.compile(r"[,;:—–][\"'”’»)\]]*\Z")
 
