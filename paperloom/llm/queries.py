@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.encoding import restore_encoding
 from paperloom.llm.leakage import leaked_items
 from paperloom.llm.near_duplicates import duplicate_groups, similar_rows, text_rows
 from paperloom.llm.packing import pack, pack_each, token_sizes
@@ -14,6 +15,18 @@ from paperloom.llm.splitting import split_oversized
 from paperloom.session import shared, table
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and record titles with wrongly decoded stretches, with the text as first written where it can be found."""
+    return restore_encoding([
+        ("document_pages", table(spark, sf_dir, "document_pages"), "page_row_id", "text"),
+        ("source_records", table(spark, sf_dir, "source_records"), "record_seq", "title"),
+    ])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("tbl", "row_id")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every page and chunk over its source's target."""
     options = table(spark, sf_dir, "chunk_options")
@@ -108,6 +121,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_restored": p1_restored,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_lines": p6_lines, "p6_pages": p6_pages,
