@@ -3,11 +3,14 @@
 T-occurrence search in the manner of DivideSkip, distributed. Two sets of sizes a <= b with Jaccard similarity t have at
 least T = t (a + b) / (1 + t) elements in common. Of each text's inverted lists the T - 1 longest are set aside for the
 binary probe, the rest (its rarest shingles, a prefix in a global order by frequency) are merged: the lists are cut
-into B parts by shingle hash, and each part merges its lists and counts, per pair, the common short lists. A pair with
-the required overlap has at least C = T - (suffix of the larger) common short lists, hence ceil(C / B) in some part;
-pairs that reach it are verified by probing the sorted shingles of one text in those of the other. Nothing is sampled
-and no list is capped. Exact copies are one text: a text goes by its 64-bit hash, so copies don't multiply the lists,
-and links are between different texts.
+into B parts by shingle hash, and each part merges its lists and counts, per pair, the common short lists.
+
+Behind the point of the order where the first of the two prefixes ends, a pair can share no more than the smaller of
+what each text has there (known from a histogram of the text's frequency classes), so with the required overlap it has
+at least C = T - that common short lists, hence ceil(C / B) in some part. Parts report such pairs with their counts; the
+sum of the counts, plus the most that silent parts can hide, must reach C. The remaining pairs are verified by probing
+the sorted shingles of one text in those of the other. Nothing is sampled and no list is capped. Exact copies are one
+text: a text goes by its 64-bit hash, so copies don't multiply the lists, and links are between different texts.
 
 The order's frequencies come from a sketch of fixed size over all rows; any order gives the same result, a poor one
 only costs time.
@@ -32,6 +35,9 @@ WORD = re.compile(r"[^\W_]+")
 #: Counters of the frequency sketch and the piece of it that travels as one row.
 CELLS = 1 << 22
 _PIECE = 1 << 16
+#: Frequency classes per doubling of the frequency, and doublings in a text's histogram.
+STEPS = 4
+LEVELS = 33
 #: Short-list entries in one part, about; events (two texts in one list) counted at once in a task.
 PART_ENTRIES = 1_500_000
 BLOCK_EVENTS = 3_000_000
@@ -76,8 +82,15 @@ def suffix_length(n: np.ndarray | int, t: Fraction):
     return -(-(t.numerator * n) // t.denominator) - 1
 
 
-def least_prefix_overlap(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
-    return np.maximum(1, least_overlap(a, b, t) - suffix_length(np.maximum(a, b), t))
+def least_prefix_overlap(a: np.ndarray, b: np.ndarray, size: np.ndarray, end: np.ndarray, beyond: np.ndarray, t: Fraction) -> np.ndarray:
+    """Fewest common short lists of similar texts at positions a and b.
+
+    end: the order's key (class, then hash) of the last short list; beyond: per text, the number of its elements in
+    each class of the histogram or a higher one.
+    """
+    first, other = np.where(end[a] <= end[b], a, b), np.where(end[a] <= end[b], b, a)
+    tail = np.minimum(suffix_length(size[first], t), beyond[other, (end[first] >> np.uint64(56)).astype(np.int64) // STEPS])
+    return np.maximum(1, least_overlap(size[a], size[b], t) - tail)
 
 
 def _sketch(width: int, cells: int):
@@ -97,7 +110,7 @@ def _sketch(width: int, cells: int):
 
 def _add_pieces(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(c), dtype=np.uint32).astype(np.uint64) for c in table.column("counts").to_pylist())
-    classes = np.round(np.log2(total + 1.0) * 4).astype(np.uint8)  # quarter steps of the logarithm
+    classes = np.round(np.log2(total + 1.0) * STEPS).astype(np.uint8)  # steps of the logarithm, at most 32 doublings
     return pa.table({"piece": table.column("piece").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
@@ -115,14 +128,17 @@ def _short_lists(width: int, t: Fraction, parts: int, classes):
         shingles, order = Shingler(width), np.frombuffer(classes.value, dtype=np.uint8)
         low = np.uint64(len(order) - 1)
         for batch in batches:
-            part, doc, size, keys = [], [], [], []
+            part, doc, size, ends, beyond, keys = [], [], [], [], [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text)
                 n = len(s)
                 if not n:
                     continue
                 rank = order[(s & low).astype(np.int64)]
-                short = s[np.argsort(rank, kind="stable")[:n - int(suffix_length(n, t))]]  # s is sorted, so ties go by hash
+                chosen = np.argsort(rank, kind="stable")[:n - int(suffix_length(n, t))]  # s is sorted, so ties go by hash
+                short = s[chosen]
+                end = (int(rank[chosen[-1]]) << 56 | int(short[-1]) >> 8) - (1 << 63)
+                higher = np.cumsum(np.bincount(rank // STEPS, minlength=LEVELS)[::-1])[::-1].astype(np.uint32).tobytes()
                 of = ((short >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[by], np.arange(parts + 1))
@@ -132,14 +148,17 @@ def _short_lists(width: int, t: Fraction, parts: int, classes):
                         part.append(p)
                         doc.append(h)
                         size.append(n)
+                        ends.append(end)
+                        beyond.append(higher)
                         keys.append(tokens[cuts[p]:cuts[p + 1]].tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "doc": pa.array(doc, pa.int64()), "size": pa.array(size, pa.int32()), "keys": pa.array(keys, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "doc": pa.array(doc, pa.int64()), "size": pa.array(size, pa.int32()), "ends": pa.array(ends, pa.int64()), "beyond": pa.array(beyond, pa.binary()), "keys": pa.array(keys, pa.binary())})
 
     return run
 
 
-def merge_lists(doc: np.ndarray, size: np.ndarray, owner: np.ndarray, keys: np.ndarray, t: Fraction, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents with enough common keys in this part. owner: the document's position of each key."""
+def merge_lists(size: np.ndarray, end: np.ndarray, beyond: np.ndarray, owner: np.ndarray, keys: np.ndarray, t: Fraction, parts: int) -> tuple[np.ndarray, ...]:
+    """Positions a, b of documents with enough common keys in this part, their number and the number needed in all.
+    owner: the document's position of each key."""
     order = np.lexsort((owner, keys))
     k, o = keys[order], owner[order]
     edge = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
@@ -148,7 +167,8 @@ def merge_lists(doc: np.ndarray, size: np.ndarray, owner: np.ndarray, keys: np.n
     live = np.nonzero(after > 0)[0]
     live = live[np.argsort(o[live], kind="stable")]  # by document, so a document's events are counted together
     events = np.cumsum(after[live])
-    left, right, i = [], [], 0
+    n_docs = len(size)
+    found, i = [], 0
     while i < len(live):
         j = int(np.searchsorted(events, (events[i - 1] if i else 0) + BLOCK_EVENTS, "right"))
         j = max(j, i + 1)
@@ -158,16 +178,18 @@ def merge_lists(doc: np.ndarray, size: np.ndarray, owner: np.ndarray, keys: np.n
         n = after[at]
         first = np.repeat(at, n)
         other = first + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair, count = np.unique(o[first].astype(np.int64) * len(doc) + o[other], return_counts=True)
-        a, b = pair // len(doc), pair % len(doc)
+        pair, count = np.unique(o[first].astype(np.int64) * n_docs + o[other], return_counts=True)
+        a, b = pair // n_docs, pair % n_docs
         x, y = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        keep = (x * t.denominator >= y * t.numerator) & (count * parts >= least_prefix_overlap(x, y, t)) & (a != b)
-        left.append(doc[a[keep]])
-        right.append(doc[b[keep]])
+        keep = (x * t.denominator >= y * t.numerator) & (a != b)
+        a, b, count = a[keep], b[keep], count[keep]
+        need = least_prefix_overlap(a, b, size, end, beyond, t)
+        keep = count * parts >= need
+        found.append((a[keep], b[keep], count[keep], need[keep]))
         i = j
-    empty = np.empty(0, np.int64)
-    a, b = (np.concatenate(s) if s else empty for s in (left, right))
-    return np.minimum(a, b), np.maximum(a, b)
+    if not found:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def _merge(t: Fraction, parts: int):
@@ -175,9 +197,11 @@ def _merge(t: Fraction, parts: int):
         doc, at = np.unique(table.column("doc").to_numpy(), return_index=True)  # copies of a text come once
         size = table.column("size").to_numpy()[at].astype(np.int64)
         lists = table.column("keys").take(pa.array(at)).to_pylist()
+        end = (table.column("ends").to_numpy()[at] ^ np.int64(-(1 << 63))).view(np.uint64)
+        beyond = np.frombuffer(b"".join(table.column("beyond").take(pa.array(at)).to_pylist()), dtype=np.uint32).reshape(len(doc), LEVELS).astype(np.int64)
         owner = np.repeat(np.arange(len(doc)), [len(x) // 4 for x in lists])
-        a, b = merge_lists(doc, size, owner, np.frombuffer(b"".join(lists), dtype=np.uint32), t, parts)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, count, need = merge_lists(size, end, beyond, owner, np.frombuffer(b"".join(lists), dtype=np.uint32), t, parts)
+        return pa.table({"a": pa.array(np.minimum(doc[a], doc[b]), pa.int64()), "b": pa.array(np.maximum(doc[a], doc[b]), pa.int64()), "n": pa.array(count.astype(np.int64)), "need": pa.array(need.astype(np.int64))})
 
     return run
 
@@ -224,9 +248,10 @@ def similar_texts(rows: DataFrame, width: int = 3, threshold: Fraction = Fractio
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     parts = int(max(1, min(4096, chars // 13 // PART_ENTRIES)))
     classes = spark.sparkContext.broadcast(frequency_classes(rows, width, cells).tobytes())
-    lists = rows.select("h", "text").mapInArrow(_short_lists(width, threshold, parts, classes), "part int, doc long, size int, keys binary")
-    pairs = lists.groupBy("part").applyInArrow(_merge(threshold, parts), "a long, b long")
-    candidates = shared(pairs.distinct())
+    lists = rows.select("h", "text").mapInArrow(_short_lists(width, threshold, parts, classes), "part int, doc long, size int, ends long, beyond binary, keys binary")
+    pairs = lists.groupBy("part").applyInArrow(_merge(threshold, parts), "a long, b long, n long, need long")
+    hidden = (F.lit(parts) - F.count("*")) * (F.ceil(F.first("need") / parts) - 1)  # what parts below their share can hold
+    candidates = shared(pairs.groupBy("a", "b").agg((F.sum("n") + hidden).alias("most"), F.first("need").alias("need")).filter("most >= need").select("a", "b"))
     wanted = candidates.select(F.col("a").alias("h")).union(candidates.select("b")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts = rows.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
