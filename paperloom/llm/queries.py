@@ -11,6 +11,7 @@ from paperloom.llm.near_duplicates import duplicate_groups, similar_rows, text_r
 from paperloom.llm.packing import pack, pack_each, token_sizes
 from paperloom.llm.quality import classify_form, text_statistics
 from paperloom.llm.repeated_lines import repeated_lines, without_repeated_lines
+from paperloom.llm.scan_noise import repair_scans
 from paperloom.llm.splitting import split_oversized
 from paperloom.session import shared, table
 
@@ -39,6 +40,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).filter("piece_no = 1 AND n_pieces > 1").select("tbl", "row_id")
 
 
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs, with what was repaired."""
+    return repair_scans(table(spark, sf_dir, "document_pages"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [("hyphen", "n_hyphen"), ("char", "n_char"), ("header", "n_header"), ("page_no", "n_page_no")]
+    found = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(k)) for k, c in kinds]))
+    return p3_repaired(spark, sf_dir).select("page_row_id", F.explode(found).alias("noise"))
+
+
 def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rows(table(spark, sf_dir, "canonical_chunks"), "chunk_row_id", "document_key", F.col("text"))
 
@@ -123,6 +135,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_repaired": p3_repaired,
     "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_lines": p6_lines, "p6_pages": p6_pages,
     "p8_pack": p8_pack, "p8_tiers": p8_tiers,
