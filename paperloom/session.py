@@ -3,10 +3,32 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(sc: SparkContext) -> None:
+    """Gives the package to the executors' Python workers, once per application, whatever their search path is.
+
+    The archive is made on the driver and sent to the executors by Spark itself.
+    """
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    if here.is_dir():
+        folder = tempfile.mkdtemp(prefix="paperloom-package-")
+        tree = Path(folder, "tree", here.name)
+        shutil.copytree(here, tree, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(Path(folder, here.name)), "zip", root_dir=tree.parent))
+        shutil.rmtree(tree.parent)
+    _SHIPPED.add(sc.applicationId)
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "paperloom") -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -25,6 +47,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
+    ship_package(spark.sparkContext)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
