@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,7 +93,7 @@ class Lexicon:
         self.total = math.log(sum(counts.values()) + 1000.0)
         self.by_gap: dict[str, list[str]] = defaultdict(list)
         for w in counts:
-            if not w.isascii() and LOST not in w:
+            if not w.isascii() and w[0].lower() == w[0]:
                 self.by_gap[re.sub(r"[^\x00-\x7f]", LOST, w)].append(w)
 
     def log(self, item: str) -> float:
@@ -113,15 +113,26 @@ class Lexicon:
             if not fits:
                 return word
             best = max(fits, key=lambda w: (self.counts[w], w))
-            upper = sum(c.isupper() for c in word) > 1 or (len(word) > 1 and word.isupper())
-            return "".join((a.upper() if upper or (i == 0 and len(word) > 1 and word[1:].islower()) else a) if b == LOST else b for i, (a, b) in enumerate(zip(best, word)))
+            if word.strip(LOST) != word and self.counts.get(word.strip(LOST).lower(), 0) > 20 * self.counts[best]:
+                return word  # a word between lost signs
+            upper = word.isupper() and len(word) > 1
+            first = 2 * self.counts.get(best[:1].upper() + best[1:], 0) > self.counts[best]  # usually with a capital
+            return "".join((a.upper() if upper or (i == 0 and first) else a) if b == LOST else b for i, (a, b) in enumerate(zip(best, word)))
 
         return re.sub(rf"(?:[^\W_]|{LOST})*{LOST}(?:[^\W_]|{LOST})*", one, text)
 
 
 _CLEAN = 0
 STATES = ["clean", *(f"utf8>{r}" for r in UTF8_READ_AS), *(f"{w}>{r}" for w, r in SINGLE_BYTE), "lost"]
-_ENTER, _TOKEN_PRICE, _SINGLE_PRICE, _UTF8_GAIN, _GAP_PRICE, _NEVER = 5.0, 1.0, 3.0, 8.0, 6.0, 60.0
+_ENTER, _TOKEN_PRICE, _SINGLE_PRICE, _UTF8_GAIN, _GAP_PRICE, _NEVER, _STRANGE = 5.0, 1.0, 3.0, 8.0, 6.0, 60.0, 20.0
+
+
+def _strange(token: str) -> bool:
+    """Whether letters of another script stand among Latin ones, or a sign that no text has."""
+    if _PLAUSIBLE.match(token):
+        return False
+    odd = [c for c in token if not _PLAUSIBLE.match(c)]
+    return any("a" <= c <= "z" or "A" <= c <= "Z" for c in token) or not any(c.isalpha() for c in odd)
 
 
 class Restorer:
@@ -140,7 +151,7 @@ class Restorer:
         scores: list[float] = [-_NEVER * 10] * len(STATES)
         texts: list[str | None] = [None] * len(STATES)
         texts[_CLEAN] = token
-        scores[_CLEAN] = lex.score(token) - _NEVER * (LOST in token) - 15.0 * len(_CONTROL.findall(token))
+        scores[_CLEAN] = lex.score(token) - _NEVER * (LOST in token) - 15.0 * len(_CONTROL.findall(token)) - _STRANGE * _strange(token)
         for k, read in enumerate(UTF8_READ_AS, 1):
             found = read_utf8(token, read)
             if found:
@@ -217,26 +228,28 @@ class Restorer:
         return "".join(out) + text[at:], damaged, lost
 
 
-def undo_utf8(text: str) -> str:
-    """`text` with tokens whose bytes are whole UTF-8 in some reading put right, without a lexicon."""
-    if text.isascii():
-        return text
+_RUN = re.compile("[^\x00-\x7f]{2,}")
 
-    def one(m: re.Match) -> str:
-        for read in UTF8_READ_AS:
-            found = read_utf8(m.group(), read)
-            if found and not found[1]:
-                return found[0]
-        return m.group()
 
-    return _TOKEN.sub(one, text)
+@lru_cache(maxsize=200_000)
+def _undo_token(token: str) -> str:
+    for read in UTF8_READ_AS:
+        found = read_utf8(token, read)
+        if found and not found[1]:
+            return found[0]
+    return token
+
+
+def undo_utf8(text: str) -> str:
+    """`text` with runs of characters whose bytes are whole UTF-8 in some reading put right, without a lexicon."""
+    return text if text.isascii() else _RUN.sub(lambda m: _undo_token(m.group()), text)
 
 
 def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(_ITEM.findall(text.lower()))
+            counts.update(_ITEM.findall(text))
         if len(counts) > 1_000_000:
             yield _item_batch(counts)
             counts.clear()
@@ -244,11 +257,18 @@ def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _item_batch(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"item": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+    """Counts in lower case, and once more as written for words with a capital beyond ASCII."""
+    low: Counter[str] = Counter()
+    for item, n in counts.items():
+        low[item.lower()] += n
+        if item[0] > "\x7f" and item[0].isupper() and item[1:].islower():
+            low[item] += n
+    return pa.RecordBatch.from_pydict({"item": pa.array(list(low), pa.string()), "n": pa.array(list(low.values()), pa.int64())})
 
 
 def item_counts(texts: DataFrame) -> DataFrame:
-    """item, n: words in lower case and signs beyond ASCII of all rows of `texts` (one string column)."""
+    """item, n: words in lower case (words with a capital beyond ASCII also as written) and signs beyond ASCII of all
+    rows of `texts` (one string column)."""
     return texts.filter(F.col(texts.columns[0]).isNotNull()).mapInArrow(_count_items, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
 
 

@@ -28,7 +28,7 @@ PY_SPACE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16)))
 MAX_BROADCAST_LINES = 200_000
 
 _LETTERS = r"[^\W\d_²³¹¼-¾]"
-_FOUR_RUNS = re.compile(rf"(?:{_LETTERS}+(?:(?!{_LETTERS}).)+){{3}}{_LETTERS}", re.S)
+_FOUR_RUNS = re.compile(rf"(?:{_LETTERS}+[\W\d_²³¹¼-¾]+){{3}}{_LETTERS}")
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(f"{PY_SPACE}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to Unicode
@@ -36,9 +36,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to Unic
 
 def line_form(line: str) -> str:
     """Lower case, `#` for a run of digits, trimmed, one blank for a run of white space."""
-    low = line.lower()
-    if not low.isascii() or any(c in low for c in "0123456789"):
-        low = _DIGITS.sub("#", low)
+    low = _DIGITS.sub("#", line.lower())
     return _SPACES.sub(" ", low).strip(" ") if _SEPARATORS.search(low) else " ".join(low.split())
 
 
@@ -85,7 +83,10 @@ def _summaries(k: int):
         held: dict[str, Summary] = {}
         for batch in batches:
             for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(src, Summary(k)).add([line_hash(form) for _, form in eligible_lines(text)])
+                summary = held.get(src)
+                if summary is None:
+                    summary = held[src] = Summary(k)
+                summary.add([line_hash(form) for _, form in eligible_lines(text)])
         for src, s in held.items():
             s.settle()
             n = len(s.keys)  # the row without a line tells what was subtracted
@@ -105,7 +106,9 @@ def _occurrences(wanted: dict[str, set[int]] | None):
                 own = wanted.get(s, ()) if wanted is not None else None
                 if own is not None and not own:
                     continue
-                for n, f in eligible_lines(text):
+                # Candidates are forms of eligible lines, so a line with such a form is eligible.
+                lines = eligible_lines(text) if own is None else [(n, line_form(x)) for n, x in enumerate(text.split("\n"), 1) if len(x) > 6]
+                for n, f in lines:
                     h = line_hash(f)
                     if own is None or h in own:
                         page.append(p)
@@ -130,9 +133,9 @@ def repeated_lines(pages: DataFrame, id_col: str = "page_row_id", text_col: str
     other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("text")).filter("src IS NOT NULL AND doc IS NOT NULL")
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     sizes = shared(
-        rows.groupBy("src", "doc").agg(F.sum(F.coalesce(breaks, F.lit(0))).alias("n"))
+        rows.groupBy("src", "doc").agg(F.sum(F.coalesce(lines, F.lit(0))).alias("n"))
         .groupBy("src").agg(F.count("*").alias("src_docs"), F.sum("n").alias("n_lines"))
     )
     # As many lines can reach a source's threshold, so as many counters can't miss one.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.encoding import undo_utf8
-from paperloom.llm.repeated_lines import eligible_lines, repeated_lines
+from paperloom.llm.repeated_lines import line_form, repeated_lines
 from paperloom.session import shared
 
 # What is printed and what a scanner makes of it.
@@ -34,27 +34,38 @@ CONFUSIONS = [
     ("o", "0"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "|"), ("l", "|"), ("s", "5"), ("g", "9"), ("b", "6"), ("b", "8"), ("z", "2"), ("f", "{"),
     ("t", "f"), ("e", "c"), ("a", "o"), ("m", "rn"), ("d", "cl"), ("n", "ri"), ("h", "li"), ("u", "ii"), ("w", "vv"),
 ]
-_SIGNS = str.maketrans("01!|59{68", "oliisgfbb")
 _FOLDS = [("vv", "w"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("ii", "u")]
-_LIKE = str.maketrans("fco", "tea")
+_SIGNS = bytes.maketrans(b"01!|59{68", b"oliisgfbb")
+_LIKE = bytes.maketrans(b"fco", b"tea")
+_BYTE_FOLDS = [(a.encode(), b.encode()) for a, b in _FOLDS]
 
 #: How much more frequent the right word must be: for words of at most three characters, and for longer ones.
 SHORT_RATIO, LONG_RATIO = 20, 8
 #: Corrections and compounds that are sent to every task, at most.
 MAX_DECISIONS = 1_000_000
 _EDGE = 3
+#: Longer lines are compared as they are: no header of print is that long.
+MAX_FOLDED = 300
 
 _WORD = re.compile(r"[^\W_]*[{|!]?[^\W_]+(?:[{|!][^\W_]+)*")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
+_SIGN = re.compile(r"[{|!]")
+#: Signs beyond ASCII that stand next to words, and the ASCII characters that separate words.
+_OTHER_SIGNS = re.compile("[\xa0-©«-¯°±²³´¶-¹»-¿×÷‐-⁯₠-⯿]")
+_SEPARATE = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum() and chr(b) not in "{|!"), b" " * sum(1 for b in range(128) if not chr(b).isalnum() and chr(b) not in "{|!"))
 _LETTER = re.compile(r"[^\W\d_]")
+_THREE_LETTERS = re.compile(r"(?:[^\W\d_].*?){3}")
+_HAS_LETTER = re.compile(rb"[a-z\x80-\xff]")
 _SOFT = "¬\xad"
 _HYPHENS = "-‐"
-_H = r"\-‐"
-_BROKEN = re.compile(rf"([^\W\d_][^\s{_H}{_SOFT}—–]*|[{{|!0-9][^\s{_H}{_SOFT}—–]*[^\W\d_][^\s{_H}{_SOFT}—–]*)([{_H}{_SOFT}])[ \t\xa0]*\n[ \t\xa0]*([^\W_|!{{]*[{{|!]?[^\W_]+(?:[{{|!][^\W_]+)*)")
-_COMPOUND = re.compile(rf"(?<![\w{_H}])([^\W_]*[{{|!]?[^\W_]+(?:[{{|!][^\W_]+)*)[{_H}]([^\W_]*[{{|!]?[^\W_]+(?:[{{|!][^\W_]+)*)")
+_BREAKERS = frozenset(_HYPHENS + _SOFT)
+_BREAK = re.compile(r"([-‐¬\xad])[ \t\xa0]*\n[ \t\xa0]*")
+_NEXT = re.compile(r"[^\W_]*[{|!]?[^\W_]+(?:[{|!][^\W_]+)*")
 _PAGE_NO = re.compile(r"[\[({<\-–—|*. ]*(?:page|p|pg|pp)?[. ]*([0-9lIiO|!oSsgBzZ]{1,5}|[ivxlcdm]{1,7})(?: +(?:of|/) +[0-9lIiO|!oSsgBzZ]{1,5})?[\])}>\-–—|*. ]*", re.I)
 _DIGITS = str.maketrans("lIi|!OoSsgBzZ", "1111100559822")
 _LINE_END = re.compile(r"(?<!\n)\n(?!\n)")
-_NUMBER_ENDS = re.compile(r"\A\s*[0-9lIiO|!oSs]{1,5}\s{2,}|\s{2,}[0-9lIiO|!oSs]{1,5}\s*\Z")
+_NUMBER = re.compile(r"[0-9lIiO|!oSs]{1,5}")
+_NUMBER_SIGNS = frozenset("0123456789lIiO|!oSsgBzZ[]()-–—.")
 
 
 def roman(n: int) -> str:
@@ -65,10 +76,10 @@ def roman(n: int) -> str:
     return out
 
 
-def fold(word: str) -> str:
-    """One form for a word and what a scanner may make of it."""
-    w = word.lower().translate(_SIGNS)
-    for a, b in _FOLDS:
+def fold(text: str) -> bytes:
+    """One form for a text and what a scanner may make of it, in bytes."""
+    w = text.lower().encode("utf-8", "replace").translate(_SIGNS)
+    for a, b in _BYTE_FOLDS:
         w = w.replace(a, b)
     return w.translate(_LIKE)
 
@@ -82,90 +93,162 @@ def fold_column(word: Column) -> Column:
 
 def states_page(line: str, page: int | None) -> bool:
     """Whether the line only states the page's number, also misread or in Roman numerals."""
-    m = _PAGE_NO.fullmatch(" ".join(line.split()))
-    if not m or not page or page < 1:
+    short = line.strip()
+    if len(short) > 24 or not page or page < 1:
+        return False
+    m = _PAGE_NO.fullmatch(" ".join(short.split()))
+    if not m:
         return False
     text = m.group(1)
     return text.lower() == roman(page) or fold(text) == fold(roman(page)) or text.translate(_DIGITS) == str(page)
 
 
-def header_form(line: str, page: int | None) -> str:
+def _is_page(word: str, page: int | None) -> bool:
+    return page is not None and word.strip("[]()-–—.").translate(_DIGITS) == str(page)
+
+
+def header_form(line: str, page: int | None) -> bytes:
     """The line without page numbers at its ends, folded."""
-    text = _NUMBER_ENDS.sub("", line.strip())
+    if len(line) > MAX_FOLDED:
+        return line.strip().encode("utf-8", "replace")
+    text = line.strip()
     words = text.split()
-    if page and len(words) > 2:
-        for k in (0, -1):
-            if words[k].strip("[]()-–—.").translate(_DIGITS) == str(page):
-                words.pop(k)
+    if len(words) > 2 and text[0] in _NUMBER_SIGNS:
+        first = words[0]
+        # A number set off by more than one blank is the page's; so is the page's own number.
+        if (not text[len(first):len(first) + 2].strip() and _NUMBER.fullmatch(first)) or _is_page(first, page):
+            words.pop(0)
+    if len(words) > 2 and text[-1] in _NUMBER_SIGNS:
+        last = words[-1]
+        at = len(text) - len(last)
+        if (not text[at - 2:at].strip() and _NUMBER.fullmatch(last)) or _is_page(last, page):
+            words.pop()
     return fold(" ".join(words))
 
 
-def form_hash(document: str, form: str) -> int:
-    return xxhash.xxh64_intdigest(f"{document}\x00{form}") - (1 << 63)
+def document_hash(document: str) -> int:
+    return xxhash.xxh32_intdigest(document.encode("utf-8", "replace")) - (1 << 31)
+
+
+def form_hash(document: int, form: bytes) -> int:
+    """The document's hash in the upper half, the form's in the lower."""
+    return (document << 32) | xxhash.xxh32_intdigest(form)
+
+
+class SiteLines:
+    """Repeated lines of a source, and their first words."""
+
+    def __init__(self, forms: set[str]) -> None:
+        self.forms = forms
+        self.firsts = {f.split(" ", 1)[0] for f in forms}
 
 
 class Page:
     """A page's lines with what they are: site, blank, page_no, header or text."""
 
-    def __init__(self, text: str, page: int | None, site: set[str] | tuple) -> None:
+    def __init__(self, text: str, page: int | None, site: SiteLines | None) -> None:
         self.text = undo_utf8(text)
         self.page = page
         self.lines = self.text.split("\n")
-        self.kind = ["blank" if not x.strip() else "text" for x in self.lines]
+        self.kind = ["text" if x and not x.isspace() else "blank" for x in self.lines]
         if site:
-            for n, form in eligible_lines(text):
-                if form in site:
-                    self.kind[n - 1] = "site"
+            for n, line in enumerate(text.split("\n")):
+                first = line.split(None, 1)[:1]
+                if first and (first[0].lower() in site.firsts or not first[0].isalpha()) and line_form(line) in site.forms:
+                    self.kind[n] = "site"
         # Page numbers stand at the top or bottom, whatever header is beyond them.
-        for i in {*self.edge(_EDGE), *self.edge(_EDGE, bottom=True)}:
+        for i in self.edges(_EDGE):
             if states_page(self.lines[i], page):
                 self.kind[i] = "page_no"
 
-    def edge(self, n: int, bottom: bool = False) -> list[int]:
-        own = [i for i, k in enumerate(self.kind) if k in ("text", "header")]
-        return own[-n:] if bottom else own[:n]
+    def edges(self, n: int) -> dict[int, None]:
+        """Positions of the first and last n lines that are neither blank nor the site's nor page numbers."""
+        own = [i for i, k in enumerate(self.kind) if k == "text"]
+        return dict.fromkeys(own[:n] + own[-n:])
 
-    def candidates(self) -> list[tuple[int, str]]:
+    def candidates(self) -> list[tuple[int, bytes]]:
         """Edge lines that could be headers: position and form."""
-        at = dict.fromkeys([*self.edge(_EDGE), *self.edge(_EDGE, bottom=True)])
-        forms = [(i, header_form(self.lines[i], self.page)) for i in at]
-        return [(i, f) for i, f in forms if sum(c.isalpha() for c in f) >= 3]
+        return [(i, header_form(self.lines[i], self.page)) for i in self.edges(_EDGE) if _THREE_LETTERS.search(self.lines[i])]
 
     def running(self) -> str:
         return "\n".join(x for x, k in zip(self.lines, self.kind) if k in ("text", "blank"))
 
 
-def _tokens(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if _LETTER.search(w)]
+def words_of(text: str) -> list[bytes]:
+    """Words in lower case and UTF-8, also with a sign that may be a misread letter. Everything else separates."""
+    low = text.lower()
+    if not low.isascii():
+        low = _OTHER_SIGNS.sub(" ", low)
+    return low.encode("utf-8", "replace").translate(_SEPARATE).split()
 
 
-def _join_soft(text: str, compounds: set[tuple[str, str]] | tuple) -> tuple[str, int]:
-    """`text` with broken words joined, and their number; compounds keep their hyphen and lose the line end."""
-    count = 0
+Pairs = list[tuple[int, str, str, str, int]]
 
-    def one(m: re.Match) -> str:
-        nonlocal count
-        a, sign, b = m.groups()
-        if sign in _HYPHENS and (a.lower(), b.lower()) in compounds:
-            return f"{a}{sign}{b}"
-        count += 1
-        return a + b
 
-    return _BROKEN.sub(one, text), count
+def _word_before(text: str, end: int) -> str:
+    start = max(text.rfind(" ", 0, end), text.rfind("\n", 0, end)) + 1
+    head = text[start:end].lstrip("([“‘\"'„«¿¡\xa0\t")
+    for sign in "-‐¬\xad—–":
+        if sign in head:
+            head = head.rpartition(sign)[2]
+    return head
 
 
-def _gather(site: dict[str, set[str]]):
+def line_end_pairs(text: str) -> list[tuple[int, str, str, str, int]]:
+    """Hyphens at line ends between words: position of the hyphen, word before, hyphen, word behind, its position."""
+    out: Pairs = []
+    if not any(x.rstrip()[-1:] in _BREAKERS for x in text.split("\n")[:-1]):
+        return out
+    for m in _BREAK.finditer(text):
+        after = _NEXT.match(text, m.end())
+        if after:
+            head = _word_before(text, m.start())
+            if _LETTER.search(head) and _LETTER.search(after.group()):
+                out.append((m.start(), head, m.group(1), after.group(), m.end()))
+    return out
+
+
+def compounds_within_lines(text: str) -> list[tuple[str, str]]:
+    """Neighbouring parts of words with hyphens inside."""
+    out = []
+    at = text.find("-")
+    while at >= 0:
+        after = _NEXT.match(text, at + 1)
+        if after and at and not text[at - 1].isspace():
+            head = _word_before(text, at)
+            if head:
+                out.append((head.lower(), after.group().lower()))
+        at = text.find("-", at + 1)
+    return out
+
+
+def _join_soft(text: str, pairs: Pairs, compounds: set[tuple[str, str]] | tuple) -> tuple[str, int]:
+    """`text` with broken words joined, and their number; compounds keep their hyphen and lose the line end."""
+    if not pairs:
+        return text, 0
+    out, at, count = [], 0, 0
+    for start, a, sign, b, end in pairs:
+        whole = sign in _HYPHENS and (a.lower(), b.lower()) in compounds
+        out += [text[at:start], sign if whole else ""]
+        at = end
+        count += not whole
+    return "".join(out) + text[at:], count
+
+
+def _gather(site: dict[str, SiteLines]):
     """Rows (kind, a, b, n, page): w word, c compound, p line-end pair with counts; e edge line of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        words: Counter[bytes] = Counter()
         compounds: Counter[tuple[str, str]] = Counter()
         pairs: Counter[tuple[str, str]] = Counter()
 
         def rows(force: bool) -> Iterator[pa.RecordBatch]:
             if force or len(words) + len(pairs) > 1_000_000:
+                for w in [w for w in words if not _HAS_LETTER.search(w)]:
+                    del words[w]
                 kind = ["w"] * len(words) + ["c"] * len(compounds) + ["p"] * len(pairs)
-                a = [*words, *(x for x, _ in compounds), *(x for x, _ in pairs)]
+                a = [*(w.decode("utf-8", "replace") for w in words), *(x for x, _ in compounds), *(x for x, _ in pairs)]
                 b = [""] * len(words) + [y for _, y in compounds] + [y for _, y in pairs]
                 yield _batch(kind, a, b, [*words.values(), *compounds.values(), *pairs.values()], [0] * len(kind))
                 for c in (words, compounds, pairs):
@@ -174,18 +257,20 @@ def _gather(site: dict[str, set[str]]):
         for batch in batches:
             doc, number, edges = [], [], []
             for d, s, n, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                page = Page(text, n, site.get(s, ()))
+                page = Page(text, n, site.get(s))
                 if d is not None and n is not None:
+                    own = document_hash(d)
                     for _, form in page.candidates():
-                        edges.append(form_hash(d, form))
+                        edges.append(form_hash(own, form))
                         number.append(n)
                 running = page.running()
-                for m in _BROKEN.finditer(running):
-                    if m.group(2) in _HYPHENS:
-                        pairs[m.group(1).lower(), m.group(3).lower()] += 1
-                joined, _ = _join_soft(running, ())
-                words.update(_tokens(joined))
-                compounds.update((a.lower(), b.lower()) for a, b in _COMPOUND.findall(running))
+                broken = line_end_pairs(running)
+                for _, a, sign, b, _ in broken:
+                    if sign in _HYPHENS:
+                        pairs[a.lower(), b.lower()] += 1
+                joined, _ = _join_soft(running, broken, ())
+                words.update(words_of(joined))
+                compounds.update(compounds_within_lines(joined))
             yield _batch(["e"] * len(edges), [""] * len(edges), [""] * len(edges), edges, number)
             yield from rows(False)
         yield from rows(True)
@@ -258,67 +343,85 @@ def compounds_at_line_ends(gathered: DataFrame) -> DataFrame:
 def paragraphs(lines: list[str]) -> list[str]:
     """Lines of a page as paragraphs of trimmed lines: a line ends one if it is blank, wider than print, in capitals or
     ends a sentence short of the usual width."""
-    widths = sorted(len(x.strip()) for x in lines if x.strip())
+    trimmed = [x.strip() for x in lines]
+    widths = sorted([len(x) for x in trimmed if x])
     wide = widths[int(len(widths) * 0.8)] if widths else 0
+    if wide > 110:
+        return [x for x in trimmed if x]
     out: list[list[str]] = [[]]
-    for x in lines:
-        words = x.strip()
-        if words:
-            out[-1].append(words)
-        if not words or wide > 110 or words.isupper() or (len(words) < 0.75 * wide and words[-1] in ".!?:”\""):
-            out.append([])
+    short = 0.75 * wide
+    for x in trimmed:
+        if x:
+            out[-1].append(x)
+            if not ((len(x) < short and x[-1] in ".!?:”\"") or (x[:2].isupper() and x.isupper())):
+                continue
+        out.append([])
     return ["\n".join(p) for p in out if p]
 
 
-def _edge_rows(site: dict[str, set[str]]):
+def _edge_rows(site: dict[str, SiteLines]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, forms = [], []
             for i, d, s, n, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if d is not None and n is not None:
-                    for _, form in Page(text, n, site.get(s, ())).candidates():
+                    for _, form in Page(text, n, site.get(s)).candidates():
                         ids.append(i)
-                        forms.append(form_hash(d, form))
+                        forms.append(form_hash(document_hash(d), form))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.int64())], names=["id", "h"])
 
     return run
 
 
-def _repair(site: dict[str, set[str]], headers: set[int] | None, wrong: dict[str, str], compounds: set[tuple[str, str]]):
+def _repair(site: dict[str, SiteLines], headers: set[int] | None, wrong: dict[str, str], compounds: set[tuple[str, str]]):
+    documents = {h >> 32 for h in headers or ()}
+    wrong_words = {w.encode() for w in wrong}
+
     def right_case(word: str) -> str:
-        fix = wrong[word.lower()]
+        fix = wrong.get(word.lower(), word)
         return fix.upper() if len(word) > 1 and word.upper() == word and any(c.isalpha() for c in word) else fix[:1].upper() + fix[1:] if word[:1].isupper() else fix
 
     def fix_words(text: str) -> tuple[str, int]:
-        if not any(w in wrong for w in _tokens(text)):
+        found = wrong_words.intersection(words_of(text))
+        if not found:
             return text, 0
-        count = 0
-
-        def one(m: re.Match) -> str:
-            nonlocal count
-            if m.group().lower() in wrong:
-                count += 1
-                return right_case(m.group())
-            return m.group()
-
-        return _WORD.sub(one, text), count
+        low = text.lower()
+        if len(low) != len(text):  # some capitals are longer in lower case
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        places = []
+        for w in found:
+            word = w.decode()
+            at = low.find(word)
+            while at >= 0:
+                end = at + len(word)
+                if not low[at - 1:at].isalnum() and not low[end:end + 1].isalnum():
+                    places.append((at, end))
+                at = low.find(word, end)
+        out, done = [], 0
+        for at, end in sorted(places):
+            if at >= done:
+                out += [text[done:at], right_case(text[at:end])]
+                done = end
+        return "".join(out) + text[done:], len(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out, n_hyphen, n_char, n_header, n_page = [], [], [], [], [], []
             for i, d, s, n, text, listed in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                page = Page(text, n, site.get(s, ()))
+                page = Page(text, n, site.get(s))
                 own_headers = headers if headers is not None else listed or ()
-                if d is not None and n is not None:
+                own = document_hash(d) if d is not None and n is not None else None
+                if own is not None and (own in documents or listed):
                     for at, form in page.candidates():
-                        if form_hash(d, form) in own_headers:
+                        if form_hash(own, form) in own_headers:
                             page.kind[at] = "header"
                 # With the headers gone, the number may stand at the edge.
                 own = [j for j, k in enumerate(page.kind) if k == "text"]
                 for j in {*own[:2], *own[-2:]}:
                     if states_page(page.lines[j], n):
                         page.kind[j] = "page_no"
-                joined, hyphens = _join_soft("\n\n".join(paragraphs(page.running().split("\n"))), compounds)
+                flowing = "\n\n".join(paragraphs([x for x, k in zip(page.lines, page.kind) if k in ("text", "blank")]))
+                joined, hyphens = _join_soft(flowing, line_end_pairs(flowing), compounds)
                 fixed, chars = fix_words(joined)
                 ids.append(i)
                 out.append(_LINE_END.sub(" ", fixed))
@@ -349,9 +452,10 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_row_id").cast("long"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"), F.col("page_number").cast("long").alias("number"), "text").filter("text IS NOT NULL")
     confirmed, _ = repeated_lines(pages)
-    site: dict[str, set[str]] = {}
+    forms: dict[str, set[str]] = {}
     for src, form, *_ in _collected(confirmed, "repeated lines"):
-        site.setdefault(src, set()).add(form)
+        forms.setdefault(src, set()).add(form)
+    site = {src: SiteLines(own) for src, own in forms.items()}
     seen = rows.select("doc", "src", "number", "text").mapInArrow(_gather(site), "kind string, a string, b string, n long, page long")
     # Edge lines are counted by distinct page, everything else is summed; one shuffle does both.
     key = F.when(F.col("kind") == "e", F.col("n"))
