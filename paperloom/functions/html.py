@@ -65,7 +65,7 @@ class _Scan(HTMLParser):
                     text = squeeze("".join(parts))
                     if tag in ("title", "h1", "h2", "h3"):
                         self.texts.setdefault(tag, text)
-                    if tag in ("th", "dt", "label", "strong", "b"):
+                    if tag in ("th", "dt", "label", "strong", "b") and not (self._label and any(x in ("td", "dd") for x, _ in self._open)):
                         self._label = text.rstrip(":").strip()
                     elif tag in ("td", "dd") and self._label:
                         self.pairs.append((self._label, text))

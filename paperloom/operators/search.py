@@ -45,12 +45,14 @@ class Match:
     parts: tuple = ()
     distance: int = 10
 
-    def scored(self) -> list[Phrase]:
-        """Phrases that count for the score, repeated ones each; the right side of NOT doesn't."""
+    def scored(self) -> list[tuple[Phrase, tuple[Match, ...]]]:
+        """Phrases that count for the score, repeated ones each, and the alternatives that must match for them to
+        count; the right side of NOT doesn't."""
         if self.kind == "phrase":
-            return [self.parts[0]]
+            return [(self.parts[0], ())]
         parts = self.parts[:1] if self.kind == "not" else self.parts
-        return [p for part in parts for p in part.scored()]
+        own = [(part, (part,) if self.kind == "or" and part.kind != "phrase" else ()) for part in parts]
+        return [(p, outer + inner) for part, outer in own for p, inner in part.scored()]
 
 
 _LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([(){}:*+,])|(-)|([^\s"(){}:*+,\-]+))')
@@ -315,12 +317,15 @@ def search(index: DataFrame, query: str, source: str | None = None, limit: int =
     stats = counted.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))]).first()
     by_phrase = {p: F.col(f"_f{i}") for i, p in enumerate(phrases)}
     score = F.lit(0.0)
-    for p in match.scored():
+    for p, alternatives in match.scored():
         i = phrases.index(p)
         n, total = stats[f"_n{i}"], stats["_n"]
         idf = _idf(n, total)
         f = F.col(f"_f{i}").cast("double")
-        score = score - idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["_avg"] or 1.0)))
+        part = idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["_avg"] or 1.0)))
+        for a in alternatives:
+            part = F.when(_matches(a, by_phrase), part).otherwise(F.lit(0.0))
+        score = score - part
     hits = counted.filter(_matches(match, by_phrase))
     if source is not None:
         hits = hits.filter(F.col("source") == source)
@@ -401,7 +406,7 @@ def snippet(text: str | None, phrases: list[Phrase], width: int = SNIPPET_TOKENS
 
 def with_snippets(hits: DataFrame, query: str, body_col: str = "body") -> DataFrame:
     """Hits with a snippet of the body; call it on the top rows, which are at most 100."""
-    phrases = parse_match(query).scored()
+    phrases = [p for p, _ in parse_match(query).scored()]
 
     @F.pandas_udf("string")
     def cut(body: pd.Series) -> pd.Series:

@@ -64,7 +64,8 @@ def _search_sql(query: str, source: str | None = None, limit: int = 10) -> str:
     counts = ", ".join(f"{_sql_count(p)} AS f{i}" for i, p in enumerate(phrases))
     stats = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(phrases)))
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
-    score = " - ".join(["0.0", *(f"({idf(i)}) * (f{i} * 2.2) / (f{i} + 1.2 * (0.25 + 0.75 * len_ / avg_))" for i in (phrases.index(p) for p in m.scored()))])
+    counts_if = lambda alternatives: " AND ".join(["true", *(_sql_match(a, phrases) for a in alternatives)])
+    score = " - ".join(["0.0", *(f"CASE WHEN {counts_if(a)} THEN ({idf(i)}) * (f{i} * 2.2) / (f{i} + 1.2 * (0.25 + 0.75 * len_ / avg_)) ELSE 0 END" for i, a in ((phrases.index(p), a) for p, a in m.scored()))])
     where = _sql_match(m, phrases) + (f" AND source = '{source}'" if source else "")
     return f"""
 WITH ix AS ({_INDEX_SQL}), c AS (SELECT *, len(tt) + len(bt) AS len_, {counts} FROM ix),

@@ -42,7 +42,10 @@ class Source:
 
 
 def matches_query(query: str, fields: tuple[str, ...], metadata: bool = False) -> Column:
-    """Whether the fields together, in lower case, have every word of the query; an empty query matches all."""
+    """Whether the fields together, in lower case, have every word of the query. An empty query matches all, and so
+    does every query where there are no fields: the source has searched itself."""
+    if not fields and not metadata:
+        return F.lit(True)
     parts = [F.coalesce(F.col(f), F.lit("")) for f in fields]
     if metadata:
         parts.append(F.array_join(F.map_values(F.coalesce("metadata", F.create_map().cast("map<string,string>"))), " "))
