@@ -43,6 +43,8 @@ _BYTE_FOLDS = [(a.encode(), b.encode()) for a, b in _FOLDS]
 SHORT_RATIO, LONG_RATIO = 20, 8
 #: Corrections and compounds that are sent to every task, at most.
 MAX_DECISIONS = 1_000_000
+#: Running headers that are sent to every task, at most; beyond it they are joined to their pages.
+MAX_HEADERS = 1_000_000
 _EDGE = 3
 #: Longer lines are compared as they are: no header of print is that long.
 MAX_FOLDED = 300
@@ -461,7 +463,7 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     key = F.when(F.col("kind") == "e", F.col("n"))
     gathered = shared(seen.groupBy("kind", "a", "b", key.alias("h"), "page").agg(F.sum(F.when(F.col("kind") != "e", F.col("n"))).alias("n")))
     recurring = shared(gathered.filter("kind = 'e'").groupBy("h").agg(F.count("*").alias("pages")).filter("pages >= 3").select("h"))
-    if recurring.count() <= MAX_DECISIONS:
+    if recurring.count() <= MAX_HEADERS:
         headers = {h for (h,) in recurring.collect()}
         rows = rows.withColumn("listed", F.lit(None).cast("array<bigint>"))
     else:
