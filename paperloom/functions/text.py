@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as a class of Java's regular expressions.
@@ -26,6 +26,12 @@ def accent_table() -> tuple[str, str]:
 _MARKED, _PLAIN = accent_table()
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with computed columns that are evaluated once per row: the optimizer neither copies a generator into later
+    expressions nor pushes a filter through it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fold(text: Column) -> Column:
     """Lower case without the marks of Latin letters."""
     return F.translate(F.lower(text), _MARKED, _PLAIN)

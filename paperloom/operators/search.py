@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import tokenize
+from paperloom.functions.text import once, tokenize
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -214,7 +214,7 @@ def parse_match(text: str) -> Match:
 
 def build_index(rows: DataFrame) -> DataFrame:
     """Index rows of rows with title and body: all columns and title_tokens, body_tokens, n_tokens."""
-    out = rows.withColumn("title_tokens", tokenize(F.col("title"))).withColumn("body_tokens", tokenize(F.col("body")))
+    out = once(rows, title_tokens=tokenize(F.col("title")), body_tokens=tokenize(F.col("body")))
     return out.withColumn("n_tokens", F.size("title_tokens") + F.size("body_tokens"))
 
 
@@ -258,8 +258,12 @@ def _count(phrase: Phrase) -> Column:
         w = phrase.words[0]
         test = (lambda t: t.startswith(w)) if phrase.prefix else (lambda t: t == w)
         sizes = [F.size(F.filter(f"{c}_tokens", test)) for c in phrase.columns]
-    else:
-        sizes = [F.size(_starts(phrase, c)) for c in phrase.columns]
+    elif not phrase.words:
+        sizes = []
+    else:  # tokens are letters and digits, so they need no quoting; the look-ahead lets occurrences overlap
+        rest = " ".join(phrase.words[1:]) + ("" if phrase.prefix else " ")
+        pattern = F.lit(f" {phrase.words[0]}(?= {rest})")
+        sizes = [F.regexp_count(F.concat(F.lit(" "), F.array_join(f"{c}_tokens", " "), F.lit(" ")), pattern) for c in phrase.columns]
     return reduce(lambda a, b: a + b, sizes, F.lit(0))
 
 
@@ -313,7 +317,7 @@ def search(index: DataFrame, query: str, source: str | None = None, limit: int =
     """
     match = parse_match(query)
     phrases = list(dict.fromkeys(_all_phrases(match)))
-    counted = index.select("*", *[_count(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    counted = once(index, **{f"_f{i}": _count(p) for i, p in enumerate(phrases)})
     stats = counted.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))]).first()
     by_phrase = {p: F.col(f"_f{i}") for i, p in enumerate(phrases)}
     score = F.lit(0.0)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import once
+
 # English month abbreviations, zone abbreviations in hours from UTC, military zone letters.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 ZONE_HOURS = {
@@ -71,12 +73,6 @@ def _cascade(s: Column) -> Column:
     return out
 
 
-def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """`df` with computed columns that the optimizer takes as they are: a generator isn't merged into later
-    expressions and no filter is pushed through it, so the cascade is evaluated once and not once per use."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _number(text: Column) -> Column:
     return F.when(text != "", text).try_cast("int")
 
@@ -125,7 +121,7 @@ def normalize_timestamps(df: DataFrame, id_col: str, date_col: str, profiles: Da
         zone, order = known.filter(F.col("_source") == source).select("_zone", "_order").first() or (None, None)
         rows = rows.withColumns({"_zone": F.lit(zone).cast("string"), "_order": F.lit(order).cast("string")})
     f = rows.withColumn("_s", F.regexp_replace(trimmed, r"(?U)\s+", " "))
-    f = _fixed(f, _f=_cascade(F.col("_s")))
+    f = once(f, _f=_cascade(F.col("_s")))
 
     g = {k: F.col(f"_f.{k}") for k in _FIELDS}
     month_name = reduce(lambda c, im: c.when(F.lower(F.substring(g["n"], 1, 3)) == im[1], F.lit(im[0] + 1)), enumerate(MONTHS), F.when(F.lit(False), F.lit(0)))
@@ -137,7 +133,7 @@ def normalize_timestamps(df: DataFrame, id_col: str, date_col: str, profiles: Da
         F.when(half == "", hour)
         .when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "pm", F.lit(12)).otherwise(F.lit(0)))
     )
-    f = _fixed(
+    f = once(
         f,
         _y=F.when(g["v"] != "", F.lit(1900) + _number(g["v"])).otherwise(_number(g["y"])),
         _m=F.when(g["n"] != "", month_name).when(slashed, F.when(month_first, a).otherwise(b)).otherwise(_number(g["m"])),
@@ -158,15 +154,15 @@ def normalize_timestamps(df: DataFrame, id_col: str, date_col: str, profiles: Da
     is_local = (F.col("_grain") == "instant") & F.col("_epoch").isNull() & F.col("_off").isNull()
     # A wall clock is kept as the instant that shows it in UTC, so nothing depends on the session's zone.
     made = F.try_make_timestamp(F.col("_y"), F.coalesce(F.col("_m"), F.lit(1)), day, F.coalesce(F.col("_h"), F.lit(0)), F.col("_i"), F.col("_sec").cast("decimal(8,6)"), utc)
-    f = _fixed(f, _wall=F.when(F.col("_epoch").isNull() & F.col("_y").between(1, 9999) & (F.col("_sec") < 60) & (F.coalesce(F.col("_h"), F.lit(0)) < 24), made))
+    f = once(f, _wall=F.when(F.col("_epoch").isNull() & F.col("_y").between(1, 9999) & (F.col("_sec") < 60) & (F.coalesce(F.col("_h"), F.lit(0)) < 24), made))
     # The zone's offset well before and well after the wall clock: a local time exists once if the readings by
     # both offsets agree or only one of them shows the written time again.
     zone = F.when(is_local, F.col("_zone"))
     before = F.unix_millis(F.from_utc_timestamp(F.col("_wall") - F.expr("INTERVAL 1 DAY"), zone)) - F.unix_millis(F.col("_wall") - F.expr("INTERVAL 1 DAY"))
     after = F.unix_millis(F.from_utc_timestamp(F.col("_wall") + F.expr("INTERVAL 1 DAY"), zone)) - F.unix_millis(F.col("_wall") + F.expr("INTERVAL 1 DAY"))
-    f = _fixed(f, _w=F.unix_millis("_wall"), _b=before, _a=after)
+    f = once(f, _w=F.unix_millis("_wall"), _b=before, _a=after)
     shows = lambda off: F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(F.col("_w") - off), F.col("_zone"))) == F.col("_w")
-    f = _fixed(f, _by_b=shows(F.col("_b")), _by_a=shows(F.col("_a")))
+    f = once(f, _by_b=shows(F.col("_b")), _by_a=shows(F.col("_a")))
     local = F.when(F.col("_by_b"), F.col("_w") - F.col("_b")).when(F.col("_by_a"), F.col("_w") - F.col("_a"))
 
     bad_month = F.col("_grain").isin("month") & ~F.coalesce(F.col("_m").between(1, 12), F.lit(False))
@@ -189,6 +185,6 @@ def normalize_timestamps(df: DataFrame, id_col: str, date_col: str, profiles: Da
         .when(F.col("_grain") == "month", F.concat_ws("-", pad(F.col("_y"), 4), pad(F.col("_m"), 2)))
         .otherwise(pad(F.col("_y"), 4))
     )
-    f = _fixed(f, _status=status)
+    f = once(f, _status=status)
     ok = F.col("_status") == "ok"
-    return _fixed(f, normal_form=F.when(ok, form), granularity=F.when(ok, F.col("_grain")), pattern=F.col("_f.pattern"), status=F.col("_status")).select("row_id", "written", "normal_form", "granularity", "pattern", "status")
+    return once(f, normal_form=F.when(ok, form), granularity=F.when(ok, F.col("_grain")), pattern=F.col("_f.pattern"), status=F.col("_status")).select("row_id", "written", "normal_form", "granularity", "pattern", "status")
