@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import ident, text, url
-from paperloom.operators import chunking, jobs, pages, reconcile, search, store
+from paperloom.operators import chunking, evals, jobs, pages, reconcile, search, store
 from paperloom.plans import ingest
 from paperloom.session import table
 
@@ -91,6 +91,22 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("source_warning", search.source_warning(F.col("metadata_json"))).drop("body")
 
 
+class ChunkSearch:
+    """Search backend over the project's chunks."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.index = search.build_index(index_rows(spark, sf_dir))
+
+    def search(self, query: str, source: str | None, limit: int) -> DataFrame:
+        return search.with_snippets(search.search(self.index, query, source, limit, ("document_key", "chunk_id", "row_id")), query)
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation harness over the named searches."""
+    named = [evals.EvalQuery(name, q, s) for name, (q, s) in SEARCHES.items()]
+    return evals.report(evals.evaluate(spark, ChunkSearch(spark, sf_dir), named)).drop("elapsed_ms")
+
+
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.term_stats(search.build_index(index_rows(spark, sf_dir)))
 
@@ -369,7 +385,7 @@ FROM e LEFT JOIN f ON e.document_key = f.document_key AND e.page = f.page WHERE
 
 QUERIES = {
     **{name: _search(q, s) for name, (q, s) in SEARCHES.items()},
-    "search_snippets": search_snippets, "term_stats": term_stats, "doc_lengths": doc_lengths, "postings": postings, "stored_hits_shape": stored_hits_shape,
+    "search_snippets": search_snippets, "eval_report": eval_report, "term_stats": term_stats, "doc_lengths": doc_lengths, "postings": postings, "stored_hits_shape": stored_hits_shape,
     "page_split": page_split, "quality_warnings": quality_warnings, "document_page_count": document_page_count, "page_range_text": page_range_text,
     "chunk_greedy_800": _chunk_assignment(800), "chunk_greedy_40": _chunk_assignment(40), "chunk_texts_800": _chunks(800), "token_estimate": token_estimate,
     "document_key_fnv": document_key_fnv, "document_rules": document_rules, "malformed_keys": malformed_keys, "duplicate_deliveries": duplicate_deliveries, "public_id_lookup": public_id_lookup,

@@ -77,9 +77,10 @@ def listed_links(source: Source, documents: DataFrame) -> DataFrame:
     the source's rules allow, without navigation."""
     scanned = documents.select("ord", "page_url", scan_udf()(F.col("html")).alias("s"))
     links = scanned.select("ord", "page_url", F.posexplode("s.anchors").alias("pos", "a"))
-    links = links.select("ord", "pos", url.canonical(url.absolutize(F.col("a.href"), F.col("page_url"))).alias("document_url"), text.squeeze(F.col("a.label")).alias("label"))
+    links = text.once(links, absolute=url.absolutize(F.col("a.href"), F.col("page_url")), label=text.squeeze(F.col("a.label")))
+    links = text.once(links, document_url=url.canonical(F.col("absolute")))
     parts, condition = allowed(source, F.col("document_url"))
-    kept = links.withColumns(parts).filter(condition)
+    kept = text.once(links, **parts).filter(condition)
     if source.navigation:
         kept = kept.filter(~F.lower("label").isin(*source.navigation))
     if source.leads:
@@ -101,8 +102,9 @@ def records_of(source: Source, rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     opt = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
     sid = F.coalesce(opt("source_id"), url.source_id_of(F.col("document_url"), source.home))
-    rows = rows.withColumn("_sid", sid).withColumn("_title", text.first_non_empty(opt("title"), F.col("label"), text.title_from_id(F.col("_sid"))))
-    rows = rows.withColumn("_role", role_of(F.col("document_url"), F.col("label"))).withColumns({"u": F.lower("document_url"), "t": F.lower("_title")})
+    rows = text.once(rows, _sid=sid, _role=role_of(F.col("document_url"), F.col("label")), u=F.lower("document_url"))
+    rows = text.once(rows, _title=text.first_non_empty(opt("title"), F.col("label"), text.title_from_id(F.col("_sid"))))
+    rows = rows.withColumn("t", F.lower("_title"))
     key = {"source_id": "_sid", "document_url": "document_url"}[source.dedupe]
     others = [c for c in rows.columns if c != key]
     first = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct("ord", "pos")).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
