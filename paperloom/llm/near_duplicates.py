@@ -246,7 +246,7 @@ def similar_texts(rows: DataFrame, width: int = 3, threshold: Fraction = Fractio
     """
     spark = rows.sparkSession
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    parts = int(max(1, min(4096, chars // 13 // PART_ENTRIES)))
+    parts = int(max(1, min(65_536, chars // 13 // PART_ENTRIES)))
     classes = spark.sparkContext.broadcast(frequency_classes(rows, width, cells).tobytes())
     lists = rows.select("h", "text").mapInArrow(_short_lists(width, threshold, parts, classes), "part int, doc long, size int, ends long, beyond binary, keys binary")
     pairs = lists.groupBy("part").applyInArrow(_merge(threshold, parts), "a long, b long, n long, need long")

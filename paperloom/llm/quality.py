@@ -24,6 +24,8 @@ FEATURES = ("common_share", "mean_word_length", "symbol_share", "punctuated_shar
 #: Labelled documents that name the components and documents that start the fit, at most.
 MAX_LABELS = 20_000
 MAX_SEEDS = 2_000
+#: Common words, a short list by their nature; a longer one is refused.
+MAX_COMMON_WORDS = 50_000
 
 
 def text_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,12 +34,15 @@ def text_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_i
     mean_word_length of the runs of letters and digits; symbol_share: characters other than white space that are
     neither letter nor digit, of those other than white space; punctuated_share: non-blank lines that end in . ! ? : ;
     or a closing mark after one, of all non-blank lines; common_share: words in `common_words` (all languages
-    together), of all words; digit_share: words with a digit; distinct_share: distinct words of the first to last
-    word's square root scale, 1 if none repeats; long_line_share: characters that stand in lines of at least 50;
-    sentence_share: words that follow a word after one blank only; word_share: letters of all characters.
+    together), of all words; digit_share: words with a digit; distinct_share: distinct words over twenty times
+    the square root of the number of words, at most 1 (a measure of vocabulary that hardly depends on length);
+    long_line_share: characters that stand in lines of at least 50; sentence_share: places where one blank, perhaps
+    after a comma, stands between letters, over the words; word_share: letters, of the characters other than white space.
     A null or blank text has zeros throughout. Repeated rows are repeated; other columns are ignored.
     """
-    stop = [w for (w,) in common_words.select(F.lower("word")).filter("word IS NOT NULL").distinct().limit(5000).collect()]
+    stop = [w for (w,) in common_words.select(F.lower("word")).filter("word IS NOT NULL").distinct().collect()]
+    if len(stop) > MAX_COMMON_WORDS:
+        raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
     words = F.regexp_extract_all(F.lower("_text"), F.lit(WORDS), F.lit(0))
