@@ -49,16 +49,15 @@ def text_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_i
     rows = rows.select("*", F.inline(F.array(F.struct(words.alias("_w"), F.split("_text", "\n").alias("_l")))))
     n_words, dense = F.size("_w"), F.length(F.regexp_replace("_text", f"{SPACE}+", ""))
     letters = F.length(F.regexp_replace("_text", r"[^\p{L}]+", ""))
-    signs = F.length(F.regexp_replace("_text", r"[\p{L}\p{N}]+", ""))
+    in_words = F.length(F.array_join("_w", ""))
     full = F.filter("_l", lambda x: F.trim(x) != "")
     share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
     total = F.length("_text")
-    blanks = total - dense
     measured = rows.select(
         "doc_id",
         n_words.cast("long").alias("n_words"), F.size(full).cast("long").alias("n_lines"),
-        share(total - signs, n_words).alias("mean_word_length"),
-        share(F.greatest(signs - blanks, F.lit(0)), dense).alias("symbol_share"),
+        share(in_words, n_words).alias("mean_word_length"),
+        share(F.greatest(dense - in_words, F.lit(0)), dense).alias("symbol_share"),
         share(F.regexp_count("_text", F.lit(r"(?m)[.!?:;…][\"'”’»)\]]*[ \t]*$")), F.size(full)).alias("_punctuated"),
         share(F.size(F.filter("_w", lambda w: w.isin(stop) if stop else F.lit(False))), n_words).alias("common_share"),
         share(F.regexp_count("_text", F.lit(r"\p{L}*\p{N}[\p{L}\p{N}]*")), n_words).alias("digit_share"),
