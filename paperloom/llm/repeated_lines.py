@@ -29,20 +29,37 @@ MAX_BROADCAST_LINES = 200_000
 
 _LETTERS = r"[^\W\d_²³¹¼-¾]"
 _FOUR_RUNS = re.compile(rf"(?:{_LETTERS}+[\W\d_²³¹¼-¾]+){{3}}{_LETTERS}")
-_DIGITS = re.compile(r"\d+")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
 _SPACES = re.compile(f"{PY_SPACE}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to Unicode
 
 
+def _numbers_as_signs(text: str) -> str:
+    low = text.lower()
+    return _DIGITS.sub("#", low) if _DIGIT.search(low) else low
+
+
+def _squeezed(line: str) -> str:
+    return _SPACES.sub(" ", line).strip(" ") if _SEPARATORS.search(line) else " ".join(line.split())
+
+
 def line_form(line: str) -> str:
     """Lower case, `#` for a run of digits, trimmed, one blank for a run of white space."""
-    low = _DIGITS.sub("#", line.lower())
-    return _SPACES.sub(" ", low).strip(" ") if _SEPARATORS.search(low) else " ".join(low.split())
+    return _squeezed(_numbers_as_signs(line))
+
+
+def page_forms(text: str) -> list[tuple[int, str]]:
+    """Number (from 1) and form of the lines of more than six characters."""
+    low = _numbers_as_signs(text)
+    lines = low.split("\n")
+    if _SEPARATORS.search(low):
+        return [(n, _squeezed(x)) for n, x in enumerate(lines, 1) if len(x) > 6]
+    return [(n, " ".join(x.split())) for n, x in enumerate(lines, 1) if len(x) > 6]
 
 
 def eligible_lines(text: str) -> list[tuple[int, str]]:
     """Number (from 1) and form of the lines with at least four runs of letters."""
-    return [(n, line_form(line)) for n, line in enumerate(text.split("\n"), 1) if len(line) > 6 and _FOUR_RUNS.search(line)]
+    return [(n, form) for n, form in page_forms(text) if _FOUR_RUNS.search(form)]
 
 
 def line_hash(form: str) -> int:
@@ -107,8 +124,7 @@ def _occurrences(wanted: dict[str, set[int]] | None):
                 if own is not None and not own:
                     continue
                 # Candidates are forms of eligible lines, so a line with such a form is eligible.
-                lines = eligible_lines(text) if own is None else [(n, line_form(x)) for n, x in enumerate(text.split("\n"), 1) if len(x) > 6]
-                for n, f in lines:
+                for n, f in eligible_lines(text) if own is None else page_forms(text):
                     h = line_hash(f)
                     if own is None or h in own:
                         page.append(p)
