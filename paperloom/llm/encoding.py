@@ -242,7 +242,12 @@ def _undo_token(token: str) -> str:
 
 def undo_utf8(text: str) -> str:
     """`text` with runs of characters whose bytes are whole UTF-8 in some reading put right, without a lexicon."""
-    return text if text.isascii() else _RUN.sub(lambda m: _undo_token(m.group()), text)
+    if text.isascii():
+        return text
+    runs = _RUN.findall(text)
+    if not runs or not any(_undo_token(r) != r for r in set(runs)):
+        return text
+    return _RUN.sub(lambda m: _undo_token(m.group()), text)
 
 
 def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,7 +154,7 @@ class Page:
         self.lines = self.text.split("\n")
         self.kind = ["text" if x and not x.isspace() else "blank" for x in self.lines]
         if site:
-            for n, line in enumerate(text.split("\n")):
+            for n, line in enumerate(self.lines if self.text is text else text.split("\n")):
                 first = line.split(None, 1)[:1]
                 if first and (first[0].lower() in site.firsts or not first[0].isalpha()) and line_form(line) in site.forms:
                     self.kind[n] = "site"
