@@ -1,10 +1,14 @@
 """Evaluation passages in a corpus (problem 9).
 
-Fingerprints are 64-bit SimHashes of the words of every window of `width` words, of the items as of the documents.
-A fingerprint is cut into radius + 1 blocks; two within the radius agree in at least one block, so tables of the
-items' blocks find every pair within it. Candidates are verified by the exact weighted similarity of the windows' word
-shingles. The window is as long as the passage that counts as leaked, not as the item: windows of an item's whole
-length can't find its parts.
+Windows of `width` words, of the items as of the documents, are similar if the weighted similarity of their word
+shingles is at least `least`. Such windows share a shingle, so an index of the items' shingles finds every pair: of a
+document's window only those shingles are looked up that together weigh more than the part that may differ, and only
+if all its shingles that occur in items weigh enough. The window is as long as the passage that counts as leaked, not
+as the item: windows of an item's whole length can't find its parts.
+
+With a radius, candidates come from 64-bit SimHashes of the windows instead. A fingerprint is cut into radius + 1
+blocks; two within the radius agree in at least one block, so tables of the items' blocks find every pair within it.
+One word of 13 replaced flips about 7 bits, so a small radius finds little beyond equal windows.
 
 The items are a stated query set: they are sent to the tasks in blocks of bounded size, and the documents are read
 once per block without any shuffle of their text.
@@ -25,10 +29,13 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 #: Words of items in one block; 2 million make tables of about 60 MB in a task.
 BLOCK_WORDS = 2_000_000
+#: Words of a shingle.
+SHINGLE = 5
 _SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 _ONES = np.uint64(0x0101010101010101)
 _HIGH = np.uint64(0x8080808080808080)
 _GATHER = np.uint64(0x0102040810204080)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -41,6 +48,7 @@ class Vocabulary:
         self.numbers: dict[str, int] = {}
         self.lanes = np.zeros((1024, 8), dtype=np.uint64)
         self.hashes = np.zeros(1024, dtype=np.uint64)
+        self.letters = np.zeros(1024, dtype=np.int64)
 
     def number(self, words: list[str]) -> np.ndarray:
         known = self.numbers
@@ -58,8 +66,10 @@ class Vocabulary:
         if n == len(self.lanes):
             self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         h = xxhash.xxh64_intdigest(word)
         self.hashes[n] = h
+        self.letters[n] = len(word)
         self.lanes[n] = [_SPREAD[(h >> (8 * k)) & 255] for k in range(8)]
         self.numbers[word] = n
         return n
@@ -112,7 +122,81 @@ class BlockIndex:
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
-def shingle_similarity(a: tuple[str, ...], b: tuple[str, ...], size: int = 5) -> float:
+class ShingleIndex:
+    """Finds every stored window whose shingle similarity with a given one is at least `least`."""
+
+    def __init__(self, numbers: list[np.ndarray], vocabulary: Vocabulary, width: int, least: float, size: int = SHINGLE) -> None:
+        """numbers: of each text of at least `width` words its word numbers; windows count through all texts."""
+        self.least, self.size, self.per = least, min(size, width), width - min(size, width) + 1
+        keys, at, first = [], [], 0
+        for n in numbers:
+            key = self._keys(n, vocabulary)
+            starts = np.arange(len(key) - self.per + 1)
+            keys.append(np.lib.stride_tricks.sliding_window_view(key, self.per).ravel())
+            at.append(np.repeat(first + starts, self.per))
+            first += len(starts)
+        key, window = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((keys, np.uint64), (at, np.int64)))
+        order = np.lexsort((window, key))
+        key, window = key[order], window[order]
+        once = np.ones(len(key), dtype=bool)
+        once[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1])
+        self.windows = window[once]
+        self.keys, self.first, self.counts = np.unique(key[once], return_index=True, return_counts=True)
+        self.present = np.zeros(1 << 22, dtype=bool)
+        self.present[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def _keys(self, numbers: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        hashes, n = vocabulary.hashes[numbers], len(numbers) - self.size + 1
+        key = np.zeros(n, dtype=np.uint64)
+        for k in range(self.size):
+            key = key * _MULTIPLIER + hashes[k:k + n]
+            key ^= key >> np.uint64(29)
+        return key
+
+    def search(self, numbers: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (query, stored) of pairs that include all similar ones, each once; queries start at each word."""
+        none = np.empty(0, np.int64)
+        key = self._keys(numbers, vocabulary)
+        maybe = np.nonzero(self.present[(key & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
+        if not len(maybe) or not len(self.keys) or len(key) < self.per:
+            return none, none
+        slot = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+        stored = np.full(len(key), -1)
+        stored[maybe] = np.where(self.keys[slot] == key[maybe], slot, -1)
+        total = np.concatenate([[0], np.cumsum(stored >= 0)])
+        at = np.nonzero(total[self.per:] > total[:-self.per])[0]
+        if not len(at):
+            return none, none
+        # A shingle counts once in a window: where it occurs first.
+        order = np.argsort(key, kind="stable")
+        before = np.full(len(key), -1)
+        equal = key[order[1:]] == key[order[:-1]]
+        before[order[1:][equal]] = order[:-1][equal]
+        letters = np.concatenate([[0], np.cumsum(vocabulary.letters[numbers])])
+        weights = letters[self.size:] - letters[:-self.size]
+        places = at[:, None] + np.arange(self.per)
+        weight = weights[places] * (before[places] < at[:, None])
+        known = stored[places] >= 0
+        all_of = weight.sum(axis=1)
+        enough = (weight * known).sum(axis=1) >= self.least * all_of * (1 - 1e-9)
+        at, places, weight, known, all_of = at[enough], places[enough], weight[enough], known[enough], all_of[enough]
+        # Shingles by number of stored windows, those in none first, until they weigh more than what may differ.
+        slots = stored[places]
+        number = np.where(weight == 0, np.iinfo(np.int64).max, np.where(known, self.counts[slots], 0))
+        order = np.argsort(number, axis=1, kind="stable")
+        weight, slots = np.take_along_axis(weight, order, 1), np.take_along_axis(slots, order, 1)
+        earlier = np.cumsum(weight, axis=1) - weight
+        look = (earlier <= (1 - self.least) * all_of[:, None] * (1 + 1e-9)) & (weight > 0) & (slots >= 0)
+        row, column = np.nonzero(look)
+        slot = slots[row, column]
+        n = self.counts[slot]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s = self.windows[np.repeat(self.first[slot], n) + within]
+        both = np.unique(np.repeat(at[row], n) * (self.windows.max() + 1) + s)
+        return both // (self.windows.max() + 1), both % (self.windows.max() + 1)
+
+
+def shingle_similarity(a: tuple[str, ...], b: tuple[str, ...], size: int = SHINGLE) -> float:
     """Weighted Jaccard similarity of the word shingles of two windows; a shingle weighs as many as its letters."""
     x, y = ({w[i:i + size] for i in range(max(1, len(w) - size + 1))} for w in (a, b))
     weigh = lambda s: sum(len(w) for sh in s for w in sh)
@@ -120,16 +204,20 @@ def shingle_similarity(a: tuple[str, ...], b: tuple[str, ...], size: int = 5) ->
     return weigh(x & y) / union if union else 1.0
 
 
-def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int, least: float):
+def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        windows, prints = [], []
+        windows, stated = [], []
         for item, words in items:
             if len(words) >= width:
-                prints.append(simhashes(vocabulary.lanes[vocabulary.number(words)], width))
+                stated.append(vocabulary.number(words))
                 windows += [(item, i) for i in range(len(words) - width + 1)]
         words_of = dict(items)
-        index = BlockIndex(np.concatenate(prints) if prints else np.empty(0, np.uint64), radius)
+        if radius is None:
+            index = ShingleIndex(stated, vocabulary, width, least)
+        else:
+            prints = [simhashes(vocabulary.lanes[n], width) for n in stated]
+            index = BlockIndex(np.concatenate(prints) if prints else np.empty(0, np.uint64), radius)
         base = len(vocabulary.numbers)
 
         def found(ids: list[int], docs: list[list[str]]) -> dict[tuple[int, int], list]:
@@ -138,7 +226,7 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int, least:
             best: dict[tuple[int, int], list] = defaultdict(lambda: [0, 0.0, 0])
             if len(numbers) >= width and len(windows):
                 start = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-                q, s = index.search(simhashes(vocabulary.lanes[numbers], width))
+                q, s = index.search(numbers, vocabulary) if radius is None else index.search(simhashes(vocabulary.lanes[numbers], width))
                 same = owner[q] == owner[q + width - 1]
                 for i, j in zip(q[same].tolist(), s[same].tolist()):
                     d, (item, k) = owner[i], windows[j]
@@ -176,15 +264,17 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int, least:
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, width: int = 13, radius: int = 2, least: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, width: int = 13, radius: int | None = None, least: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Documents with windows of `width` words that an item has too: doc_id, item_id, n_windows, similarity, n_exact.
 
-    n_windows counts pairs of windows within the fingerprints' radius whose similarity is at least `least`, similarity
-    is the best of them, n_exact those of identical words. All windows of at least `width` shared consecutive words
-    are found, since equal windows have equal fingerprints. Words are runs of letters and digits in lower case.
+    n_windows counts pairs of windows whose similarity is at least `least` (above 0, at most 1), similarity is the best
+    of them, n_exact those of identical words. All such pairs are found; with a radius only those within it, which
+    include all of identical words, since equal windows have equal fingerprints. Words are runs of letters and digits in lower case.
     Null texts and texts under `width` words share nothing; an item id or document id that occurs twice with other
     texts is compared with each (rows of one id are then repeated); other columns are ignored.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     stated = items.select(F.col(item_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator()
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     size = 0

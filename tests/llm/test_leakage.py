@@ -53,3 +53,30 @@ def test_against_brute_force(spark):
     found = leaked_items(df, it)
     assert {(r["doc_id"], r["item_id"]) for r in found.filter("n_exact > 0").collect()} == want
     assert leaked_items(df.limit(0), it).count() == 0 and leaked_items(df, it.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width,least", [(13, 0.8), (13, 0.3), (13, 1.0), (3, 0.8), (30, 0.6)])
+def test_similar_windows_against_brute_force(spark, width, least):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}"[: 2 + i % 6] + "x" * (i % 9) for i in range(400)]
+    text = lambda n: [words[i] for i in rng.integers(0, 400, n)]
+    items = [(i, text(int(rng.integers(10, 40)))) for i in range(12)] + [(50, ["a", "b", "c"] * 12)]
+    docs = [(700, ["a", "b", "c"] * 15)]
+    for d in range(60):
+        own, leak = text(int(rng.integers(0, 40))), list(items[d % 12][1])
+        edit, at = d % 4, int(rng.integers(0, len(leak)))  # as it is, one word replaced, left out or added
+        leak[at:at + (edit in (1, 2))] = text(edit % 2)
+        own[3:3] = leak
+        docs.append((d, own))
+    windows = lambda w: [tuple(w[i:i + width]) for i in range(len(w) - width + 1)]
+    want = {}
+    for d, w in docs:
+        for i, v in items:
+            near = [(shingle_similarity(a, b), a == b) for a in windows(w) for b in windows(v)]
+            near = [x for x in near if x[0] >= least]
+            if near:
+                want[d, i] = (len(near), max(x for x, _ in near), sum(e for _, e in near))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["similarity"], r["n_exact"]) for r in leaked_items(df, it, width, least=least).collect()}
+    assert got == want and (least == 1 or width == 3 or any(n > 0 == e for n, _, e in want.values()))
