@@ -88,13 +88,16 @@ def expected_artifacts(pages: DataFrame) -> DataFrame:
 
     A document with any page has its whole text, every page its own, pages recognised locally one more.
     """
-    text = F.coalesce("text", F.lit(""))
-    one = pages.select("document_key", F.lit("page_text").alias("kind"), F.col("page_number").cast("int").alias("page"), F.sha2(text, 256).alias("sha256"))
-    ocr = pages.filter("text_source = 'local_ocr'").select("document_key", F.lit("ocr_page_text").alias("kind"), F.col("page_number").cast("int").alias("page"), F.sha2(text, 256).alias("sha256"))
-    parts = F.sort_array(F.collect_list(F.struct(F.col("page_number").cast("int").alias("n"), text.alias("t"))))
+    page = F.struct(F.col("page_number").cast("int").alias("n"), F.coalesce("text", F.lit("")).alias("t"), F.col("text_source").eqNullSafe("local_ocr").alias("ocr"))
+    documents = pages.groupBy("document_key").agg(F.sort_array(F.collect_list(page)).alias("p"))
+    artifact = lambda kind, n, t: F.struct(F.lit(kind).alias("kind"), n.alias("page"), F.sha2(t, 256).alias("sha256"))
     rendered = F.array_join(F.transform("p", lambda x: F.concat(F.lit("[page "), x["n"].cast("string"), F.lit("]\n"), x["t"])), "\n\n")
-    whole = pages.groupBy("document_key").agg(parts.alias("p")).select("document_key", F.lit("document_text").alias("kind"), F.lit(None).cast("int").alias("page"), F.sha2(rendered, 256).alias("sha256"))
-    return one.unionByName(ocr).unionByName(whole)
+    # All kinds at once: the texts are brought together only once.
+    return documents.select("document_key", F.inline(F.concat(
+        F.array(artifact("document_text", F.lit(None).cast("int"), rendered)),
+        F.transform("p", lambda x: artifact("page_text", x["n"], x["t"])),
+        F.transform(F.filter("p", lambda x: x["ocr"]), lambda x: artifact("ocr_page_text", x["n"], x["t"])),
+    )))
 
 
 def artifact_drift(expected: DataFrame, files: DataFrame) -> DataFrame:

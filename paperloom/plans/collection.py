@@ -133,10 +133,10 @@ def stored_hits_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages, chunks ----------------------------------------------------------------------------------------------
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as first delivered."""
+def _pages(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Pages as first delivered; together: those of a document in one part, so its text needs no second shuffle."""
     rows = table(spark, sf_dir, "document_pages").select("document_key", "page_number", "page_row_id", "text", "text_source").filter("document_key IS NOT NULL AND page_number > 0")
-    return pages.one_delivery(rows, ["document_key", "page_number"], "page_row_id")
+    return pages.one_delivery(rows.repartition("document_key") if together else rows, ["document_key", "page_number"], "page_row_id")
 
 
 _PAGES_SQL = "SELECT document_key, page_number, arg_min(page_row_id, page_row_id) AS page_row_id, first(text ORDER BY page_row_id) AS text, first(text_source ORDER BY page_row_id) AS text_source FROM document_pages WHERE document_key IS NOT NULL AND page_number > 0 GROUP BY 1, 2"
@@ -362,19 +362,26 @@ def fts_repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text files as they would be after the first day: pages by row, of which the last delivery counts."""
+    """Text files of all kinds as they would be after the first day: pages by row, of which the last delivery counts."""
     p = table(spark, sf_dir, "document_pages").filter("document_key IS NOT NULL AND page_number > 0 AND loaded_at <= created_at + INTERVAL 1 DAY")
-    last = p.groupBy("document_key", "page_number").agg(F.max_by(F.coalesce("text", F.lit("")), "page_row_id").alias("text"))
-    return last.select("document_key", F.lit("page_text").alias("kind"), F.concat(F.col("page_number").cast("string"), F.lit(".txt")).alias("name"), F.lit(True).alias("is_file"), F.sha2("text", 256).alias("sha256"))
+    last = p.repartition("document_key").groupBy("document_key", "page_number").agg(F.max_by(F.struct("text", "text_source"), "page_row_id").alias("_r")).select("document_key", "page_number", "_r.text", "_r.text_source")
+    name = F.when(F.col("kind") == "document_text", F.lit("document.txt")).otherwise(F.concat(F.col("page").cast("string"), F.lit(".txt")))
+    return reconcile.expected_artifacts(last).select("document_key", "kind", name.alias("name"), F.lit(True).alias("is_file"), "sha256")
+
+
+def artifact_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of all kinds of text files: whole documents, pages, pages recognised locally."""
+    return reconcile.artifact_drift(reconcile.expected_artifacts(_pages(spark, sf_dir, together=True)), _files(spark, sf_dir))
 
 
 def artifact_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = reconcile.expected_artifacts(_pages(spark, sf_dir)).filter("kind = 'page_text'")
-    return reconcile.artifact_drift(expected, _files(spark, sf_dir))
+    """The issues of page texts alone, as its SQL has them; artifact_drift_whole has all."""
+    expected = reconcile.expected_artifacts(_pages(spark, sf_dir, together=True)).filter("kind = 'page_text'")
+    return reconcile.artifact_drift(expected, _files(spark, sf_dir).filter("kind = 'page_text'"))
 
 
 def artifact_repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.artifact_repair_plan(reconcile.artifact_drift(reconcile.expected_artifacts(_pages(spark, sf_dir)), _files(spark, sf_dir)))
+    return reconcile.artifact_repair_plan(artifact_drift_whole(spark, sf_dir))
 
 
 _ARTIFACT_SQL = f"""
@@ -392,7 +399,7 @@ QUERIES = {
     "record_dedupe_first": record_dedupe_first, "record_upsert": record_upsert, "record_query_filter": record_query_filter, "asset_select": asset_select, "asset_priority_order": asset_priority_order, "ingest_plan": ingest_plan,
     "url_parts": url_parts, "url_absolutize": url_absolutize, "cache_key": cache_key, "slugs": slugs,
     "job_first_deliveries": job_first_deliveries, "job_claim_next": job_claim_next, "job_warning_dedupe": job_warning_dedupe, "job_rules": job_rules, "job_progress_monotonic": job_progress_monotonic, "job_states": job_states,
-    "fts_drift_report": fts_drift_report, "fts_repair_plan": fts_repair_plan, "fts_repair_apply": fts_repair_apply, "artifact_drift_report": artifact_drift_report, "artifact_repair_plan": artifact_repair_plan,
+    "fts_drift_report": fts_drift_report, "fts_repair_plan": fts_repair_plan, "fts_repair_apply": fts_repair_apply, "artifact_drift_report": artifact_drift_report, "artifact_drift_whole": artifact_drift_whole, "artifact_repair_plan": artifact_repair_plan,
 }
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"

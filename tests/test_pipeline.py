@@ -185,6 +185,49 @@ def test_artifact_drift(spark):
     assert got == {("page_text", 1, "stale"), ("page_text", 2, "missing"), ("page_text", 3, "orphaned"), ("page_text", None, "orphaned"), ("ocr_page_text", 1, "stale")}
 
 
+def test_artifact_queries_against_brute_force(spark, tmp_path):
+    import datetime
+    import hashlib
+    from collections import Counter
+
+    from paperloom.plans import collection
+
+    day = datetime.datetime(2024, 1, 1)
+    late = day + datetime.timedelta(days=3)
+    rows = [  # document, page, text, text_source, loaded_at; by row
+        ("same", 1, "a", "local_ocr", day), ("same", 2, None, "html", day), ("same", 1, "a", "local_ocr", day),
+        ("other", 1, "b", "local_ocr", day), ("other", 1, "c", "local_ocr", day), ("other", 10, "ten", "html", day), ("other", 2, "two", "html", day),
+        ("gone", 1, "d", "local_ocr", late), ("gone", 2, "e", "html", late),
+        ("part", 1, "f", "html", day), ("part", 2, "g", "local_ocr", late),
+        ("kind", 1, "h", "html", day), ("kind", 1, "h", "local_ocr", day), (None, 1, "x", "html", day), ("same", 0, "x", "html", day),
+    ]
+    schema = "page_row_id long, document_key string, page_number int, text string, text_source string, created_at timestamp, loaded_at timestamp"
+    spark.createDataFrame([(i, *r[:4], day, r[4]) for i, r in enumerate(rows)], schema).write.parquet(str(tmp_path / "document_pages.parquet"))
+
+    def digests(delivered):
+        pages = {}
+        for d, n, t, source, _ in delivered:
+            if d and n > 0:
+                pages.setdefault(d, {})[n] = (t or "", source)
+        h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out = {(d, "document_text", None): h("\n\n".join(f"[page {n}]\n{t}" for n, (t, _) in sorted(p.items()))) for d, p in pages.items()}
+        for d, p in pages.items():
+            for n, (t, source) in p.items():
+                out[d, "page_text", n] = h(t)
+                if source == "local_ocr":
+                    out[d, "ocr_page_text", n] = h(t)
+        return out
+
+    expected, files = digests(rows[::-1]), digests([r for r in rows if r[4] == day])
+    want = {(*k, "missing" if k not in files else "orphaned" if k not in expected else "stale") for k in expected.keys() | files.keys() if expected.get(k) != files.get(k)}
+    key = lambda r: (r["document_key"], r["kind"], r["page"])
+    got = [(*key(r), r["issue"]) for r in collection.QUERIES["artifact_drift_whole"](spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want) and {(k, i) for _, k, _, i in want} >= {("document_text", "missing"), ("document_text", "stale"), ("ocr_page_text", "missing"), ("ocr_page_text", "stale"), ("ocr_page_text", "orphaned")}
+    assert {(*key(r), r["issue"]) for r in collection.artifact_drift_report(spark, str(tmp_path)).collect()} == {w for w in want if w[1] == "page_text"}
+    plan = {(*key(r), r["action"]) for r in collection.artifact_repair_plan(spark, str(tmp_path)).collect()}
+    assert plan == {(*w[:3], "manual_review" if w[3] == "orphaned" else "write_from_canonical") for w in want}
+
+
 # --- ingestion, client, streams
 
 
