@@ -208,11 +208,10 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         windows, stated = [], []
-        for item, words in items:
+        for n, (_, words) in enumerate(items):
             if len(words) >= width:
                 stated.append(vocabulary.number(words))
-                windows += [(item, i) for i in range(len(words) - width + 1)]
-        words_of = dict(items)
+                windows += [(n, i) for i in range(len(words) - width + 1)]
         if radius is None:
             index = ShingleIndex(stated, vocabulary, width, least)
         else:
@@ -229,9 +228,10 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None,
                 q, s = index.search(numbers, vocabulary) if radius is None else index.search(simhashes(vocabulary.lanes[numbers], width))
                 same = owner[q] == owner[q + width - 1]
                 for i, j in zip(q[same].tolist(), s[same].tolist()):
-                    d, (item, k) = owner[i], windows[j]
+                    d, (n, k) = owner[i], windows[j]
+                    item, words = items[n]
                     at = i - start[d]
-                    mine, theirs = tuple(docs[d][at:at + width]), tuple(words_of[item][k:k + width])
+                    mine, theirs = tuple(docs[d][at:at + width]), tuple(words[k:k + width])
                     exact = mine == theirs
                     similarity = 1.0 if exact else shingle_similarity(mine, theirs)
                     if similarity >= least:

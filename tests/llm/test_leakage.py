@@ -80,3 +80,12 @@ def test_similar_windows_against_brute_force(spark, width, least):
     it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["similarity"], r["n_exact"]) for r in leaked_items(df, it, width, least=least).collect()}
     assert got == want and (least == 1 or width == 3 or any(n > 0 == e for n, _, e in want.values()))
+
+
+@pytest.mark.parametrize("radius", [None, 2])
+def test_repeated_item_id(spark, radius):
+    texts = [" ".join(f"{a}{i}" for i in range(20)) for a in "xyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    it = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (5, "short"), (6, texts[2])], "item_id long, text string")
+    found = leaked_items(df, it, radius=radius).filter("n_exact > 0").distinct().collect()
+    assert {(r["doc_id"], r["item_id"], r["n_exact"]) for r in found} == {(0, 5, 8), (1, 5, 8), (2, 6, 8)}
