@@ -342,20 +342,24 @@ def compounds_at_line_ends(gathered: DataFrame) -> DataFrame:
     return found.filter(((F.col("n_compound") > 0) & (F.col("n_compound") >= own)) | unknown).select("a", "b").distinct()
 
 
+def _goes_on(line: str, behind: str) -> bool:
+    """Is the last word of the line broken, and does the next line go on with it in the same case?"""
+    return any((behind if len(b) == 1 else b).isupper() if a.isupper() else b[0].islower() for _, a, _, b, _ in line_end_pairs(f"{line}\n{behind}")[-1:])
+
+
 def paragraphs(lines: list[str]) -> list[str]:
     """Lines of a page as paragraphs of trimmed lines: a line ends one if it is blank, wider than print, in capitals or
-    ends a sentence short of the usual width."""
+    ends a sentence short of the usual width; no line ends one whose last word goes on in the next."""
     trimmed = [x.strip() for x in lines]
     widths = sorted([len(x) for x in trimmed if x])
     wide = widths[int(len(widths) * 0.8)] if widths else 0
-    if wide > 110:
-        return [x for x in trimmed if x]
     out: list[list[str]] = [[]]
     short = 0.75 * wide
-    for x in trimmed:
+    for x, behind in zip(trimmed, [*trimmed[1:], ""]):
         if x:
             out[-1].append(x)
-            if not ((len(x) < short and x[-1] in ".!?:”\"") or (x[:2].isupper() and x.isupper())):
+            ends = wide > 110 or (len(x) < short and x[-1] in ".!?:”\"") or (x[:2].isupper() and x.isupper())
+            if not ends or (x[-1] in _BREAKERS and _goes_on(x, behind)):
                 continue
         out.append([])
     return ["\n".join(p) for p in out if p]

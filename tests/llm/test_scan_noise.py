@@ -78,3 +78,18 @@ def test_headers_by_join(spark, monkeypatch):
     want = sorted(map(key, repair_scans(df).collect()))
     monkeypatch.setattr(sn, "MAX_HEADERS", 0)
     assert sorted(map(key, repair_scans(df).collect())) == want
+
+
+def test_words_broken_between_capitals_and_on_wide_pages(spark):
+    wide = "the whole report of this long session was read once more and printed in a very wide setting on one sheet for the "
+    texts = [
+        "SECRET CABLE TO THE COMMIT-\nTEE ON FOREIGN RELA-\nTIONS\nTHE END -\nOF PAGE\nplain words",
+        f"{wide}commit-\n{wide}members of the assem-\nbly met {wide}\n{wide}",
+        "TOP COMMIT-\n\nTEE",
+        "MEMORANDUM ON INTER-\nNo deputy came",
+    ]
+    df = spark.createDataFrame([(i, f"d{i}", "s", 1, t) for i, t in enumerate(texts)], "page_row_id long, document_key string, source string, page_number int, text string")
+    got = {r["page_row_id"]: (r["n_hyphen"], r["repaired"]) for r in repair_scans(df).collect()}
+    assert [got[i][0] for i in range(4)] == [2, 2, 0, 0]
+    assert got[0][1] == "SECRET CABLE TO THE COMMITTEE ON FOREIGN RELATIONS\n\nTHE END -\n\nOF PAGE\n\nplain words"
+    assert "committhe whole report" in got[1][1] and "assembly met" in got[1][1]
