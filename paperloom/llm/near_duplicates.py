@@ -1,19 +1,20 @@
 """Rows that share at least a given part of their word runs (problem 5).
 
 T-occurrence search in the manner of DivideSkip, distributed. Two sets of sizes a <= b with Jaccard similarity t have at
-least T = t (a + b) / (1 + t) elements in common. Of each text's inverted lists the T - 1 longest are set aside for the
-binary probe, the rest (its rarest shingles, a prefix in a global order by frequency) are merged: the lists are cut
-into B parts by shingle hash, and each part merges its lists and counts, per pair, the common short lists.
-
-Behind the point of the order where the first of the two prefixes ends, a pair can share no more than the smaller of
-what each text has there (known from a histogram of the text's frequency classes), so with the required overlap it has
-at least C = T - that common short lists, hence ceil(C / B) in some part. Parts report such pairs with their counts; the
-sum of the counts, plus the most that silent parts can hide, must reach C. The remaining pairs are verified by probing
-the sorted shingles of one text in those of the other. Nothing is sampled and no list is capped. Exact copies are one
-text: a text goes by its 64-bit hash, so copies don't multiply the lists, and links are between different texts.
-
-The order's frequencies come from a sketch of fixed size over all rows; any order gives the same result, a poor one
-only costs time.
+least T = t (a + b) / (1 + t) elements in common. Of each text's inverted lists the T - 1 longest, in a global order by
+frequency, are set aside for the binary probe; the rest, its rarest shingles, are merged.
+
+Only entries of the short lists are shuffled, 16 bytes each whatever the number of parts: key, text, and the text's size
+and elements behind the entry on a scale of 15 bits whose rounding is on the safe side. A part holds whole lists. In a
+list, sorted by size, a text is compared with those up to 1/t times as large, and a pair is kept if both texts have T
+elements from this entry on; the first common element of similar texts always passes, so no similar pair is lost, and
+what passes doesn't depend on how the lists are cut into parts. A list that too many texts share gets few such
+entries, because its element stands late in their order; where it does get them, it is cut into cells of salted pairs
+of texts. The distinct pairs are verified by probing the sorted shingles of one text in those of the other.
+
+Nothing is sampled and no list is capped. Exact copies are one text: a text goes by its 64-bit hash, so copies don't
+multiply the lists, and links are between different texts. The order's frequencies come from a sketch of fixed size over
+all rows; any order gives the same result, a poor one only costs time.
 """
 
 from __future__ import annotations
@@ -29,18 +30,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import once
 from paperloom.session import shared
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of the frequency sketch and the piece of it that travels as one row.
 CELLS = 1 << 22
 _PIECE = 1 << 16
-#: Frequency classes per doubling of the frequency, and doublings in a text's histogram.
+#: Frequency classes per doubling of the frequency.
 STEPS = 4
-LEVELS = 33
-#: Short-list entries in one part, about; events (two texts in one list) counted at once in a task.
-PART_ENTRIES = 1_500_000
+#: Short-list entries in one part, about; entries of one task before they are sent; pairs looked at once in a task.
+PART_ENTRIES = 750_000
+SENT_ENTRIES = 2_000_000
 BLOCK_EVENTS = 3_000_000
+#: Partitions of the exchange; parts beyond that number share partitions and are merged one after the other.
+MAX_PARTITIONS = 50_000
+#: Texts that a list or one of its cells holds, about, beyond twice the average of the sketch.
+CELL_TEXTS = 50_000
+#: Hashes of texts that a task remembers, so that copies among its rows are looked at once.
+REMEMBERED = 1_000_000
 #: Texts in candidate pairs whose hashes are broadcast to fetch their texts, at most; beyond it they are joined.
 MAX_BROADCAST = 1_000_000
 
@@ -82,15 +90,22 @@ def suffix_length(n: np.ndarray | int, t: Fraction):
     return -(-(t.numerator * n) // t.denominator) - 1
 
 
-def least_prefix_overlap(a: np.ndarray, b: np.ndarray, size: np.ndarray, end: np.ndarray, beyond: np.ndarray, t: Fraction) -> np.ndarray:
-    """Fewest common short lists of similar texts at positions a and b.
+#: Sizes on a scale of 15 bits: exact below 4,096, then 2,048 steps a doubling; least and most size of each step.
+_EXACT, _TOP = 4096, (1 << 15) - 1
+SCALE_LOW = np.concatenate([np.arange(_EXACT), np.ceil(_EXACT * 2.0 ** (np.arange(_TOP + 1 - _EXACT) / 2048))]).astype(np.int64)
+SCALE_HIGH = np.append(np.maximum(SCALE_LOW[1:] - 1, SCALE_LOW[:-1]), np.int64(1) << 40)
+_FLAG, _CODE = np.uint16(1 << 15), np.uint16(_TOP)
+
+
+def scaled(n: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(SCALE_LOW, n, "right") - 1).astype(np.uint16)
 
-    end: the order's key (class, then hash) of the last short list; beyond: per text, the number of its elements in
-    each class of the histogram or a higher one.
-    """
-    first, other = np.where(end[a] <= end[b], a, b), np.where(end[a] <= end[b], b, a)
-    tail = np.minimum(suffix_length(size[first], t), beyond[other, (end[first] >> np.uint64(56)).astype(np.int64) // STEPS])
-    return np.maximum(1, least_overlap(size[a], size[b], t) - tail)
+
+def cells_by_class(classes: np.ndarray) -> np.ndarray:
+    """By frequency class the number of salts of a list: 1 unless far above the average and CELL_TEXTS."""
+    average = float(np.exp2(classes / STEPS).mean()) if len(classes) else 0.0
+    most = np.exp2((np.arange(256) + 1) / STEPS)
+    return np.where(most > 2 * average + CELL_TEXTS, np.ceil(most / (2 * average + CELL_TEXTS)), 1).astype(np.int64)
 
 
 def _sketch(width: int, cells: int):
@@ -123,85 +138,152 @@ def frequency_classes(texts: DataFrame, width: int, cells: int = CELLS) -> np.nd
     return out
 
 
-def _short_lists(width: int, t: Fraction, parts: int, classes):
+def _mixed(key: np.ndarray, salt: np.ndarray, other: np.ndarray) -> np.ndarray:
+    k = (key + (salt.astype(np.uint64) + np.uint64(1)) * _MIX[0] + (other.astype(np.uint64) + np.uint64(1)) * _MIX[1]) * _MIX[2]
+    return k ^ (k >> np.uint64(29))
+
+
+def short_lists(s: np.ndarray, rank: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's rarest shingles in order, their classes, and its size and the elements behind each on the scale. `s` is
+    sorted, so ties go by hash. The flag on the second scale: the entry can't be the smaller text's of a pair."""
+    n = len(s)
+    chosen = np.argsort(rank, kind="stable")[:n - int(suffix_length(n, t))]
+    size = np.full(len(chosen), scaled(np.array([n]))[0])
+    behind = scaled(n - 1 - np.arange(len(chosen)))
+    low = SCALE_LOW[size]
+    larger_only = SCALE_HIGH[behind] + 1 < least_overlap(low, low, t)
+    return s[chosen], rank[chosen], size, behind | np.where(larger_only, _FLAG, np.uint16(0))
+
+
+def cut_hot(keys: np.ndarray, cells: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries of lists with more than one salt, once for every cell of their list: cell (v, w) pairs smaller texts of
+    salt v with larger ones of salt w. The flag on the size: not the larger text's entry."""
+    out = []
+    salt = (docs.view(np.uint64) >> np.uint64(7)).astype(np.int64) % cells
+    for i in range(len(keys)):
+        own, m = np.array([salt[i]]), np.arange(cells[i])
+        smaller = not behind[i] & _FLAG
+        pairs = [(own, own, size[i], behind[i])]
+        others = m[m != salt[i]]
+        pairs.append((others, own, size[i], behind[i] | _FLAG))
+        if smaller:
+            pairs.append((own, others, size[i] | _FLAG, behind[i]))
+        for v, w, z, r in pairs:
+            v, w = np.broadcast_arrays(v, w)
+            out.append((_mixed(np.full(len(v), keys[i]), v, w), np.full(len(v), docs[i]), np.full(len(v), z, np.uint16), np.full(len(v), r, np.uint16)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (keys, docs, size, behind)
+
+
+def _blob(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np.ndarray) -> bytes:
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + docs.tobytes() + size.tobytes() + behind.tobytes()
+
+
+def _entries_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    columns: tuple[list, ...] = ([], [], [], [])
+    for blob in blobs:
+        n, at = len(blob) // 16, 0
+        for column, kind in zip(columns, (np.uint32, np.int64, np.uint16, np.uint16)):
+            column.append(np.frombuffer(blob, dtype=kind, count=n, offset=at))
+            at += n * np.dtype(kind).itemsize
+    return tuple(np.concatenate(c) for c in columns)
+
+
+def _short_entries(width: int, t: Fraction, parts: int, classes, salts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingler(width), np.frombuffer(classes.value, dtype=np.uint8)
         low = np.uint64(len(order) - 1)
+        any_hot = bool((salts > 1).any())
+        held: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
+        size_held = 0
+
+        def send() -> pa.RecordBatch:
+            keys, docs, size, behind = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint16))
+            of = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(of, kind="stable")
+            keys, docs, size, behind, of = keys[by], docs[by], size[by], behind[by], of[by]
+            first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0] if len(of) else np.empty(0, np.int64)
+            blobs = [_blob(keys[a:b], docs[a:b], size[a:b], behind[a:b]) for a, b in zip(first, np.append(first[1:], len(of)))]
+            return pa.RecordBatch.from_pydict({"part": pa.array(of[first], pa.int64()), "entries": pa.array(blobs, pa.binary())})
+
         for batch in batches:
-            part, doc, size, ends, beyond, keys = [], [], [], [], [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(h)
                 s = shingles(text)
-                n = len(s)
-                if not n:
+                if not len(s):
                     continue
-                rank = order[(s & low).astype(np.int64)]
-                chosen = np.argsort(rank, kind="stable")[:n - int(suffix_length(n, t))]  # s is sorted, so ties go by hash
-                short = s[chosen]
-                end = (int(rank[chosen[-1]]) << 56 | int(short[-1]) >> 8) - (1 << 63)
-                higher = np.cumsum(np.bincount(rank // STEPS, minlength=LEVELS)[::-1])[::-1].astype(np.uint32).tobytes()
-                of = ((short >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[by], np.arange(parts + 1))
-                tokens = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)[by]
-                for p in range(parts):
-                    if cuts[p] < cuts[p + 1]:
-                        part.append(p)
-                        doc.append(h)
-                        size.append(n)
-                        ends.append(end)
-                        beyond.append(higher)
-                        keys.append(tokens[cuts[p]:cuts[p + 1]].tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "doc": pa.array(doc, pa.int64()), "size": pa.array(size, pa.int32()), "ends": pa.array(ends, pa.int64()), "beyond": pa.array(beyond, pa.binary()), "keys": pa.array(keys, pa.binary())})
+                keys, rank, size, behind = short_lists(s, order[(s & low).astype(np.int64)], t)
+                docs = np.full(len(keys), h, np.int64)
+                if any_hot and (hot := salts[rank] > 1).any():
+                    held.append(cut_hot(keys[hot], salts[rank[hot]], docs[hot], size[hot], behind[hot]))
+                    size_held += len(held[-1][0])
+                    keys, docs, size, behind = keys[~hot], docs[~hot], size[~hot], behind[~hot]
+                held.append((keys, docs, size, behind))
+                size_held += len(keys)
+                if size_held >= SENT_ENTRIES:
+                    yield send()
+                    held.clear()
+                    size_held = 0
+        yield send()
 
     return run
 
 
-def merge_lists(size: np.ndarray, end: np.ndarray, beyond: np.ndarray, owner: np.ndarray, keys: np.ndarray, t: Fraction, parts: int) -> tuple[np.ndarray, ...]:
-    """Positions a, b of documents with enough common keys in this part, their number and the number needed in all.
-    owner: the document's position of each key."""
-    order = np.lexsort((owner, keys))
-    k, o = keys[order], owner[order]
-    edge = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
-    last = np.repeat(np.append(edge[1:], len(k)), np.diff(np.append(edge, len(k))))
-    after = last - np.arange(len(k)) - 1  # entries behind this one in its list
-    live = np.nonzero(after > 0)[0]
-    live = live[np.argsort(o[live], kind="stable")]  # by document, so a document's events are counted together
-    events = np.cumsum(after[live])
-    n_docs = len(size)
-    found, i = [], 0
-    while i < len(live):
-        j = int(np.searchsorted(events, (events[i - 1] if i else 0) + BLOCK_EVENTS, "right"))
-        j = max(j, i + 1)
-        while j < len(live) and o[live[j]] == o[live[j - 1]]:
-            j += 1
-        at = live[i:j]
-        n = after[at]
-        first = np.repeat(at, n)
-        other = first + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair, count = np.unique(o[first].astype(np.int64) * n_docs + o[other], return_counts=True)
-        a, b = pair // n_docs, pair % n_docs
-        x, y = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        keep = (x * t.denominator >= y * t.numerator) & (a != b)
-        a, b, count = a[keep], b[keep], count[keep]
-        need = least_prefix_overlap(a, b, size, end, beyond, t)
-        keep = count * parts >= need
-        found.append((a[keep], b[keep], count[keep], need[keep]))
+def merge_lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts (smaller, larger) of one part that an entry of a common list doesn't exclude, in blocks; a pair
+    may come in several blocks."""
+    code = size & _CODE
+    order = np.lexsort((docs, code, keys))
+    keys, docs, size, behind, code = keys[order], docs[order], size[order], behind[order], code[order]
+    if len(keys):  # copies of a text come once
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
+        keys, docs, size, behind, code = keys[once], docs[once], size[once], behind[once], code[once]
+    within = np.arange(_TOP + 1)
+    largest = np.searchsorted(SCALE_LOW * t.numerator, SCALE_HIGH * t.denominator, "right") - 1  # by step, that of the largest partner
+    place = keys.astype(np.uint64) << np.uint64(16) | code
+    at = np.nonzero((behind & _FLAG) == 0)[0]
+    end = np.searchsorted(place, keys[at].astype(np.uint64) << np.uint64(16) | np.minimum(largest, within[-1])[code[at]].astype(np.uint64), "right")
+    at, n = at[end - at > 1], (end - at - 1)[end - at > 1]
+    events = np.cumsum(n)
+    low, rest = SCALE_LOW[code], SCALE_HIGH[behind & _CODE] + 1
+    takes = (size & _FLAG) == 0
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(events, (events[i - 1] if i else 0) + BLOCK_EVENTS, "right")))
+        m = n[i:j]
+        a = np.repeat(at[i:j], m)
+        b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        need = least_overlap(low[a], low[b], t)
+        keep = takes[b] & (np.minimum(rest[a], rest[b]) >= need) & (docs[a] != docs[b])
+        x, y = docs[a[keep]], docs[b[keep]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+        yield pairs[:, 0], pairs[:, 1]
         i = j
-    if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(column) for column in zip(*found))
-
-
-def _merge(t: Fraction, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        doc, at = np.unique(table.column("doc").to_numpy(), return_index=True)  # copies of a text come once
-        size = table.column("size").to_numpy()[at].astype(np.int64)
-        lists = table.column("keys").take(pa.array(at)).to_pylist()
-        end = (table.column("ends").to_numpy()[at] ^ np.int64(-(1 << 63))).view(np.uint64)
-        beyond = np.frombuffer(b"".join(table.column("beyond").take(pa.array(at)).to_pylist()), dtype=np.uint32).reshape(len(doc), LEVELS).astype(np.int64)
-        owner = np.repeat(np.arange(len(doc)), [len(x) // 4 for x in lists])
-        a, b, count, need = merge_lists(size, end, beyond, owner, np.frombuffer(b"".join(lists), dtype=np.uint32), t, parts)
-        return pa.table({"a": pa.array(np.minimum(doc[a], doc[b]), pa.int64()), "b": pa.array(np.maximum(doc[a], doc[b]), pa.int64()), "n": pa.array(count.astype(np.int64)), "need": pa.array(need.astype(np.int64))})
+
+
+def _merge(t: Fraction):
+    """Of sorted parts, one after the other, the pairs that are to be verified."""
+
+    def pairs_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for a, b in merge_lists(*_entries_of(blobs), t):
+            for k in range(0, len(a), 200_000):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[k:k + 200_000], pa.int64()), "b": pa.array(b[k:k + 200_000], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part and blobs:
+                    yield from pairs_of(blobs)
+                    blobs = []
+                part = p
+                blobs.append(blob)
+        if blobs:
+            yield from pairs_of(blobs)
 
     return run
 
@@ -246,12 +328,13 @@ def similar_texts(rows: DataFrame, width: int = 3, threshold: Fraction = Fractio
     """
     spark = rows.sparkSession
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    parts = int(max(1, min(65_536, chars // 13 // PART_ENTRIES)))
-    classes = spark.sparkContext.broadcast(frequency_classes(rows, width, cells).tobytes())
-    lists = rows.select("h", "text").mapInArrow(_short_lists(width, threshold, parts, classes), "part int, doc long, size int, ends long, beyond binary, keys binary")
-    pairs = lists.groupBy("part").applyInArrow(_merge(threshold, parts), "a long, b long, n long, need long")
-    hidden = (F.lit(parts) - F.count("*")) * (F.ceil(F.first("need") / parts) - 1)  # what parts below their share can hold
-    candidates = shared(pairs.groupBy("a", "b").agg((F.sum("n") + hidden).alias("most"), F.first("need").alias("need")).filter("most >= need").select("a", "b"))
+    parts = int(max(1, chars // 13 // PART_ENTRIES))
+    frequencies = frequency_classes(rows, width, cells)
+    classes = spark.sparkContext.broadcast(frequencies.tobytes())
+    entries = rows.select("h", "text").mapInArrow(_short_entries(width, threshold, parts, classes, cells_by_class(frequencies)), "part long, entries binary")
+    n = min(parts, MAX_PARTITIONS)
+    lists = entries.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
+    candidates = shared(lists.mapInArrow(_merge(threshold), "a long, b long").distinct())
     wanted = candidates.select(F.col("a").alias("h")).union(candidates.select("b")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts = rows.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
@@ -272,27 +355,46 @@ def similar_rows(rows: DataFrame, width: int = 3, threshold: Fraction = Fraction
     left = members.select(F.col("row_id").alias("x"), F.col("owner").alias("ox"), F.col("h").alias("a"))
     right = members.select(F.col("row_id").alias("y"), F.col("owner").alias("oy"), F.col("h").alias("b"))
     between = links.join(left, "a").join(right, "b").filter("ox <> oy").select("x", "y", "similarity")
-    enough = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= width
     copied = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    copies = rows.filter(enough & F.col("owner").isNotNull()).select("row_id", "owner", "h").join(copied, "h", "left_semi")
+    repeated = once(rows.filter(F.col("owner").isNotNull()).join(copied, "h", "left_semi"), words=F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))
+    copies = repeated.filter(F.col("words") >= width).select("row_id", "owner", "h")
     same = copies.alias("l").join(copies.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.row_id") < F.col("r.row_id")) & (F.col("l.owner") != F.col("r.owner"))).select(F.col("l.row_id").alias("x"), F.col("r.row_id").alias("y"), F.lit(1.0).alias("similarity"))
     return between.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """Every linked u with the least member v of its component, itself included.
+
+    Large stars and small stars in turn: a node's larger neighbours, then its smaller ones, are linked to the least of
+    the neighbours and itself. Every round is written to the shared folder; rounds grow with the logarithm of the longest
+    chain. Neighbours are never gathered in one row; only their least is.
+    """
+    edges = shared(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+
+    def digest(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = None
+    while (now := digest(edges)) != before:
+        before = now
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = shared(large)
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(root.select("u", F.col("m").alias("v")))
+        edges = shared(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    roots = edges.select(F.col("v").alias("u"), "v").distinct()
+    return edges.unionAll(roots)
+
+
 def duplicate_groups(rows: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2), cells: int = CELLS) -> DataFrame:
     """One row per row: row_id, class_id (least row_id of the rows with this very text), group_id (least class_id
-    that links lead to) and n_links (other texts the text is linked to). Labels spread over the links between classes
-    until none changes; each round is written to the shared folder."""
+    that links lead to) and n_links (other texts the text is linked to)."""
     links = shared(similar_texts(rows, width, threshold, cells))
     classes = shared(rows.groupBy("h").agg(F.min("row_id").alias("class_id")))
-    both = links.select("a", "b").union(links.select("b", "a"))
-    degree = both.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"))
-    label = shared(degree.join(classes, "h").select("h", F.col("class_id").alias("label")))
-    while True:
-        spread = both.join(label, F.col("b") == F.col("h")).groupBy("a").agg(F.min("label").alias("near"))
-        moved = shared(label.join(spread, label["h"] == spread["a"], "left").select("h", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        label = moved.select("h", "label")
-        if moved.filter("label <> old").isEmpty():
-            break
+    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"))
+    first, second = classes.select(F.col("h").alias("a"), F.col("class_id").alias("u")), classes.select(F.col("h").alias("b"), F.col("class_id").alias("v"))
+    label = components(links.join(first, "a").join(second, "b").select("u", "v")).join(classes, F.col("u") == F.col("class_id")).select("h", F.col("v").alias("label"))
     found = classes.join(degree, "h", "left").join(label, "h", "left")
     return rows.select("row_id", "h").join(found, "h").select("row_id", "class_id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -66,3 +66,55 @@ def test_groups(spark):
 def test_empty(spark):
     none = rows_of(spark, corpus(1, 5)).limit(0)
     assert nd.similar_rows(none, cells=1 << 16).count() == 0 and nd.duplicate_groups(none, cells=1 << 16).count() == 0
+
+
+def test_lists_in_cells(spark, monkeypatch):
+    """Lists of more texts than a cell may hold are cut into cells of pairs, with the same result."""
+    monkeypatch.setattr(nd, "CELL_TEXTS", 12)
+    classes = np.round(np.log2(np.full(256, 60) + 1.0) * nd.STEPS).astype(np.uint8)
+    assert nd.cells_by_class(np.append(classes[:1], np.zeros(1000, np.uint8)))[classes[0]] > 3
+    rows = [(i, f"o{i}", f"a b c d e f g{i % 40} h{i}" if i % 2 else f"a b c d e x{i % 7} y{i}", 0, 0.0) for i in range(150)] + corpus(9, 40)[:40]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    got = [(r["id_a"], r["id_b"]) for r in nd.similar_rows(rows_of(spark, rows), cells=1 << 16).select("id_a", "id_b").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, Fraction(1, 2)) and len(got) > 3000
+
+
+class Classes:
+    def __init__(self, cells, value=0):
+        self.value = np.full(cells, value, np.uint8).tobytes()
+
+
+def sent(texts, parts, t=Fraction(1, 2)):
+    batch = nd.pa.RecordBatch.from_pydict({"h": nd.pa.array(range(len(texts)), nd.pa.int64()), "text": nd.pa.array(texts)})
+    return [(r["part"], r["entries"]) for b in nd._short_entries(3, t, parts, Classes(1 << 16), np.ones(256, np.int64))(iter([batch])) for r in b.to_pylist()]
+
+
+def test_entries_do_not_grow_with_parts():
+    texts = [r[2] for r in corpus(5, 400) if r[2]]
+    sizes = {p: sum(len(b) for _, b in sent(texts, p)) for p in (1, 6, 100, 1500)}
+    assert len(set(sizes.values())) == 1
+    pairs = lambda p: {x for part in {q for q, _ in sent(texts, p)} for a, b in nd.merge_lists(*nd._entries_of([b for q, b in sent(texts, p) if q == part]), Fraction(1, 2)) for x in zip(a.tolist(), b.tolist())}
+    assert pairs(1) == pairs(100)
+
+
+def test_list_of_many_texts():
+    """20,000 texts share a run of three words that is the last in the order of all but one: no pairs of them."""
+    texts = [f"a b c d{i} e{i} f{i}" for i in range(20_000)] + ["a b c"]
+    [(_, blob)] = sent(texts, 1)
+    keys, docs, size, behind = nd._entries_of([blob])
+    hot = np.bincount(np.unique(keys, return_inverse=True)[1]).max()
+    found = sum(len(a) for a, _ in nd.merge_lists(keys, docs, size, behind, Fraction(1, 2)))
+    assert hot > 5_000 and found < 20_000 * 60
+
+
+def test_long_chain(spark):
+    """Components of a chain, a star and a pair."""
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(1, 300)]
+    got = dict(map(tuple, nd.components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(200, 260)}, 7: 7, 1: 1, 300: 1}
+
+
+def test_scale_of_sizes():
+    n = np.array([0, 1, 4095, 4096, 5000, 123_456, 60_000_000, 1 << 33])
+    code = nd.scaled(n)
+    assert (nd.SCALE_LOW[code] <= n).all() and (n <= nd.SCALE_HIGH[code]).all() and (nd.SCALE_LOW[code][:3] == nd.SCALE_HIGH[code][:3]).all()
