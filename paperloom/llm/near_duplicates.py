@@ -6,11 +6,12 @@ frequency, are set aside for the binary probe; the rest, its rarest shingles, ar
 
 Only entries of the short lists are shuffled, 16 bytes each whatever the number of parts: key, text, and the text's size
 and elements behind the entry on a scale of 15 bits whose rounding is on the safe side. A part holds whole lists. In a
-list, sorted by size, a text is compared with those up to 1/t times as large, and a pair is kept if both texts have T
-elements from this entry on; the first common element of similar texts always passes, so no similar pair is lost, and
-what passes doesn't depend on how the lists are cut into parts. A list that too many texts share gets few such
-entries, because its element stands late in their order; where it does get them, it is cut into cells of salted pairs
-of texts. The distinct pairs are verified by probing the sorted shingles of one text in those of the other.
+list, sorted by size, a text is compared with those up to 1/t times as large, and the event is kept if both texts have
+T - c + 1 elements from this entry on, where c is COMMON or, for texts of very different size, what their short lists
+have in common at least. The first c common elements of similar texts pass, so a pair with fewer events is none; no
+similar pair is lost, and what passes doesn't depend on how the lists are cut into parts. A list that too many texts
+share gives few events, because its element stands late in their order; where it does give them, it is cut into cells of
+salted pairs of texts. Pairs with c events are verified by probing the sorted shingles of one text in those of the other.
 
 Nothing is sampled and no list is capped. Exact copies are one text: a text goes by its 64-bit hash, so copies don't
 multiply the lists, and links are between different texts. The order's frequencies come from a sketch of fixed size over
@@ -43,6 +44,8 @@ STEPS = 4
 PART_ENTRIES = 750_000
 SENT_ENTRIES = 2_000_000
 BLOCK_EVENTS = 3_000_000
+#: Common short lists, in the shortest prefixes that must have them, that make a pair a candidate.
+COMMON = 5
 #: Partitions of the exchange; parts beyond that number share partitions and are merged one after the other.
 MAX_PARTITIONS = 50_000
 #: Texts that a list or one of its cells holds, about, beyond twice the average of the sketch.
@@ -151,7 +154,7 @@ def short_lists(s: np.ndarray, rank: np.ndarray, t: Fraction) -> tuple[np.ndarra
     size = np.full(len(chosen), scaled(np.array([n]))[0])
     behind = scaled(n - 1 - np.arange(len(chosen)))
     low = SCALE_LOW[size]
-    larger_only = SCALE_HIGH[behind] + 1 < least_overlap(low, low, t)
+    larger_only = SCALE_HIGH[behind] + COMMON < least_overlap(low, low, t)
     return s[chosen], rank[chosen], size, behind | np.where(larger_only, _FLAG, np.uint16(0))
 
 
@@ -233,9 +236,9 @@ def _short_entries(width: int, t: Fraction, parts: int, classes, salts: np.ndarr
     return run
 
 
-def merge_lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of texts (smaller, larger) of one part that an entry of a common list doesn't exclude, in blocks; a pair
-    may come in several blocks."""
+def merge_lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of texts of one part with the number of their events and the number they need in all parts, in blocks; a
+    pair may come in several blocks."""
     code = size & _CODE
     order = np.lexsort((docs, code, keys))
     keys, docs, size, behind, code = keys[order], docs[order], size[order], behind[order], code[order]
@@ -249,7 +252,7 @@ def merge_lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np
     end = np.searchsorted(place, keys[at].astype(np.uint64) << np.uint64(16) | np.minimum(largest, within[-1])[code[at]].astype(np.uint64), "right")
     at, n = at[end - at > 1], (end - at - 1)[end - at > 1]
     events = np.cumsum(n)
-    low, rest = SCALE_LOW[code], SCALE_HIGH[behind & _CODE] + 1
+    low, rest, long_lists = SCALE_LOW[code], SCALE_HIGH[behind & _CODE], suffix_length(SCALE_HIGH[code], t)
     takes = (size & _FLAG) == 0
     i = 0
     while i < len(at):
@@ -258,10 +261,14 @@ def merge_lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, behind: np
         a = np.repeat(at[i:j], m)
         b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         need = least_overlap(low[a], low[b], t)
-        keep = takes[b] & (np.minimum(rest[a], rest[b]) >= need) & (docs[a] != docs[b])
-        x, y = docs[a[keep]], docs[b[keep]]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
-        yield pairs[:, 0], pairs[:, 1]
+        common = np.clip(need - np.maximum(long_lists[a], long_lists[b]), 1, COMMON)
+        keep = takes[b] & (np.minimum(rest[a], rest[b]) + common >= need) & (docs[a] != docs[b])
+        x, y, common = docs[a[keep]], docs[b[keep]], common[keep]
+        first, second = np.minimum(x, y), np.maximum(x, y)
+        by = np.lexsort((second, first))
+        first, second, common = first[by], second[by], common[by]
+        edge = np.nonzero(np.append(len(first) > 0, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))[0]
+        yield first[edge], second[edge], np.diff(np.append(edge, len(first))), common[edge]
         i = j
 
 
@@ -269,9 +276,10 @@ def _merge(t: Fraction):
     """Of sorted parts, one after the other, the pairs that are to be verified."""
 
     def pairs_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for a, b in merge_lists(*_entries_of(blobs), t):
-            for k in range(0, len(a), 200_000):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[k:k + 200_000], pa.int64()), "b": pa.array(b[k:k + 200_000], pa.int64())})
+        for columns in merge_lists(*_entries_of(blobs), t):
+            for k in range(0, len(columns[0]), 200_000):
+                a, b, n, need = (c[k:k + 200_000] for c in columns)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n.astype(np.int32)), "need": pa.array(need.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
@@ -334,7 +342,8 @@ def similar_texts(rows: DataFrame, width: int = 3, threshold: Fraction = Fractio
     entries = rows.select("h", "text").mapInArrow(_short_entries(width, threshold, parts, classes, cells_by_class(frequencies)), "part long, entries binary")
     n = min(parts, MAX_PARTITIONS)
     lists = entries.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
-    candidates = shared(lists.mapInArrow(_merge(threshold), "a long, b long").distinct())
+    pairs = lists.mapInArrow(_merge(threshold), "a long, b long, n int, need int")
+    candidates = shared(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b"))
     wanted = candidates.select(F.col("a").alias("h")).union(candidates.select("b")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     texts = rows.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
