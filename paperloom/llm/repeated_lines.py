@@ -1,10 +1,11 @@
 """Lines that a source puts on many of its documents (problem 6).
 
-Pass 1 keeps a mergeable heavy-hitter summary per source and task (counters of which the smallest are subtracted when
-there are too many), so no distinct line of the corpus is shuffled. The summaries' error bound proves that every line
-over the threshold is among the candidates. Pass 2 finds where the candidates stand; only those few lines are shuffled,
-and counted exactly by distinct document. Confirmed lines are removed with a broadcast of them, whose number pass 1's
-bound limits and which is checked.
+Pass 1 keeps a mergeable heavy-hitter summary per source and task: counters of lines, from all of which the same amount
+is subtracted at the end (a part of the task's documents of the source) and whenever a task holds too many. What was
+subtracted bounds the error, so every line over the threshold is among the candidates, and few distinct lines of the
+corpus are shuffled. Pass 2 finds where the candidates stand; only those few lines are shuffled, and counted exactly by
+distinct document. Confirmed lines are removed with a broadcast of them; where there are too many to broadcast, the
+pages are joined with the lines of their source.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PY_SPACE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), SPACE)
 #: Candidate or confirmed lines that are sent to every task, at most; beyond it they are joined with a shuffle.
 MAX_BROADCAST_LINES = 200_000
+#: Lines that a task counts before it sends its summaries and begins new ones, and the part of the threshold that a
+#: summary may lack.
+TASK_LINES = 3_000_000
+SLACK = 0.25
 
 _LETTERS = r"[^\W\d_²³¹¼-¾]"
 _FOUR_RUNS = re.compile(rf"(?:{_LETTERS}+[\W\d_²³¹¼-¾]+){{3}}{_LETTERS}")
@@ -66,51 +71,52 @@ def line_hash(form: str) -> int:
     return xxhash.xxh64_intdigest(form) - (1 << 63)
 
 
-def reduce_counters(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """A summary of at most k counters and the amount subtracted from each, at most total / (k + 1)."""
-    if len(keys) <= k:
-        return keys, counts, 0
-    cut = int(np.partition(counts, len(counts) - k - 1)[len(counts) - k - 1])
+def reduce_counters(keys: np.ndarray, counts: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """A summary with `cut` subtracted from every counter: counters that have no more are left out."""
     keep = counts > cut
-    return keys[keep], counts[keep] - cut, cut
+    return keys[keep], counts[keep] - cut
 
 
-class Summary:
-    """Counters of the lines of one source in one task: no line with more than total / (k + 1) occurrences is lost."""
+def _summaries(min_share: float):
+    """Rows (src, doc, h, n, cut): the source's documents (doc set), its counters (h set) and what was subtracted from
+    them (neither set)."""
 
-    def __init__(self, k: int) -> None:
-        self.k, self.cut, self.new = k, 0, []
-        self.keys = self.counts = np.empty(0, np.int64)
-
-    def add(self, hashes: list[int]) -> None:
-        self.new += hashes
-        if len(self.new) > 4 * self.k + 10_000:
-            self.settle()
-
-    def settle(self) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, np.array(self.new, dtype=np.int64)]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([self.counts, np.ones(len(self.new), np.int64)]), minlength=len(keys)).astype(np.int64)
-        self.keys, self.counts, cut = reduce_counters(keys, counts, self.k)
-        self.cut += cut
-        self.new = []
-
-
-def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Summary] = {}
+        lines: dict[str, list[int]] = {}
+        docs: dict[str, set[str]] = {}
+        held = 0
+
+        def send() -> pa.RecordBatch:
+            src, doc, h, n, cuts = [], [], [], [], []
+            for s, own in docs.items():
+                keys, counts = np.unique(np.array(lines[s], dtype=np.int64), return_counts=True)
+                cut = int(SLACK * min_share * len(own))
+                keys, counts = reduce_counters(keys, counts, cut)
+                k = len(keys)
+                src += [s] * (len(own) + k + 1)
+                doc += [*own, *[None] * (k + 1)]
+                h += [*[None] * len(own), *keys.tolist(), None]
+                n += [*[0] * len(own), *counts.tolist(), 0]
+                cuts += [*[0] * (len(own) + k), cut]
+            lines.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(doc, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.int64())], names=["src", "doc", "h", "n", "cut"])
+
         for batch in batches:
-            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                summary = held.get(src)
-                if summary is None:
-                    summary = held[src] = Summary(k)
-                summary.add([line_hash(form) for _, form in eligible_lines(text)])
-        for src, s in held.items():
-            s.settle()
-            n = len(s.keys)  # the row without a line tells what was subtracted
-            yield pa.RecordBatch.from_pydict({
-                "src": pa.array([src] * (n + 1), pa.string()), "h": pa.array([*s.keys.tolist(), None], pa.int64()),
-                "n": pa.array([*s.counts.tolist(), 0], pa.int64()), "cut": pa.array([0] * n + [s.cut], pa.int64()),
-            })
+            for s, d, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = docs.get(s)
+                if own is None:
+                    own, lines[s] = docs.setdefault(s, set()), []
+                own.add(d)
+                if text:
+                    found = [line_hash(form) for _, form in eligible_lines(text)]
+                    lines[s] += found
+                    held += len(found)
+                held += 1
+                if held > TASK_LINES:
+                    yield send()
+                    held = 0
+        yield send()
 
     return run
 
@@ -149,21 +155,14 @@ def repeated_lines(pages: DataFrame, id_col: str = "page_row_id", text_col: str
     other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("text")).filter("src IS NOT NULL AND doc IS NOT NULL")
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    sizes = shared(
-        rows.groupBy("src", "doc").agg(F.sum(F.coalesce(lines, F.lit(0))).alias("n"))
-        .groupBy("src").agg(F.count("*").alias("src_docs"), F.sum("n").alias("n_lines"))
-    )
-    # As many lines can reach a source's threshold, so as many counters can't miss one.
-    need = F.greatest(F.lit(float(min_docs)), F.lit(min_share) * F.col("src_docs"))
-    k = int(sizes.agg(F.max(F.ceil(F.col("n_lines") / need))).first()[0] or 0) + 1
-    texts = rows.filter("text IS NOT NULL")
-    summary = texts.select("src", "text").mapInArrow(_summaries(2 * k), "src string, h long, n long, cut long")
-    seen = shared(summary.groupBy("src", "h").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")))
+    summary = rows.select("src", "doc", "text").mapInArrow(_summaries(min_share), "src string, doc string, h long, n long, cut long")
+    seen = shared(summary.groupBy("src", "doc", "h").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")))
+    sizes = shared(seen.filter("doc IS NOT NULL").groupBy("src").agg(F.count("*").alias("src_docs")).filter(F.col("src_docs") >= min_docs))
     # What the tasks subtracted is the most that any line's sum can lack.
-    errors = seen.filter("h IS NULL").select("src", F.col("cut").alias("err"))
+    errors = seen.filter("doc IS NULL AND h IS NULL").select("src", F.col("cut").alias("err"))
     reach = F.col("n") + F.col("err")
-    candidates = seen.filter("h IS NOT NULL").join(errors, "src").join(sizes, "src").filter((reach >= F.col("src_docs") * min_share) & (reach >= min_docs)).select("src", "h")
+    candidates = shared(seen.filter("h IS NOT NULL").join(errors, "src").join(sizes, "src").filter((reach >= F.col("src_docs") * min_share) & (reach >= min_docs)).select("src", "h"))
+    texts = rows.filter("text IS NOT NULL")
     first = candidates.limit(MAX_BROADCAST_LINES + 1).collect()
     few = len(first) <= MAX_BROADCAST_LINES
     wanted: dict[str, set[int]] = {}
@@ -171,18 +170,50 @@ def repeated_lines(pages: DataFrame, id_col: str = "page_row_id", text_col: str
         wanted.setdefault(src, set()).add(h)
     places = texts.select("page_id", "doc", "src", "text").mapInArrow(_occurrences(wanted if few else None), "page_id long, doc string, src string, line_no long, form string, h long")
     places = shared(places if few else places.join(candidates, ["src", "h"], "left_semi").select("page_id", "doc", "src", "line_no", "form", "h"))
-    counted = places.select("src", "form", "doc").distinct().groupBy("src", "form").agg(F.count("*").alias("n_docs")).join(F.broadcast(sizes.select("src", "src_docs")), "src")
+    counted = places.select("src", "form", "doc").distinct().groupBy("src", "form").agg(F.count("*").alias("n_docs")).join(sizes, "src")
     confirmed = shared(counted.filter((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("src_docs") * min_share)).select("src", "form", "n_docs", "src_docs"))
     small = F.broadcast(confirmed) if confirmed.count() <= MAX_BROADCAST_LINES else confirmed
     return confirmed, places.join(small, ["src", "form"], "left_semi").select("page_id", "line_no")
 
 
-def _without(forms: dict[str, set[str]]):
+class SourceForms:
+    """Forms of the confirmed lines by source, sent with the task or, where they are too many, with the rows."""
+
+    def __init__(self, forms: dict[str, object] | None, make=frozenset) -> None:
+        self.forms, self.make, self.held = forms, make, {}
+
+    def of(self, src: str | None, listed: pa.Array, at: int):
+        """Made from the forms of the source, or null; a row's own list is read once per source and task."""
+        if self.forms is not None:
+            return self.forms.get(src)
+        if src not in self.held:
+            if len(self.held) > 1000:
+                self.held.clear()
+            own = listed[at].as_py()
+            self.held[src] = self.make(own) if own else None
+        return self.held[src]
+
+
+def with_forms(rows: DataFrame, confirmed: DataFrame, make=frozenset) -> tuple[DataFrame, SourceForms]:
+    """`rows` (with src) with a column `forms`, and the forms for the tasks. Up to MAX_BROADCAST_LINES lines travel with
+    the tasks and the column is null; beyond it the rows are joined with their source's lines. A source has few of
+    them: a line is on at least a given share of its documents."""
+    found = confirmed.select("src", "form").limit(MAX_BROADCAST_LINES + 1).collect()
+    if len(found) > MAX_BROADCAST_LINES:
+        lists = confirmed.groupBy("src").agg(F.collect_set("form").alias("forms"))
+        return rows.join(lists, "src", "left").select(*rows.columns, "forms"), SourceForms(None, make)
+    forms: dict[str, set[str]] = {}
+    for src, form in found:
+        forms.setdefault(src, set()).add(form)
+    return rows.withColumn("forms", F.lit(None).cast("array<string>")), SourceForms({s: make(f) for s, f in forms.items()})
+
+
+def _without(forms: SourceForms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for src, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = forms.get(src)
+            for i, (src, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = forms.of(src, batch.column(3), i)
                 drop = {n for n, f in eligible_lines(text) if f in own} if own and text else set()
                 removed.append(len(drop))
                 kept.append("\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop) if drop else text)
@@ -193,13 +224,7 @@ def _without(forms: dict[str, set[str]]):
 
 def without_repeated_lines(pages: DataFrame, confirmed: DataFrame, id_col: str = "page_row_id", text_col: str = "text") -> DataFrame:
     """Every page without its source's confirmed lines: page_id, n_removed, text (null stays null). No page is
-    shuffled. `confirmed` has at most a few lines per source; more than MAX_BROADCAST_LINES are refused, as a set of
-    that size isn't one of repeated lines."""
+    shuffled unless more than MAX_BROADCAST_LINES lines are confirmed."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("source").cast("string").alias("src"), F.col(text_col).alias("text"))
-    forms: dict[str, set[str]] = {}
-    found = confirmed.select("src", "form").limit(MAX_BROADCAST_LINES + 1).collect()
-    if len(found) > MAX_BROADCAST_LINES:
-        raise ValueError(f"more than {MAX_BROADCAST_LINES} repeated lines")
-    for src, form in found:
-        forms.setdefault(src, set()).add(form)
-    return rows.mapInArrow(_without(forms), "page_id long, n_removed int, text string")
+    listed, forms = with_forms(rows, confirmed)
+    return listed.mapInArrow(_without(forms), "page_id long, n_removed int, text string")

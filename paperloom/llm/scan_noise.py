@@ -9,8 +9,8 @@ Four kinds of noise: words broken over a line end, misread characters, running h
   fixed difference, and rare words join frequent ones on hash plus difference. Spelling decides among the joined.
 * A word at a line end is broken unless the corpus has it as a compound with its own hyphen.
 
-Word counts, edge lines and line-end pairs are gathered in one pass; only decisions, whose number is checked, go back to
-the tasks.
+Word counts, edge lines and line-end pairs are gathered in one pass; only decisions go back to the tasks. Where there are
+more of them than are sent to every task, pages are joined with those that concern them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.encoding import undo_utf8
-from paperloom.llm.repeated_lines import line_form, repeated_lines
+from paperloom.llm.repeated_lines import SourceForms, line_form, repeated_lines, with_forms
 from paperloom.session import shared
 
 # What is printed and what a scanner makes of it.
@@ -41,13 +41,12 @@ _BYTE_FOLDS = [(a.encode(), b.encode()) for a, b in _FOLDS]
 
 #: How much more frequent the right word must be: for words of at most three characters, and for longer ones.
 SHORT_RATIO, LONG_RATIO = 20, 8
-#: Corrections and compounds that are sent to every task, at most.
+#: Corrections and compounds that are sent to every task, at most; beyond it they are joined to their pages.
 MAX_DECISIONS = 1_000_000
 #: Running headers that are sent to every task, at most; beyond it they are joined to their pages.
 MAX_HEADERS = 1_000_000
+#: Lines at the top and at the bottom of a page, site lines and page numbers apart, among which headers stand.
 _EDGE = 3
-#: Longer lines are compared as they are: no header of print is that long.
-MAX_FOLDED = 300
 
 _WORD = re.compile(r"[^\W_]*[{|!]?[^\W_]+(?:[{|!][^\W_]+)*")
 _PLAIN_WORD = re.compile(r"[^\W_]+")
@@ -96,9 +95,11 @@ def fold_column(word: Column) -> Column:
 def states_page(line: str, page: int | None) -> bool:
     """Whether the line only states the page's number, also misread or in Roman numerals."""
     short = line.strip()
-    if len(short) > 24 or not page or page < 1:
+    core = short.strip("[](){}<>-–—*. ")
+    if len(core) > 24 or not page or page < 1:  # label, number, `of` and number have no more
         return False
-    m = _PAGE_NO.fullmatch(" ".join(short.split()))
+    at = short.index(core)
+    m = _PAGE_NO.fullmatch(" ".join(short[max(0, at - 3):at + len(core) + 3].split()))
     if not m:
         return False
     text = m.group(1)
@@ -111,8 +112,6 @@ def _is_page(word: str, page: int | None) -> bool:
 
 def header_form(line: str, page: int | None) -> bytes:
     """The line without page numbers at its ends, folded."""
-    if len(line) > MAX_FOLDED:
-        return line.strip().encode("utf-8", "replace")
     text = line.strip()
     words = text.split()
     if len(words) > 2 and text[0] in _NUMBER_SIGNS:
@@ -237,7 +236,7 @@ def _join_soft(text: str, pairs: Pairs, compounds: set[tuple[str, str]] | tuple)
     return "".join(out) + text[at:], count
 
 
-def _gather(site: dict[str, SiteLines]):
+def _gather(site: SourceForms):
     """Rows (kind, a, b, n, page): w word, c compound, p line-end pair with counts; e edge line of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +257,8 @@ def _gather(site: dict[str, SiteLines]):
 
         for batch in batches:
             doc, number, edges = [], [], []
-            for d, s, n, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                page = Page(text, n, site.get(s))
+            for i, (d, s, n, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                page = Page(text, n, site.of(s, batch.column(4), i))
                 if d is not None and n is not None:
                     own = document_hash(d)
                     for _, form in page.candidates():
@@ -365,29 +364,43 @@ def paragraphs(lines: list[str]) -> list[str]:
     return ["\n".join(p) for p in out if p]
 
 
-def _edge_rows(site: dict[str, SiteLines]):
+def _page_rows(site: SourceForms):
+    """What a page asks for, where decisions are joined: rows (id, kind, a, b, h) of its edge lines (e), words (w) and
+    line-end pairs (p)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, forms = [], []
-            for i, d, s, n, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if d is not None and n is not None:
-                    for _, form in Page(text, n, site.get(s)).candidates():
-                        ids.append(i)
-                        forms.append(form_hash(document_hash(d), form))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.int64())], names=["id", "h"])
+            ids, kinds, first, second, forms = [], [], [], [], []
+            for i, (row, d, s, n, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                page = Page(text, n, site.of(s, batch.column(5), i))
+                asked = [("e", "", "", form_hash(document_hash(d), form)) for _, form in page.candidates()] if d is not None and n is not None else []
+                running = page.running()
+                broken = line_end_pairs(running)
+                asked += [("p", a.lower(), b.lower(), 0) for _, a, sign, b, _ in broken if sign in _HYPHENS]
+                for whole in (running, _join_soft(running, broken, ())[0]):
+                    asked += [("w", w.decode("utf-8", "replace"), "", 0) for w in set(words_of(whole)) if _HAS_LETTER.search(w)]
+                for kind, a, b, h in dict.fromkeys(asked):
+                    ids.append(row)
+                    kinds.append(kind)
+                    first.append(a)
+                    second.append(b)
+                    forms.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(forms, pa.int64())], names=["id", "kind", "a", "b", "h"])
 
     return run
 
 
-def _repair(site: dict[str, SiteLines], headers: set[int] | None, wrong: dict[str, str], compounds: set[tuple[str, str]]):
-    documents = {h >> 32 for h in headers or ()}
+def _repair(site: SourceForms, sent: tuple[set[int], dict[str, str], set[tuple[str, str]]] | None):
+    """`sent`: headers, corrections and compounds of all pages; null if every page brings its own."""
+    headers, wrong, compounds = sent if sent is not None else (set(), {}, set())
+    documents = {h >> 32 for h in headers}
     wrong_words = {w.encode() for w in wrong}
 
-    def right_case(word: str) -> str:
+    def right_case(word: str, wrong: dict[str, str]) -> str:
         fix = wrong.get(word.lower(), word)
         return fix.upper() if len(word) > 1 and word.upper() == word and any(c.isalpha() for c in word) else fix[:1].upper() + fix[1:] if word[:1].isupper() else fix
 
-    def fix_words(text: str) -> tuple[str, int]:
+    def fix_words(text: str, wrong: dict[str, str], wrong_words: set[bytes]) -> tuple[str, int]:
         found = wrong_words.intersection(words_of(text))
         if not found:
             return text, 0
@@ -406,29 +419,34 @@ def _repair(site: dict[str, SiteLines], headers: set[int] | None, wrong: dict[st
         out, done = [], 0
         for at, end in sorted(places):
             if at >= done:
-                out += [text[done:at], right_case(text[at:end])]
+                out += [text[done:at], right_case(text[at:end], wrong)]
                 done = end
         return "".join(out) + text[done:], len(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out, n_hyphen, n_char, n_header, n_page = [], [], [], [], [], []
-            for i, d, s, n, text, listed in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                page = Page(text, n, site.get(s))
-                own_headers = headers if headers is not None else listed or ()
+            for at, (i, d, s, n, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                page = Page(text, n, site.of(s, batch.column(5), at))
+                own_headers, own_wrong, own_words, own_compounds = headers, wrong, wrong_words, compounds
+                if sent is None:
+                    own_headers = set(batch.column(6)[at].as_py() or ())
+                    own_wrong = {x["a"]: x["b"] for x in batch.column(7)[at].as_py() or ()}
+                    own_words = {w.encode() for w in own_wrong}
+                    own_compounds = {(x["a"], x["b"]) for x in batch.column(8)[at].as_py() or ()}
                 own = document_hash(d) if d is not None and n is not None else None
-                if own is not None and (own in documents or listed):
-                    for at, form in page.candidates():
+                if own is not None and (own in documents or (sent is None and own_headers)):
+                    for line, form in page.candidates():
                         if form_hash(own, form) in own_headers:
-                            page.kind[at] = "header"
+                            page.kind[line] = "header"
                 # With the headers gone, the number may stand at the edge.
                 own = [j for j, k in enumerate(page.kind) if k == "text"]
                 for j in {*own[:2], *own[-2:]}:
                     if states_page(page.lines[j], n):
                         page.kind[j] = "page_no"
                 flowing = "\n\n".join(paragraphs([x for x, k in zip(page.lines, page.kind) if k in ("text", "blank")]))
-                joined, hyphens = _join_soft(flowing, line_end_pairs(flowing), compounds)
-                fixed, chars = fix_words(joined)
+                joined, hyphens = _join_soft(flowing, line_end_pairs(flowing), own_compounds)
+                fixed, chars = fix_words(joined, own_wrong, own_words)
                 ids.append(i)
                 out.append(_LINE_END.sub(" ", fixed))
                 n_hyphen.append(hyphens)
@@ -440,13 +458,6 @@ def _repair(site: dict[str, SiteLines], headers: set[int] | None, wrong: dict[st
     return run
 
 
-def _collected(df: DataFrame, what: str) -> list:
-    rows = df.limit(MAX_DECISIONS + 1).collect()
-    if len(rows) > MAX_DECISIONS:
-        raise ValueError(f"more than {MAX_DECISIONS} {what}: raise MAX_DECISIONS and the executors' memory")
-    return rows
-
-
 def repair_scans(pages: DataFrame) -> DataFrame:
     """Every page with a text, repaired: page_row_id, repaired, n_hyphen (words joined), n_char (words corrected),
     n_header and n_page_no (lines removed).
@@ -458,24 +469,28 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_row_id").cast("long"), F.col("document_key").cast("string").alias("doc"), F.col("source").cast("string").alias("src"), F.col("page_number").cast("long").alias("number"), "text").filter("text IS NOT NULL")
     confirmed, _ = repeated_lines(pages)
-    forms: dict[str, set[str]] = {}
-    for src, form, *_ in _collected(confirmed, "repeated lines"):
-        forms.setdefault(src, set()).add(form)
-    site = {src: SiteLines(own) for src, own in forms.items()}
-    seen = rows.select("doc", "src", "number", "text").mapInArrow(_gather(site), "kind string, a string, b string, n long, page long")
+    rows, site = with_forms(rows, confirmed, SiteLines)
+    seen = rows.select("doc", "src", "number", "text", "forms").mapInArrow(_gather(site), "kind string, a string, b string, n long, page long")
     # Edge lines are counted by distinct page, everything else is summed; one shuffle does both.
     key = F.when(F.col("kind") == "e", F.col("n"))
     gathered = shared(seen.groupBy("kind", "a", "b", key.alias("h"), "page").agg(F.sum(F.when(F.col("kind") != "e", F.col("n"))).alias("n")))
     recurring = shared(gathered.filter("kind = 'e'").groupBy("h").agg(F.count("*").alias("pages")).filter("pages >= 3").select("h"))
-    if recurring.count() <= MAX_HEADERS:
-        headers = {h for (h,) in recurring.collect()}
-        rows = rows.withColumn("listed", F.lit(None).cast("array<bigint>"))
-    else:
-        headers = None
-        at = rows.select("page_row_id", "doc", "src", "number", "text").mapInArrow(_edge_rows(site), "id long, h long")
-        listed = at.join(recurring, "h").groupBy(F.col("id").alias("page_row_id")).agg(F.collect_set("h").alias("listed"))
-        rows = rows.join(listed, "page_row_id", "left")
-    wrong = dict(_collected(corrections(gathered.filter("kind = 'w'").select(F.col("a").alias("word"), "n")), "corrections"))
-    compounds = {(a, b) for a, b in _collected(compounds_at_line_ends(gathered), "compounds")}
-    rows = rows.select("page_row_id", "doc", "src", "number", "text", "listed")
-    return rows.mapInArrow(_repair(site, headers, wrong, compounds), "page_row_id long, repaired string, n_hyphen int, n_char int, n_header int, n_page_no int")
+    wrong = shared(corrections(gathered.filter("kind = 'w'").select(F.col("a").alias("word"), "n")))
+    compounds = shared(compounds_at_line_ends(gathered))
+    out = "page_row_id long, repaired string, n_hyphen int, n_char int, n_header int, n_page_no int"
+    columns = ["page_row_id", "doc", "src", "number", "text", "forms"]
+    if recurring.count() <= MAX_HEADERS and wrong.count() <= MAX_DECISIONS and compounds.count() <= MAX_DECISIONS:
+        sent = {h for (h,) in recurring.collect()}, dict(map(tuple, wrong.collect())), set(map(tuple, compounds.collect()))
+        return rows.select(*columns).mapInArrow(_repair(site, sent), out)
+    asked = rows.select(*columns).mapInArrow(_page_rows(site), "id long, kind string, a string, b string, h long")
+    decided = (
+        recurring.select(F.lit("e").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), "h", F.lit("").alias("right"))
+        .unionByName(wrong.select(F.lit("w").alias("kind"), F.col("wrong").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("h"), "right"))
+        .unionByName(compounds.select(F.lit("p").alias("kind"), "a", "b", F.lit(0).cast("long").alias("h"), F.lit("").alias("right")))
+    )
+    found = asked.join(decided, ["kind", "a", "b", "h"]).groupBy(F.col("id").alias("page_row_id")).agg(
+        F.collect_set(F.when(F.col("kind") == "e", F.col("h"))).alias("headers"),
+        F.collect_set(F.when(F.col("kind") == "w", F.struct("a", F.col("right").alias("b")))).alias("wrong"),
+        F.collect_set(F.when(F.col("kind") == "p", F.struct("a", "b"))).alias("compounds"),
+    )
+    return rows.join(found, "page_row_id", "left").select(*columns, "headers", "wrong", "compounds").mapInArrow(_repair(site, None), out)

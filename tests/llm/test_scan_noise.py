@@ -1,3 +1,4 @@
+from paperloom.llm import repeated_lines as rl
 from paperloom.llm import scan_noise as sn
 from paperloom.llm.scan_noise import corrections, fold, header_form, line_end_pairs, paragraphs, repair_scans, roman, states_page
 
@@ -10,6 +11,7 @@ def test_page_numbers():
         assert states_page(good, 12), good
     for bad in ("13", "1994", "12 apples", "", "page", "x1i2"):
         assert not states_page(bad, 12), bad
+    assert states_page("- . " * 200 + "12" + " - ." * 200, 12) and not states_page("." * 100_000 + "x", 12)
     assert not states_page("12", None) and roman(1994) == "mcmxciv"
 
 
@@ -72,12 +74,15 @@ def test_repair(spark):
     assert repair_scans(df.limit(0)).count() == 0
 
 
-def test_headers_by_join(spark, monkeypatch):
-    df = spark.createDataFrame(pages(), SCHEMA)
-    key = lambda r: (r["page_row_id"], r["n_header"], r["repaired"])
-    want = sorted(map(key, repair_scans(df).collect()))
-    monkeypatch.setattr(sn, "MAX_HEADERS", 0)
-    assert sorted(map(key, repair_scans(df).collect())) == want
+def test_decisions_by_join(spark, monkeypatch):
+    """Headers, corrections, compounds and site lines beyond what is broadcast give the same pages."""
+    site = [(i + 5000, f"doc{i % 30}", "s", 9, f"This notice stands on every page of site\n{r[4]}", "clash", 0) for i, r in enumerate(pages()[:60])]
+    df = spark.createDataFrame(pages() + site, SCHEMA)
+    want = sorted(map(tuple, repair_scans(df).collect()))
+    assert sum(r[3] for r in want) and sum(r[2] for r in want)
+    for module, name in ((sn, "MAX_HEADERS"), (sn, "MAX_DECISIONS"), (rl, "MAX_BROADCAST_LINES")):
+        monkeypatch.setattr(module, name, 0)
+        assert sorted(map(tuple, repair_scans(df).collect())) == want
 
 
 def test_words_broken_between_capitals_and_on_wide_pages(spark):
