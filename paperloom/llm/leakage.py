@@ -1,17 +1,20 @@
 """Evaluation passages in a corpus (problem 9).
 
-Windows of `width` words, of the items as of the documents, are similar if the weighted similarity of their word
-shingles is at least `least`. Such windows share a shingle, so an index of the items' shingles finds every pair: of a
-document's window only those shingles are looked up that together weigh more than the part that may differ, and only
-if all its shingles that occur in items weigh enough. The window is as long as the passage that counts as leaked, not
-as the item: windows of an item's whole length can't find its parts.
-
-With a radius, candidates come from 64-bit SimHashes of the windows instead. A fingerprint is cut into radius + 1
-blocks; two within the radius agree in at least one block, so tables of the items' blocks find every pair within it.
-One word of 13 replaced flips about 7 bits, so a small radius finds little beyond equal windows.
-
-The items are a stated query set: they are sent to the tasks in blocks of bounded size, and the documents are read
-once per block without any shuffle of their text.
+Near copies of whole items: windows as long as the item. An item and a document's window have 64-bit SimHashes of their
+word runs; the bits are cut into blocks, and a window within the radius of an item differs in at least one block by no
+more than the radius allows a block, so tables of the items' blocks with that many bits changed pass every fingerprint
+within it. What passes is compared, and what is within the radius is verified by the weighted similarity of word
+shingles. Items are grouped by length in steps of a tenth; longer items than a byte counts go in tiles. The radius
+follows from the similarity: runs of two passages of similarity 0.8 differ in about 9 of 64 bits.
+
+Parts of items: windows of `width` words, the length that counts as leaked. They are similar if the weighted similarity
+of their shingles is at least `least`. Such windows share a shingle, so an index of the items' shingles finds every
+pair: of a document's window only those shingles are looked up that together weigh more than the part that may differ,
+and only if all its shingles that occur in items weigh enough. (One word of 13 replaced flips about 7 bits of a SimHash,
+so fingerprints can't find them.) With a radius given for parts, their candidates come from SimHashes as well.
+
+The items are a stated query set: they are sent to the tasks in blocks of bounded size, one block at a time, and the
+documents are read once per block without any shuffle of their text.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 2_000_000
 #: Words of a shingle.
 SHINGLE = 5
+#: Item-sized windows: words of a run, bits that two fingerprints may differ in, blocks of bits, step of the lengths and
+#: the most words of a window (a counter of a byte passes no more).
+RUN, NEAR_RADIUS, NEAR_BLOCKS, STEP, TILE = 3, 14, 4, 1.1, 120
 _SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 _ONES = np.uint64(0x0101010101010101)
 _HIGH = np.uint64(0x8080808080808080)
@@ -42,14 +48,15 @@ class Vocabulary:
     """Word numbers and, by number, the word's 64 hash bits spread over eight lanes of eight byte counters."""
 
     def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
         self.numbers: dict[str, int] = {}
         self.lanes = np.zeros((1024, 8), dtype=np.uint64)
         self.hashes = np.zeros(1024, dtype=np.uint64)
         self.letters = np.zeros(1024, dtype=np.int64)
 
+    def forget(self, kept: int) -> None:
+        """Only the first `kept` words are kept."""
+        self.numbers = {w: n for w, n in self.numbers.items() if n < kept}
+
     def number(self, words: list[str]) -> np.ndarray:
         known = self.numbers
         out = [known.get(w, -1) for w in words]
@@ -122,6 +129,76 @@ class BlockIndex:
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words from each word on."""
+    n = max(0, len(hashes) - size + 1)
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        key = key * _MULTIPLIER + hashes[k:k + n]
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def spread_lanes(hashes: np.ndarray) -> np.ndarray:
+    return np.stack([_SPREAD[((hashes >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)] for k in range(8)], axis=1) if len(hashes) else np.zeros((0, 8), np.uint64)
+
+
+def window_lengths() -> list[int]:
+    out = [RUN + 1]
+    while out[-1] < TILE:
+        out.append(min(TILE, max(out[-1] + 1, int(out[-1] * STEP))))
+    return out
+
+
+class NearIndex:
+    """Items by length of window: fingerprints of their tiles, and by block the keys within the block's share of the
+    radius."""
+
+    def __init__(self, items: list[list[str]], vocabulary: Vocabulary, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS) -> None:
+        self.radius = radius
+        lengths = np.array(window_lengths())
+        tiles: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for n, words in enumerate(items):
+            if len(words) < RUN + 1:
+                continue
+            parts = -(-len(words) // TILE)
+            each = len(words) // parts
+            width = int(lengths[np.searchsorted(lengths, each, "right") - 1])
+            hashes = run_hashes(vocabulary.hashes[vocabulary.number(words)], RUN)
+            for k in range(parts):
+                tiles[width].append((n, k * each, int(simhashes(spread_lanes(hashes[k * each:k * each + width - RUN + 1]), width - RUN + 1)[0])))
+        self.edges = np.linspace(0, 64, blocks + 1).astype(int)
+        self.by_width = []
+        for width, own in sorted(tiles.items()):
+            prints = np.array([x[2] for x in own], dtype=np.uint64)
+            self.by_width.append((width, own, prints, [self._near(prints, a, b, radius // blocks) for a, b in zip(self.edges, self.edges[1:])]))
+
+    @staticmethod
+    def _near(prints: np.ndarray, a: int, b: int, changed: int) -> np.ndarray:
+        keys = np.unique((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1))
+        for _ in range(changed):
+            keys = np.unique(np.concatenate([keys, *(keys ^ np.uint64(1 << k) for k in range(b - a))]))
+        present = np.zeros(1 << (b - a), dtype=bool)
+        present[keys.astype(np.int64)] = True
+        return present
+
+    def search(self, lanes: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, int, tuple[int, int, int]]]:
+        """Positions of the windows within the radius of a tile, the window's words and the tile (item, offset, print)."""
+        for width, own, prints, present in self.by_width:
+            if n_words < width:
+                break
+            of = simhashes(lanes, width - RUN + 1)
+            may = np.zeros(len(of), dtype=bool)
+            for (a, b), keys in zip(zip(self.edges, self.edges[1:]), present):
+                may |= keys[((of >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)]
+            at = np.nonzero(may)[0]
+            passing = of[at]
+            for k in range(len(prints)):
+                near = at[np.bitwise_count(passing ^ prints[k]) <= self.radius]
+                if len(near):
+                    yield near, width, own[k]
+
+
 class ShingleIndex:
     """Finds every stored window whose shingle similarity with a given one is at least `least`."""
 
@@ -146,12 +223,7 @@ class ShingleIndex:
         self.present[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def _keys(self, numbers: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-        hashes, n = vocabulary.hashes[numbers], len(numbers) - self.size + 1
-        key = np.zeros(n, dtype=np.uint64)
-        for k in range(self.size):
-            key = key * _MULTIPLIER + hashes[k:k + n]
-            key ^= key >> np.uint64(29)
-        return key
+        return run_hashes(vocabulary.hashes[numbers], self.size)
 
     def search(self, numbers: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Positions (query, stored) of pairs that include all similar ones, each once; queries start at each word."""
@@ -204,28 +276,44 @@ def shingle_similarity(a: tuple[str, ...], b: tuple[str, ...], size: int = SHING
     return weigh(x & y) / union if union else 1.0
 
 
-def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        windows, stated = [], []
+class _Index:
+    """A block of items as the tasks use it."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], width: int, radius: int | None, least: float) -> None:
+        self.items, self.vocabulary = items, Vocabulary()
+        self.windows, stated = [], []
         for n, (_, words) in enumerate(items):
             if len(words) >= width:
-                stated.append(vocabulary.number(words))
-                windows += [(n, i) for i in range(len(words) - width + 1)]
+                stated.append(self.vocabulary.number(words))
+                self.windows += [(n, i) for i in range(len(words) - width + 1)]
         if radius is None:
-            index = ShingleIndex(stated, vocabulary, width, least)
+            self.parts = ShingleIndex(stated, self.vocabulary, width, least)
         else:
-            prints = [simhashes(vocabulary.lanes[n], width) for n in stated]
-            index = BlockIndex(np.concatenate(prints) if prints else np.empty(0, np.uint64), radius)
-        base = len(vocabulary.numbers)
+            prints = [simhashes(self.vocabulary.lanes[n], width) for n in stated]
+            self.parts = BlockIndex(np.concatenate(prints) if prints else np.empty(0, np.uint64), radius)
+        self.near = NearIndex([w for _, w in items], self.vocabulary)
+        self.base = len(self.vocabulary.numbers)
+
+
+_HELD: dict[tuple, _Index] = {}
+
+
+def _matcher(block, key: int, width: int, radius: int | None, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = (key, width, radius, least)
+        if asked not in _HELD:
+            _HELD.clear()
+            _HELD[asked] = _Index(block.value, width, radius, least)
+        index = _HELD[asked]
+        items, vocabulary, windows = index.items, index.vocabulary, index.windows
 
         def found(ids: list[int], docs: list[list[str]]) -> dict[tuple[int, int], list]:
             numbers = vocabulary.number([w for d in docs for w in d])
             owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-            best: dict[tuple[int, int], list] = defaultdict(lambda: [0, 0.0, 0])
+            start = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+            best: dict[tuple[int, int], list] = defaultdict(lambda: [0, 0.0, 0, 0.0])
             if len(numbers) >= width and len(windows):
-                start = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-                q, s = index.search(numbers, vocabulary) if radius is None else index.search(simhashes(vocabulary.lanes[numbers], width))
+                q, s = index.parts.search(numbers, vocabulary) if radius is None else index.parts.search(simhashes(vocabulary.lanes[numbers], width))
                 same = owner[q] == owner[q + width - 1]
                 for i, j in zip(q[same].tolist(), s[same].tolist()):
                     d, (n, k) = owner[i], windows[j]
@@ -237,8 +325,19 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None,
                     if similarity >= least:
                         x = best[ids[d], item]
                         x[0], x[1], x[2] = x[0] + 1, max(x[1], similarity), x[2] + exact
-            if len(vocabulary.numbers) > base + 1_000_000:
-                vocabulary.reset()  # numbers are only used within a group
+            if len(numbers) > RUN:
+                lanes = spread_lanes(run_hashes(vocabulary.hashes[numbers], RUN))
+                for at, long, (n, offset, _) in index.near.search(lanes, len(numbers)):
+                    item, words = items[n]
+                    for i in at[owner[at] == owner[at + long - 1]].tolist():
+                        d = owner[i]
+                        first = max(0, i - start[d] - offset)
+                        similarity = shingle_similarity(tuple(docs[d][first:first + len(words)]), tuple(words))
+                        if similarity >= least:
+                            x = best[ids[d], item]
+                            x[3] = max(x[3], similarity)
+            if len(vocabulary.numbers) > index.base + 1_000_000:
+                vocabulary.forget(index.base)  # words of documents only serve their group
             return best
 
         for batch in batches:
@@ -247,7 +346,7 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None,
             out: list[tuple] = []
             for n, (i, text) in enumerate(zip(ids, texts)):
                 words = WORD.findall((text.as_py() or "").lower())
-                if len(words) >= width:
+                if len(words) >= min(width, RUN + 1):
                     group.append(i)
                     docs.append(words)
                     size += len(words)
@@ -259,35 +358,34 @@ def _matcher(items: list[tuple[int, list[str]]], width: int, radius: int | None,
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([x[0] for x in out], pa.int64()), "item_id": pa.array([x[1] for x in out], pa.int64()),
                 "n_windows": pa.array([x[2] for x in out], pa.int64()), "similarity": pa.array([x[3] for x in out], pa.float64()), "n_exact": pa.array([x[4] for x in out], pa.int64()),
+                "item_similarity": pa.array([x[5] for x in out], pa.float64()),
             })
 
     return run
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, width: int = 13, radius: int | None = None, least: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Documents with windows of `width` words that an item has too: doc_id, item_id, n_windows, similarity, n_exact.
-
-    n_windows counts pairs of windows whose similarity is at least `least` (above 0, at most 1), similarity is the best
-    of them, n_exact those of identical words. All such pairs are found; with a radius only those within it, which
-    include all of identical words, since equal windows have equal fingerprints. Words are runs of letters and digits in lower case.
-    Null texts and texts under `width` words share nothing; an item id or document id that occurs twice with other
-    texts is compared with each (rows of one id are then repeated); other columns are ignored.
+    """Documents and the items that they leak: doc_id, item_id, n_windows, similarity, n_exact, item_similarity.
+
+    n_windows counts pairs of windows of `width` words whose similarity is at least `least` (above 0, at most 1),
+    similarity is the best of them, n_exact those of identical words. All such pairs are found; with a radius only those
+    within it, which include all of identical words, since equal windows have equal fingerprints. item_similarity is the
+    best similarity of a window of the item's length with the item, 0 if none within the fingerprints' radius reaches
+    `least`. Words are runs of letters and digits in lower case. Null texts share nothing, texts under `width` words no
+    windows; an item id or document id that occurs twice with other texts is compared with each (rows of one id are then
+    repeated); other columns are ignored.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    stated = items.select(F.col(item_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator()
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for item, text in stated:
-        words = WORD.findall(text.lower())
-        if size + len(words) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, words))
-        size += len(words)
+    spark = documents.sparkSession
+    stated = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    words = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).cast("long")
+    n_blocks = max(1, -(-(stated.agg(F.sum(words)).first()[0] or 0) // BLOCK_WORDS))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in blocks:
-        part = rows.mapInArrow(_matcher(block, width, radius, least), "doc_id long, item_id long, n_windows long, similarity double, n_exact long")
+    for n in range(n_blocks):
+        own = stated.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == n).toLocalIterator() if n_blocks > 1 else stated.toLocalIterator()
+        block = spark.sparkContext.broadcast([(item, WORD.findall(text.lower())) for item, text in own])  # about BLOCK_WORDS words
+        part = rows.mapInArrow(_matcher(block, block._jbroadcast.id(), width, radius, least), "doc_id long, item_id long, n_windows long, similarity double, n_exact long, item_similarity double")
         out = part if out is None else out.unionByName(part)
     return out
