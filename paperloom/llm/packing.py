@@ -10,12 +10,14 @@ by a third of all texts isn't one task's work.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,13 @@ def _encoder(path: str):
 
 
 def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id and n_tokens of each row by a vocabulary file in rank format; null texts have 0 tokens."""
+    """doc_id and n_tokens of each row by a vocabulary file in rank format, which Spark sends to the executors; null texts
+    have 0 tokens."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
@@ -146,13 +151,8 @@ def pack(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
     parts = max(1, -(-max(counts.values(), default=1) // PART_ROWS))
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)).cast("int"))
     if parts > 1:
-        before = salted.groupBy("size", "part").count()
-        offsets = defaultdict(int)
-        rows = []
-        for s, p, n in sorted(before.collect()):  # sizes up to the capacity times parts
-            rows.append((s, p, offsets[s]))
-            offsets[s] += n
-        salted = salted.join(spark.createDataFrame(rows, "size long, part int, before long"), ["size", "part"])
+        before = salted.groupBy("size", "part").count().select("size", "part", F.expr("sum(count) OVER (PARTITION BY size ORDER BY part) - count").alias("before"))
+        salted = salted.join(before, ["size", "part"])
     else:
         salted = salted.withColumn("before", F.lit(0).cast("long"))
     ranked = salted.withColumn("rank", F.expr("before + row_number() OVER (PARTITION BY size, part ORDER BY doc_id, piece_no) - 1"))
@@ -175,9 +175,21 @@ def pack_each(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
     return out
 
 
+def pack_tiers_of_each(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """All texts packed once for every capacity as the largest (`plan` is its name): each text is routed to the smallest
+    of the tiers up to it that holds it, and gaps of longer containers are filled from shorter tiers. Texts are
+    tokenized once."""
+    held = shared(sizes)
+    out = None
+    for name in sorted(capacities, key=lambda n: (capacities[n], n)):
+        part = pack(held, {n: c for n, c in capacities.items() if c <= capacities[name]}).select(F.lit(name).alias("plan"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def packing_summary(packed: DataFrame) -> DataFrame:
-    """Containers, texts, pieces, tokens and steps per container name."""
-    return packed.groupBy("container").agg(
+    """Containers, texts, pieces, tokens and steps per container name, and plan where there are several."""
+    return packed.groupBy(*(["plan"] if "plan" in packed.columns else []), "container").agg(
         F.countDistinct("container_no").alias("n_containers"), F.countDistinct("doc_id").alias("n_texts"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"),
         (F.max("step_no") + 1).alias("n_steps"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.encoding import restore_encoding
 from paperloom.llm.leakage import leaked_items
 from paperloom.llm.near_duplicates import duplicate_groups, similar_rows, text_rows
-from paperloom.llm.packing import pack, pack_each, token_sizes
+from paperloom.llm.packing import pack, pack_each, pack_tiers_of_each, token_sizes
 from paperloom.llm.quality import classify_form, text_statistics
 from paperloom.llm.repeated_lines import repeated_lines, without_repeated_lines
 from paperloom.llm.scan_noise import repair_scans
@@ -101,7 +101,13 @@ def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in containers of each capacity, once per capacity."""
+    """All documents once for each capacity as the largest, each routed to the tier of its length among the capacities
+    up to it, longer containers' gaps filled from shorter tiers."""
+    return pack_tiers_of_each(token_sizes(table(spark, sf_dir, "documents")), _capacities(spark, sf_dir))
+
+
+def p8_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of each capacity alone, once per capacity."""
     return pack_each(token_sizes(table(spark, sf_dir, "documents")), _capacities(spark, sf_dir))
 
 
@@ -111,7 +117,8 @@ def p8_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and items with similar or equal windows of 13 words."""
+    """Documents and items with similar or equal windows of 13 words, or with a window of the item's length that is a near
+    copy of the item."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
@@ -138,7 +145,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_repaired": p3_repaired,
     "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_lines": p6_lines, "p6_pages": p6_pages,
-    "p8_pack": p8_pack, "p8_tiers": p8_tiers,
+    "p8_pack": p8_pack, "p8_tiers": p8_tiers, "p8_each": p8_each,
     "p9_found": p9_found, "p9_windows": p9_windows,
     "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_statistics": p10_statistics,
 }

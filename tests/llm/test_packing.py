@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from paperloom.llm import packing
-from paperloom.llm.packing import pack, pack_each, packing_summary, plan_packing, token_sizes
+from paperloom.llm.packing import pack, pack_each, pack_tiers_of_each, packing_summary, plan_packing, token_sizes
 
 
 @pytest.mark.parametrize("capacities", [[1], [7], [512], [3, 5], [64, 256, 1024]])
@@ -44,6 +44,15 @@ def test_rows(spark, monkeypatch):
         assert all(parts[i] == -(-max(n, 1) // largest) for i, n, _ in rows if i != 7) and len(got) == sum(parts.values())
     both = packing_summary(pack_each(df, {"b": 40, "z": 160})).collect()
     assert {r["container"]: r["n_texts"] for r in both} == {"b": 900, "z": 900}
+    tiers = pack_tiers_of_each(df, {"b": 40, "a": 16, "z": 160}).collect()
+    for plan, within in (("a", {"a"}), ("b", {"a", "b"}), ("z", {"a", "b", "z"})):
+        own = [r for r in tiers if r["plan"] == plan]
+        assert {r["container"] for r in own} == within and len({r["doc_id"] for r in own}) == 900
+        fill = Counter()
+        for r in own:
+            fill[r["container"], r["container_no"]] += r["n_tokens"]
+        assert all(n <= caps[c] for (c, _), n in fill.items()) and sum(fill.values()) == sum(n for _, n, _ in rows)
+        assert sum(fill.values()) >= 0.95 * sum(caps[c] for c, _ in fill)
     assert pack(df.limit(0), caps).count() == 0
     with pytest.raises(ValueError):
         pack(df, {"a": 0})
