@@ -273,31 +273,32 @@ def _widened(spans: Column, starts: Column, n: int) -> Column:
     return F.flatten(F.transform(spans, wider))
 
 
-def _near(match: Match) -> Column:
+def _near(match: Match, starts: dict | None = None) -> Column:
     """Whether some column has all phrases with at most `distance` tokens between the first's end and the last's start,
     in any order."""
     phrases = [p.parts[0] for p in match.parts]
     found = F.lit(False)
+    at = (lambda p, c: starts[p, c]) if starts is not None else _starts
     for c in COLUMNS:
         if not all(c in p.columns for p in phrases):
             continue
         if len(phrases) == 1:
-            found = found | (F.size(_starts(phrases[0], c)) > 0)
+            found = found | (F.size(at(phrases[0], c)) > 0)
             continue
         # Every set of starts with one of each phrase: the span holds the phrases and no more than the distance.
-        spans = F.transform(_starts(phrases[0], c), lambda s: F.struct(s.alias("a"), (s + len(phrases[0].words)).alias("b"), F.lit(len(phrases[0].words)).alias("n")))
+        spans = F.transform(at(phrases[0], c), lambda s: F.struct(s.alias("a"), (s + len(phrases[0].words)).alias("b"), F.lit(len(phrases[0].words)).alias("n")))
         for p in phrases[1:]:
-            spans = F.array_distinct(_widened(spans, _starts(p, c), len(p.words)))
+            spans = F.array_distinct(_widened(spans, at(p, c), len(p.words)))
         found = found | F.exists(spans, lambda x: x["b"] - x["a"] - x["n"] <= match.distance)
     return found
 
 
-def _matches(match: Match, counts: dict[Phrase, Column]) -> Column:
+def _matches(match: Match, counts: dict[Phrase, Column], starts: dict | None = None) -> Column:
     if match.kind == "phrase":
         return counts[match.parts[0]] > 0 if match.parts[0].words else F.lit(True)
     if match.kind == "near":
-        return _near(match)
-    parts = [_matches(p, counts) for p in match.parts]
+        return _near(match, starts)
+    parts = [_matches(p, counts, starts) for p in match.parts]
     if match.kind == "not":
         return parts[0] & ~parts[1]
     return reduce((lambda a, b: a & b) if match.kind == "and" else (lambda a, b: a | b), parts)
@@ -317,23 +318,33 @@ def search(index: DataFrame, query: str, source: str | None = None, limit: int =
     """
     match = parse_match(query)
     phrases = list(dict.fromkeys(_all_phrases(match)))
-    counted = once(index, **{f"_f{i}": _count(p) for i, p in enumerate(phrases)})
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))]).first()
+    return ranked(counted(index, phrases), match, phrases, source, limit, tie)
+
+
+def counted(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """Index rows with the occurrences of each phrase as `_f{i}`."""
+    return once(index, **{f"_f{i}": _count(p) for i, p in enumerate(phrases)})
+
+
+def ranked(rows: DataFrame, match: Match, phrases: list[Phrase], source: str | None, limit: int, tie: tuple[str, ...], corpus: tuple[int, float | None] | None = None, starts: dict | None = None) -> DataFrame:
+    """The best of counted rows. `corpus`: number of index rows and their mean length, if `rows` only has those with a
+    word of the query; `starts`: where phrases begin by phrase and column, if the rows have no tokens."""
+    wanted = [F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))]
+    found = rows.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *wanted).first()
+    total, mean = corpus if corpus is not None else (found["_n"], found["_avg"])
     by_phrase = {p: F.col(f"_f{i}") for i, p in enumerate(phrases)}
     score = F.lit(0.0)
     for p, alternatives in match.scored():
         i = phrases.index(p)
-        n, total = stats[f"_n{i}"], stats["_n"]
-        idf = _idf(n, total)
         f = F.col(f"_f{i}").cast("double")
-        part = idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["_avg"] or 1.0)))
+        part = _idf(found[f"_n{i}"], total) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(mean or 1.0)))
         for a in alternatives:
-            part = F.when(_matches(a, by_phrase), part).otherwise(F.lit(0.0))
+            part = F.when(_matches(a, by_phrase, starts), part).otherwise(F.lit(0.0))
         score = score - part
-    hits = counted.filter(_matches(match, by_phrase))
+    hits = rows.filter(_matches(match, by_phrase, starts))
     if source is not None:
         hits = hits.filter(F.col("source") == source)
-    gone = ["title_tokens", "body_tokens", "n_tokens", *[f"_f{i}" for i in range(len(phrases))]]
+    gone = ["title_tokens", "body_tokens", "n_tokens", *[c for c in rows.columns if re.fullmatch(r"_f\d+|_s\d+_\w+", c)]]
     return hits.withColumn("score", score).drop(*gone).orderBy("score", *tie).limit(max(1, min(100, limit)))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import ident, text, url
 from paperloom.operators import chunking, evals, jobs, pages, reconcile, search, store
+from paperloom.operators.fts_index import StoredIndex
 from paperloom.plans import ingest
-from paperloom.session import table
+from paperloom.session import shared_folder, table
 
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -25,9 +28,27 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("document_key", "chunk_id", F.col("chunk_row_id").alias("row_id"), "source", "title", F.col("text").alias("body"), "page_start", "page_end")
 
 
+_INDEXES: dict[tuple, StoredIndex] = {}
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of the chunks in the shared folder, built when the application first asks for it or the table's
+    files have changed."""
+    rows = index_rows(spark, sf_dir)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [hadoop.Path(f) for f in sorted(rows.inputFiles())]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in files]
+    key = (spark.sparkContext.applicationId, sf_dir, *((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in states))
+    if key not in _INDEXES:
+        index = StoredIndex(spark, f"{shared_folder(spark)}/fts-{uuid.uuid4().hex}", ("document_key", "chunk_id", "row_id"))
+        index.build(rows)
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def _search(query: str, source: str | None = None, limit: int = 10):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = search.search(search.build_index(index_rows(spark, sf_dir)), query, source, limit, ("document_key", "chunk_id", "row_id"))
+        hits = chunk_index(spark, sf_dir).search(query, source, limit)
         return hits.select("row_id", "document_key", "chunk_id", "source", "page_start", "page_end", F.round("score", 6).alias("score"))
 
     return run
@@ -85,7 +106,7 @@ SEARCHES = {
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top hits with snippets and their documents' metadata and notes."""
     query = "observatory harvest"
-    hits = search.search(search.build_index(index_rows(spark, sf_dir)), query, None, 20, ("document_key", "chunk_id", "row_id"))
+    hits = chunk_index(spark, sf_dir).search(query, None, 20)
     documents = table(spark, sf_dir, "stored_documents").select("document_key", "metadata_json", "citation_note", "terms_note")
     joined = search.with_snippets(hits, query).join(documents, "document_key", "left")
     return joined.withColumn("source_warning", search.source_warning(F.col("metadata_json"))).drop("body")
@@ -95,10 +116,10 @@ class ChunkSearch:
     """Search backend over the project's chunks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.index = search.build_index(index_rows(spark, sf_dir))
+        self.index = chunk_index(spark, sf_dir)
 
     def search(self, query: str, source: str | None, limit: int) -> DataFrame:
-        return search.with_snippets(search.search(self.index, query, source, limit, ("document_key", "chunk_id", "row_id")), query)
+        return search.with_snippets(self.index.search(query, source, limit), query)
 
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,17 +129,20 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.term_stats(search.build_index(index_rows(spark, sf_dir)))
+    stored = chunk_index(spark, sf_dir).postings()
+    return stored.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum((F.size("title") + F.size("body")).cast("long")).alias("n_occurrences"))
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.build_index(index_rows(spark, sf_dir)).select("row_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+    return chunk_index(spark, sf_dir).rows(columns=["row_id", "n_tokens"]).select("row_id", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each term's postings and its first and last position."""
-    p = search.postings(search.build_index(index_rows(spark, sf_dir)), ["row_id"])
-    return p.groupBy("term", "col").agg(F.count("*").alias("n_postings"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
+    stored = chunk_index(spark, sf_dir).postings()
+    sides = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("at")) for c in search.COLUMNS])
+    p = stored.select("term", F.inline(sides)).filter(F.size("at") > 0)
+    return p.groupBy("term", "col").agg(F.sum(F.size("at").cast("long")).alias("n_postings"), F.min(F.array_min("at")).cast("long").alias("first_pos"), F.max(F.array_max("at")).cast("long").alias("last_pos"))
 
 
 def stored_hits_shape(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,14 +51,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder that all executors share, so that it is computed once.
-
-    The folder is the one in spark.checkpoint.dir. Only where the session names none (tests, one machine)
-    a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in spark.checkpoint.dir. Where the session names none, a temporary
+    folder is set on one machine; on a cluster, whose executors couldn't read it, that is refused."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so that it is computed once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
