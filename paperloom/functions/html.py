@@ -19,6 +19,7 @@ class _Scan(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.anchors: list[tuple[str, str]] = []
         self.rows: list[list[str]] = []
+        self.links: list[list[str | None]] = []  # first link of each cell
         self.texts: dict[str, str] = {}
         self.metas: dict[str, str] = {}
         self.pairs: list[tuple[str, str]] = []
@@ -26,6 +27,7 @@ class _Scan(HTMLParser):
         self._open: list[tuple[str, list[str]]] = []
         self._href: list[tuple[str, list[str]]] = []
         self._row: list[list[str]] | None = None
+        self._row_links: list[str | None] = []
         self._hidden = 0
         self._label: str | None = None
 
@@ -39,10 +41,13 @@ class _Scan(HTMLParser):
                 self.metas[name] = squeeze(values.get("content", ""))
         if tag == "a":
             self._href.append((values.get("href", ""), []))
+            if self._row_links and self._row is not None and not self._row_links[-1]:
+                self._row_links[-1] = values.get("href") or None
         if tag == "tr":
-            self._row = []
+            self._row, self._row_links = [], []
         if tag in ("td", "th") and self._row is not None:
             self._row.append([])
+            self._row_links.append(None)
         if tag in ("br", "p", "div", "li", "td", "th", "dd", "dt"):
             self._text(" ")
         if tag in ("title", "h1", "h2", "h3", "th", "dt", "label", "strong", "b", "td", "dd"):
@@ -57,6 +62,7 @@ class _Scan(HTMLParser):
                 self.anchors.append((href, squeeze("".join(parts))))
         if tag == "tr" and self._row is not None:
             self.rows.append([squeeze("".join(c)) for c in self._row])
+            self.links.append(self._row_links)
             self._row = None
         if any(t == tag for t, _ in self._open):
             while self._open:
@@ -122,7 +128,7 @@ def scan_udf():
     return F.pandas_udf(_scan_batch, _SCAN)
 
 
-_SCAN = ("struct<anchors:array<struct<href:string,label:string>>,rows:array<array<string>>,title:string,h1:string,metas:map<string,string>,pairs:array<struct<k:string,v:string>>,text:string>")
+_SCAN = ("struct<anchors:array<struct<href:string,label:string>>,rows:array<array<string>>,links:array<array<string>>,title:string,h1:string,metas:map<string,string>,pairs:array<struct<k:string,v:string>>,text:string>")
 
 
 def _scan_batch(html: pd.Series) -> pd.DataFrame:
@@ -130,6 +136,7 @@ def _scan_batch(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({
         "anchors": [[{"href": h, "label": t} for h, t in s.anchors] for s in scans],
         "rows": [[r for r in s.rows] for s in scans],
+        "links": [[r for r in s.links] for s in scans],
         "title": [s.texts.get("title") for s in scans],
         "h1": [s.texts.get("h1") for s in scans],
         "metas": [s.metas for s in scans],

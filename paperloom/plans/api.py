@@ -44,15 +44,16 @@ class Library:
 
     def search_source(self, name: str, query: str, limit: int = 10, cursor: str | None = None) -> base.SearchPage:
         source, rows = self._rows(name)
-        if cursor is not None:
-            base.decode_cursor(source, cursor, 0)
-        return base.search_listing(source, rows, query, limit)
+        return base.search_listing(source, rows, query, limit, cursor)
 
     def get_source_record(self, name: str, id_or_url: str) -> DataFrame:
-        """The record with that source id, public id or address."""
+        """The record with that source id, public id or address; at dtic also by an accession number in the text."""
         source, rows = self._rows(name)
         wanted = id_or_url.strip()
-        found = base.records_of(source, rows).filter((F.col("source_id") == wanted) | (F.col("id") == wanted) | (F.col("document_url") == wanted)).orderBy("ord", "pos").drop("ord", "pos").limit(1)
+        known = (F.col("source_id") == wanted) | (F.col("id") == wanted) | (F.col("document_url") == wanted)
+        if name == "dtic":
+            known = known | F.exists(adapters.accessions(F.lit(wanted)), lambda a: F.upper("source_id").endswith(a))
+        found = base.records_of(source, rows).filter(known).orderBy("ord", "pos").drop("ord", "pos").limit(1)
         if found.isEmpty():
             raise InvalidRequest(f"{name} lists no record {wanted!r}")
         return found

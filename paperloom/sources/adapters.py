@@ -4,6 +4,7 @@ operators that only some sources have."""
 from __future__ import annotations
 
 import json
+import urllib.parse
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text, url
 from paperloom.functions.html import scan_udf
 from paperloom.operators.search import InvalidRequest
-from paperloom.sources.base import RECORD, Source, listed_links, mime_of, records_of, role_of
+from paperloom.sources.base import ASSETS, RECORD, Source, allowed, listed_links, merge_duplicates, mime_of, records_of, role_of
 
 
 class SourceChanged(RuntimeError):
@@ -21,19 +22,41 @@ class SourceChanged(RuntimeError):
 
 
 def html_rows(source: Source, documents: DataFrame) -> DataFrame:
-    """Rows of the allowed links of listing pages (ord, page_url, html)."""
-    return listed_links(source, documents)
+    """Rows of the allowed links of listing pages (ord, page_url, html); a source with tables has their rows first, and
+    with what its links tell beside the address (a case number, a data set, a part)."""
+    links = listed_links(source, documents)
+    if source.columns:
+        rows = table_rows(source, documents, source.columns)
+        named = [F.lit(None).cast("string").alias(c) for c in ("title", "date", "description")]
+        rest = links.join(rows.select("document_url").distinct(), "document_url", "left_anti")
+        return rows.unionByName(rest.select("ord", (F.col("pos") + 1_000_000).alias("pos"), "document_url", "label", *named, F.create_map().cast("map<string,string>").alias("extra")))
+    told = {
+        "state": {"case_number": url.parameter(F.col("document_url"), "caseNumber")},
+        "doj_epstein": {"data_set": data_set_number(F.col("document_url"), F.col("label"))},
+        "fbi_vault": {"part": part_number(F.col("label")).cast("string")},
+    }.get(source.name)
+    if not told:
+        return links
+    return links.withColumn("extra", F.map_filter(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull()))
 
 
 def table_rows(source: Source, documents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of the tables of listing pages by position of their cells, joined with the allowed link whose label is in
-    the row. `columns` names the cells: title, subject, keywords, date, ... ; an empty name skips one."""
-    scanned = documents.select("ord", scan_udf()(F.col("html")).alias("s")).select("ord", F.posexplode("s.rows").alias("row", "cells")).filter(F.size("cells") >= 2)
-    links = listed_links(source, documents).filter("label <> ''").select("ord", "pos", "document_url", F.col("label").alias("link_label"))
-    joined = scanned.join(links, (scanned["ord"] == links["ord"]) & F.exists("cells", lambda c: c == F.col("link_label"))).select(scanned["ord"], "pos", "document_url", F.col("link_label").alias("label"), "cells")
+    """Rows of the tables of listing pages by position of their cells: the first link of a row that may be listed and
+    is one of the source's files is the record's. `columns` names the cells: title, subject, keywords, date, ... ; an
+    empty name skips one. Topic and office together are a description."""
+    scanned = documents.select("ord", "page_url", scan_udf()(F.col("html")).alias("s"))
+    rows = scanned.select("ord", "page_url", F.posexplode(F.arrays_zip("s.rows", "s.links")).alias("row", "c")).select("ord", "page_url", "row", F.col("c.rows").alias("cells"), F.col("c.links").alias("links"))
+    linked = rows.select("ord", "page_url", "row", "cells", F.posexplode("links").alias("cell", "href")).filter("href IS NOT NULL")
+    linked = text.once(linked, document_url=url.canonical(url.absolutize(F.col("href"), F.col("page_url"))))
+    parts, condition = allowed(source, F.col("document_url"))
+    kept = text.once(linked, **parts, l=F.lower(F.get("cells", F.col("cell")))).filter(condition).filter(source.file)
+    first = kept.groupBy("ord", "row").agg(F.min_by(F.struct("document_url", "cells", "cell"), "cell").alias("r")).select("ord", F.col("row").alias("pos"), "r.*")
     named = {c: F.nullif(F.get("cells", F.lit(i)), F.lit("")) for i, c in enumerate(columns) if c}
     extra = F.map_filter(F.create_map(*[x for c, v in named.items() if c not in ("title", "date", "description") for x in (F.lit(c), v)]), lambda k, v: v.isNotNull())
-    return joined.select("ord", "pos", "document_url", "label", *[named.get(c, F.lit(None).cast("string")).alias(c) for c in ("title", "date", "description")], extra.alias("extra"))
+    if {"topic", "office"} <= set(named):
+        named["description"] = F.nullif(F.concat_ws("; ", named["topic"], named["office"]), F.lit(""))
+    label = F.get("cells", F.col("cell"))
+    return first.select("ord", "pos", "document_url", label.alias("label"), *[named.get(c, F.lit(None).cast("string")).alias(c) for c in ("title", "date", "description")], extra.alias("extra"))
 
 
 def first_array(payload: str, names: tuple[str, ...] = ("records", "body", "results", "items", "hits")) -> list[dict] | None:
@@ -66,29 +89,77 @@ def _json_rows(read):
                     row = read(item)
                     if row:
                         out.append({"ord": o, "pos": i, **row})
-            yield pd.DataFrame(out, columns=["ord", "pos", "document_url", "label", "source_id", "title", "date", "description", "extra"])
+            yield pd.DataFrame(out, columns=["ord", "pos", "document_url", "label", "source_id", "title", "date", "description", "extra", "assets"])
 
     return run
 
 
-_JSON_ROWS = "ord int, pos int, document_url string, label string, source_id string, title string, date string, description string, extra map<string,string>"
+_JSON_ROWS = "ord int, pos int, document_url string, label string, source_id string, title string, date string, description string, extra map<string,string>, assets " + ASSETS
 
 
 def _text(x) -> str | None:
     return None if x is None or isinstance(x, (dict, list)) or not str(x).strip() else str(x).strip()
 
 
+def _addresses(x) -> Iterator[str]:
+    """Every string in a JSON value that is a web address, in order."""
+    if isinstance(x, str):
+        if x.startswith(("http://", "https://")):
+            yield x
+    elif isinstance(x, (list, dict)):
+        for y in x.values() if isinstance(x, dict) else x:
+            yield from _addresses(y)
+
+
+# Parts of an address that tell a digital object's role, in order, and its type.
+OBJECTS = ((".pdf", "pdf", "application/pdf"), (".png", "image", "image/png"), (".gif", "image", "image/gif"), (".tif", "image", "image/tiff"), (".jpg", "image", "image/jpeg"), (".jpeg", "image", "image/jpeg"), (".txt", "ocr_text", "text/plain"), ("ocr", "ocr_text", "text/plain"))
+OBJECT_LABELS = {"pdf": "PDF", "image": "Digital object image", "ocr_text": "OCR text"}
+
+
+def digital_objects(item: dict) -> list[dict]:
+    """Attachments for the addresses in a catalogue record that are a PDF, an image or recognised text, each once."""
+    out = {}
+    for address in _addresses(item):
+        kind = next(((role, mime) for part, role, mime in OBJECTS if part in address.lower()), None)
+        if kind and address not in out:
+            name = address.rsplit("/", 1)[-1].split("?")[0].split("#")[0]
+            out[address] = {"asset_url": address, "label": name or OBJECT_LABELS[kind[0]], "mime_type": kind[1], "role": kind[0]}
+    return list(out.values())
+
+
 def _nara(item: dict) -> dict | None:
     sid = _text(item.get("naId"))
     if not sid:
         return None
-    objects = [o.get("objectUrl") for o in item.get("digitalObjects") or [] if isinstance(o, dict) and o.get("objectUrl")]
-    extra = {k: _text(item.get(k)) for k in ("recordGroup", "collectionIdentifier")} | {"object_count": str(len(objects)), "object_url": objects[0] if objects else None}
-    return {"document_url": f"https://catalog.archives.gov/id/{sid}", "label": _text(item.get("title")), "source_id": sid, "title": _text(item.get("title")), "date": _text(item.get("inclusiveStartDate")), "description": _text(item.get("scopeAndContentNote")), "extra": {k: v for k, v in extra.items() if v}}
-
-
-#: Order of download links; others follow by name.
-DOWNLOADS = ("pdfLink", "xmlLink", "modsLink", "txtLink", "htmLink", "zipLink", "premisLink")
+    objects = digital_objects(item)
+    extra = {k: _text(v[0] if isinstance(v, list) and v else v) for k, v in item.items()} | {"object_count": str(len(objects)), "object_url": objects[0]["asset_url"] if objects else None}
+    return {"document_url": f"https://catalog.archives.gov/id/{sid}", "label": _text(item.get("title")), "source_id": sid, "title": _text(item.get("title")), "date": _text(item.get("inclusiveStartDate")), "description": _text(item.get("scopeAndContentNote")), "extra": {k: v for k, v in extra.items() if v}, "assets": objects or None}
+
+
+# Download links in order with role and type; others follow by name.
+DOWNLOADS = {"pdfLink": ("pdf", "application/pdf"), "xmlLink": ("other", "application/xml"), "modsLink": ("other", "application/mods+xml"), "txtLink": ("transcript", "text/plain"), "htmLink": ("html", "text/html"), "zipLink": ("other", None), "premisLink": ("other", None)}
+OF_PACKAGE = ("zipLink", "premisLink")
+
+
+def download_assets(links: dict, package: str, granule: str | None) -> list[dict]:
+    """Attachments for a package's or granule's download links: only those of the official interface that are of this
+    package and granule (archives and preservation data may be the package's); the PDF by its public address."""
+    coded = urllib.parse.quote(package, safe="-_.~")
+    own = urllib.parse.quote(granule, safe="-_.~") if granule else None
+    out: dict[str, dict] = {}
+    for key in [*DOWNLOADS, *sorted(set(links) - set(DOWNLOADS))]:
+        address = _text(links.get(key))
+        at = urllib.parse.urlsplit(address or "")
+        if at.scheme != "https" or at.netloc.lower() != "api.govinfo.gov" or not at.path.startswith(f"/packages/{coded}/"):
+            continue
+        head, _, tail = at.path.partition(f"/packages/{coded}/granules/")
+        of_granule = head == "" and at.path.startswith(f"/packages/{coded}/granules/")
+        if (of_granule and (own is None or tail.split("/")[0] != own)) or (own is not None and not of_granule and key not in OF_PACKAGE):
+            continue
+        role, mime = DOWNLOADS.get(key, ("other", None))
+        final = f"https://www.govinfo.gov/content/pkg/{coded}/pdf/{own or coded}.pdf" if key == "pdfLink" else address
+        out.setdefault(final, {"asset_url": final, "label": key.removesuffix("Link").upper(), "mime_type": mime, "role": role})
+    return list(out.values())
 
 
 def _govinfo(item: dict) -> dict | None:
@@ -96,10 +167,9 @@ def _govinfo(item: dict) -> dict | None:
     if not package:
         return None
     sid = f"{package}/{granule}" if granule else package
-    links = {k: v for k, v in (item.get("download") or {}).items() if _text(v)}
-    order = sorted(links, key=lambda k: (DOWNLOADS.index(k) if k in DOWNLOADS else len(DOWNLOADS), k))
-    extra = {"collectionCode": _text(item.get("collectionCode")), "lastModified": _text(item.get("lastModified")), "authors": " | ".join(dict.fromkeys(item.get("governmentAuthor") or [])) or None, **{f"download_{i}": links[k] for i, k in enumerate(order)}}
-    return {"document_url": f"https://www.govinfo.gov/app/details/{sid}", "label": _text(item.get("title")), "source_id": sid, "title": _text(item.get("title")), "date": _text(item.get("dateIssued")), "description": None, "extra": {k: v for k, v in extra.items() if v}}
+    extra = {"collectionCode": _text(item.get("collectionCode")), "lastModified": _text(item.get("lastModified")), "authors": " | ".join(dict.fromkeys(item.get("governmentAuthor") or [])) or None}
+    assets = download_assets(item.get("download") or {}, package, granule)
+    return {"document_url": f"https://www.govinfo.gov/app/details/{sid}", "label": _text(item.get("title")), "source_id": sid, "title": _text(item.get("title")), "date": _text(item.get("dateIssued")), "description": None, "extra": {k: v for k, v in extra.items() if v}, "assets": assets or None}
 
 
 _READERS = {"nara": _nara, "govinfo": _govinfo}
@@ -170,10 +240,10 @@ def part_order(label: Column) -> tuple[Column, Column]:
     return F.coalesce(part_number(label), F.lit(65535)), F.lower(label)
 
 
-def data_set_number(address: Column, title: Column) -> Column:
-    """Number of a data set in the address, else in the title."""
-    pick = lambda c: F.nullif(F.regexp_extract(F.lower(c), r"data[-_ ]?set[-_ ]?0*([0-9]+)", 1), F.lit(""))
-    return F.coalesce(pick(address), pick(title)).try_cast("int")
+def data_set_number(source_id: Column, title: Column) -> Column:
+    """Digits behind `data-set-` in the id, else behind `data set ` in the title (in any case), as they are written."""
+    pick = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    return F.coalesce(pick(source_id, r"\A.*?data-set-([0-9]*)"), pick(F.lower(title), r"\A.*?data set ([0-9]*)"))
 
 
 def accessions(query: Column) -> Column:
@@ -182,15 +252,22 @@ def accessions(query: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(r"\AAD[A-Z0-9]{5,14}\z")))
 
 
-# Agencies by what names them.
-AGENCIES = (("All-domain Anomaly Resolution Office", "aaro"), ("Office of the Director of National Intelligence", "odni"), ("National Aeronautics and Space Administration", "nasa"), ("Federal Aviation Administration", "faa"), ("Department of Defense", "department of defense"))
+# Agencies by what names them, and the one that is meant otherwise.
+AGENCIES = (
+    ("Department of Homeland Security (DHS)", ("department of homeland security", "kona blue")), ("National Archives and Records Administration (NARA)", ("national archives", "nara")),
+    ("National Aeronautics and Space Administration (NASA)", ("nasa",)), ("Oak Ridge National Laboratory (ORNL)", ("oak ridge", "ornl")),
+)
+OTHER_AGENCY = "All-domain Anomaly Resolution Office (AARO)"
 
 
 def agency_of(described: Column) -> Column:
     """First agency that a text names."""
-    out = F.lit(None).cast("string")
-    for agency, mark in reversed(AGENCIES):
-        out = F.when(F.lower(described).rlike(rf"\b{mark}\b"), F.lit(agency)).otherwise(out)
+    out = F.lit(OTHER_AGENCY)
+    for agency, marks in reversed(AGENCIES):
+        named = F.lit(False)
+        for m in marks:
+            named = named | F.contains(F.lower(described), F.lit(m))
+        out = F.when(named, F.lit(agency)).otherwise(out)
     return out
 
 
@@ -220,25 +297,6 @@ def joined_entities(names: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(F.transform(names, text.squeeze), lambda n: n != "")), " | ")
 
 
-def merge_duplicates(records: DataFrame, order: str) -> DataFrame:
-    """One record per source_id, ordered by it: the first non-null PDF link and description, the union of metadata (the
-    first value of a key counts) and of attachments (the first of equal URLs). `order` is the column of the listing's
-    order. A source_id's records are pre-aggregated; keys and URLs are distinct before they are put together."""
-    o = F.col(order)
-    others = [c for c in records.columns if c not in ("source_id", "pdf_url", "description", "metadata", "attachments", order)]
-    base = records.groupBy("source_id").agg(
-        F.min_by(F.struct(*others), o).alias("_r"), F.min_by("pdf_url", F.when(F.col("pdf_url").isNotNull(), o)).alias("pdf_url"),
-        F.min_by("description", F.when(F.col("description").isNotNull(), o)).alias("description"), F.min(o).alias(order),
-    )
-    entries = records.select("source_id", o.alias("_o"), F.explode("metadata").alias("k", "v")).groupBy("source_id", "k").agg(F.min_by("v", "_o").alias("v"))
-    metadata = entries.groupBy("source_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
-    assets = records.select("source_id", o.alias("_o"), F.posexplode("attachments").alias("_p", "a")).groupBy("source_id", F.col("a.asset_url").alias("_u")).agg(F.min_by("a", F.struct("_o", "_p")).alias("a"), F.min(F.struct("_o", "_p")).alias("at"))
-    listed = assets.groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("attachments"))
-    joined = base.join(metadata, "source_id", "left").join(listed, "source_id", "left")
-    out = joined.select("source_id", *[F.col(f"_r.{c}").alias(c) for c in others], "pdf_url", "description", "metadata", "attachments", order)
-    return out.select(*records.columns).orderBy("source_id")
-
-
 def pdf_before_appendix(attachments: Column) -> Column:
     """URL of the first PDF that isn't an appendix, else of the first PDF."""
     pdfs = F.filter(attachments, lambda a: a["role"] == "pdf")
@@ -254,7 +312,10 @@ def detail_record(source: Source, document: DataFrame, aliases: dict[str, tuple[
     assets = listed_links(source, document.withColumn("ord", F.lit(0))).filter(F.lower(url.without_query(F.col("document_url"))).rlike(r"\.(pdf|txt|zip|html?|jpe?g|png|mp4)\z"))
     role = role_of(F.col("document_url"), F.col("label"))
     found = assets.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col("document_url").alias("asset_url"), F.col("label"), mime_of(role).alias("mime_type"), role.alias("role")).alias("a")))), lambda x: x["a"]).alias("attachments"))
-    rows = page.select(F.lit(0).alias("ord"), F.lit(0).alias("pos"), F.col("page_url").alias("document_url"), title.alias("label"), F.left("s.text", F.lit(320)).alias("text_preview"), labelled_metadata(F.col("s.pairs"), aliases).alias("extra"), "s.text")
+    told = labelled_metadata(F.col("s.pairs"), aliases)
+    if source.name == "aaro":
+        told = F.map_concat(F.map_filter(told, lambda k, v: k != "originating_agency"), F.create_map(F.lit("originating_agency"), agency_of(F.concat_ws(" ", title, F.col("s.text")))))
+    rows = page.select(F.lit(0).alias("ord"), F.lit(0).alias("pos"), F.col("page_url").alias("document_url"), title.alias("label"), F.left("s.text", F.lit(320)).alias("text_preview"), told.alias("extra"), "s.text")
     record = records_of(source, rows.filter("label IS NOT NULL OR text <> ''"))
     attachments = found.first()["attachments"] if not found.isEmpty() else []
     own = F.from_json(F.lit(json.dumps([a.asDict() for a in attachments or []])), "array<struct<asset_url:string,label:string,mime_type:string,role:string>>")

@@ -20,10 +20,18 @@ RECORD = (
 MAX_LIMIT = 50
 
 
+ASSETS = "array<struct<asset_url:string,label:string,mime_type:string,role:string>>"
+
+
 @dataclass(frozen=True)
 class Source:
-    """Specification of a source. `allow` is a condition in SQL over `u` (URL in lower case), `p` (path in lower case)
-    and `same` (same scheme and host as the base)."""
+    """Specification of a source. Conditions are SQL over `raw` (URL), `u` (URL in lower case), `path` and `p` (path as
+    it is and in lower case), `l` or `t` (label or title in lower case) and `same` (same scheme and host as the base).
+
+    `allow` tells which addresses may be listed, `leads` which of them are records. `categories` and `groups` give the
+    first value whose condition holds; `collections` and `descriptions` go by the group. `columns` name the cells of the
+    source's tables, `file` tells which link of a row is the record's.
+    """
 
     name: str
     base: str
@@ -35,10 +43,15 @@ class Source:
     dedupe: str = "source_id"
     asset_order: str = "documents"
     lower_label: bool = True
-    navigation: tuple[str, ...] = ()
-    leads: tuple[str, ...] = ()
-    categories: tuple[tuple[str, str], ...] = ()  # category, condition in SQL over u and t (title in lower case)
-    cursor: str | None = None  # page or offset
+    navigation: tuple[str, ...] = ("",)
+    leads: str = "true"
+    categories: tuple[tuple[str, str], ...] = ()
+    category_key: str = "category"
+    groups: tuple[tuple[str, str], ...] = ()
+    collections: tuple[tuple[str, str], ...] = ()
+    columns: tuple[str, ...] = ()
+    file: str = "true"
+    cursor: str | None = None  # page, offset or mark
 
 
 def matches_query(query: str, fields: tuple[str, ...], metadata: bool = False) -> Column:
@@ -68,7 +81,7 @@ def mime_of(role: Column) -> Column:
 
 def allowed(source: Source, u: Column) -> tuple[dict[str, Column], str]:
     """Columns and the condition over them that tells whether the source may list the URL."""
-    wanted = {"u": F.lower(u), "p": F.lower(url.path(u)), "same": url.same_origin(u, F.lit(source.base))}
+    wanted = {"raw": u, "u": F.lower(u), "path": url.path(u), "p": F.lower(url.path(u)), "same": url.same_origin(u, F.lit(source.base))}
     return wanted, source.allow
 
 
@@ -80,18 +93,16 @@ def listed_links(source: Source, documents: DataFrame) -> DataFrame:
     links = text.once(links, absolute=url.absolutize(F.col("a.href"), F.col("page_url")), label=text.squeeze(F.col("a.label")))
     links = text.once(links, document_url=url.canonical(F.col("absolute")))
     parts, condition = allowed(source, F.col("document_url"))
-    kept = text.once(links, **parts).filter(condition)
+    kept = text.once(links, **parts, l=F.lower(F.trim(F.col("label")))).filter(condition)
     if source.navigation:
-        kept = kept.filter(~F.lower("label").isin(*source.navigation))
-    if source.leads:
-        kept = kept.filter(reduce(lambda a, b: a | b, [F.contains(F.concat_ws(" ", "u", F.lower("label")), F.lit(x)) for x in source.leads]))
-    return kept.select("ord", "pos", "document_url", "label")
+        kept = kept.filter(~F.col("l").isin(*source.navigation))
+    return kept.filter(source.leads).select("ord", "pos", "document_url", "label")
 
 
-def category(source: Source) -> Column:
-    """First category whose condition holds."""
+def first_that_holds(rules: tuple[tuple[str, str], ...]) -> Column:
+    """First value whose condition holds."""
     out = F.lit(None).cast("string")
-    for name, condition in reversed(source.categories):
+    for name, condition in reversed(rules):
         out = F.when(F.expr(condition), F.lit(name)).otherwise(out)
     return out
 
@@ -104,20 +115,54 @@ def records_of(source: Source, rows: DataFrame) -> DataFrame:
     sid = F.coalesce(opt("source_id"), url.source_id_of(F.col("document_url"), source.home))
     rows = text.once(rows, _sid=sid, _role=role_of(F.col("document_url"), F.col("label")), u=F.lower("document_url"))
     rows = text.once(rows, _title=text.first_non_empty(opt("title"), F.col("label"), text.title_from_id(F.col("_sid"))))
-    rows = rows.withColumn("t", F.lower("_title"))
-    key = {"source_id": "_sid", "document_url": "document_url"}[source.dedupe]
+    group = first_that_holds(source.groups) if source.groups else text.slug(F.lit(source.collection))
+    rows = text.once(rows.withColumns({"t": F.lower("_title"), "raw": F.col("document_url")}), _group=group, _category=first_that_holds(source.categories))
+    key = {"source_id": "_sid", "document_url": "document_url", "merge": "document_url"}[source.dedupe]
     others = [c for c in rows.columns if c != key]
-    first = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct("ord", "pos")).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    first = rows if source.dedupe == "merge" else rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct("ord", "pos")).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
     extra = F.col("extra") if "extra" in have else F.create_map().cast("map<string,string>")
-    base = F.map_filter(F.create_map(F.lit("source_id"), F.col("_sid"), F.lit("source_url"), F.col("document_url"), F.lit("title"), F.col("_title"), F.lit("category"), category(source)), lambda k, v: v.isNotNull())
-    asset = F.struct(F.col("document_url").alias("asset_url"), F.col("_title").alias("label"), mime_of(F.col("_role")).alias("mime_type"), F.col("_role").alias("role"))
-    return first.select(
+    collection = F.lit(source.collection)
+    for name, value in source.collections:
+        collection = F.when(F.col("_group") == name, F.lit(value)).otherwise(collection)
+    entries = [
+        ("source_id", F.col("_sid")), ("source_url", F.col("document_url")), ("title", F.col("_title")), (source.category_key, F.col("_category")),
+        ("source_warning", F.lit(f"Listed by {source.name}; check the record at its official address before citing it.")),
+        ("official_source", F.regexp_replace(F.lit(source.base), "^https://", "")),
+    ]
+    base = F.map_filter(F.create_map(*[x for k, v in entries for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    asset = F.array(F.struct(F.col("document_url").alias("asset_url"), F.col("_title").alias("label"), mime_of(F.col("_role")).alias("mime_type"), F.col("_role").alias("role")))
+    assets = F.coalesce(F.col("assets"), asset) if "assets" in have else asset
+    first_pdf = F.get(F.filter(assets, lambda a: a["role"] == "pdf"), F.lit(0))["asset_url"]
+    records = first.select(
         "ord", "pos", ident.public_id(F.lit(source.name), F.col("_sid")).alias("id"), ident.document_key(F.lit(source.name), F.col("_sid")).alias("document_key"), F.lit(source.name).alias("source"),
-        F.col("_sid").alias("source_id"), F.col("_title").alias("title"), opt("date").alias("date"), F.lit(source.collection).alias("collection"), text.slug(F.lit(source.collection)).alias("record_group"),
-        opt("description").alias("description"), F.lit(source.base).alias("origin_url"), "document_url", F.when(F.col("_role") == "pdf", F.col("document_url")).alias("pdf_url"),
-        F.map_concat(F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("source_id", "source_url", "title", "category")), base).alias("metadata"),
-        F.array(asset).alias("attachments"), text.preview(opt("text_preview"), 240).alias("text_preview"), F.lit(f"Cite as listed by {source.name}; verify pages in the original.").alias("citation_note"), F.lit("Public record; see the source for terms.").alias("terms_note"),
+        F.col("_sid").alias("source_id"), F.col("_title").alias("title"), opt("date").alias("date"), collection.alias("collection"), F.col("_group").alias("record_group"),
+        opt("description").alias("description"), F.lit(source.base).alias("origin_url"), "document_url", first_pdf.alias("pdf_url"),
+        F.map_concat(F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*[k for k, _ in entries])), base).alias("metadata"),
+        assets.alias("attachments"), text.preview(opt("text_preview"), 240).alias("text_preview"), F.lit(f"Cite as listed by {source.name}; verify pages in the original.").alias("citation_note"), F.lit("Public record; see the source for terms.").alias("terms_note"),
     )
+    if source.dedupe != "merge":
+        return records
+    merged = merge_duplicates(records.select(F.struct("ord", "pos").alias("at"), *[c for c in records.columns if c not in ("ord", "pos")]), "at")
+    return merged.select("at.ord", "at.pos", *[c for c in records.columns if c not in ("ord", "pos")])
+
+
+def merge_duplicates(records: DataFrame, order: str) -> DataFrame:
+    """One record per source_id, ordered by it: the first non-null PDF link and description, the union of metadata (the
+    first value of a key counts) and of attachments (the first of equal URLs). `order` is the column of the listing's
+    order. A source_id's records are pre-aggregated; keys and URLs are distinct before they are put together."""
+    o = F.col(order)
+    others = [c for c in records.columns if c not in ("source_id", "pdf_url", "description", "metadata", "attachments", order)]
+    base = records.groupBy("source_id").agg(
+        F.min_by(F.struct(*others), o).alias("_r"), F.min_by("pdf_url", F.when(F.col("pdf_url").isNotNull(), o)).alias("pdf_url"),
+        F.min_by("description", F.when(F.col("description").isNotNull(), o)).alias("description"), F.min(o).alias(order),
+    )
+    entries = records.select("source_id", o.alias("_o"), F.explode("metadata").alias("k", "v")).groupBy("source_id", "k").agg(F.min_by("v", "_o").alias("v"))
+    metadata = entries.groupBy("source_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+    assets = records.select("source_id", o.alias("_o"), F.posexplode("attachments").alias("_p", "a")).groupBy("source_id", F.col("a.asset_url").alias("_u")).agg(F.min_by("a", F.struct("_o", "_p")).alias("a"), F.min(F.struct("_o", "_p")).alias("at"))
+    listed = assets.groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("attachments"))
+    joined = base.join(metadata, "source_id", "left").join(listed, "source_id", "left")
+    out = joined.select("source_id", *[F.col(f"_r.{c}").alias(c) for c in others], "pdf_url", "description", "metadata", "attachments", order)
+    return out.select(*records.columns).orderBy("source_id")
 
 
 @dataclass
@@ -135,12 +180,29 @@ def clamp(limit: int) -> int:
     return min(limit, MAX_LIMIT)
 
 
-def search_listing(source: Source, rows: DataFrame, query: str, limit: int = 10) -> SearchPage:
-    """Records of a listing that match the query, in listing order, at most `limit`."""
+def search_listing(source: Source, rows: DataFrame, query: str, limit: int = 10, cursor: str | None = None) -> SearchPage:
+    """Records of a listing that match the query, in listing order, at most `limit`, from the cursor's place on.
+
+    A source that counts pages gives one page of its listing (`ord`) at a time, others continue behind the records
+    already given; without a cursor of its own a source gives all it has in one page.
+    """
     plain = tuple(f for f in source.fields if f != "metadata")
+    start, most = decode_cursor(source, cursor, 0), clamp(limit)
+    if source.cursor == "page":
+        pages = rows.select("ord").distinct().orderBy("ord").offset(start).limit(2).collect()
+        rows = rows.filter(F.col("ord") == pages[0]["ord"]) if pages else rows.limit(0)
     found = records_of(source, rows).filter(matches_query(query, plain, "metadata" in source.fields))
-    page = found.orderBy("ord", "pos").limit(clamp(limit)).drop("ord", "pos")
-    return SearchPage(page, None, ["no records match the query"] if page.isEmpty() else [])
+    ordered = found.orderBy("ord", "pos")
+    if source.cursor == "page":
+        page = ordered.limit(most).drop("ord", "pos")
+        following = encode_cursor(source, start + 1) if len(pages) > 1 else None
+        empty = page.isEmpty()
+    else:
+        page = ordered.offset(start).limit(most).drop("ord", "pos")
+        given = ordered.select("id").offset(start).limit(most + 1).count()  # at most 51
+        empty = given == 0
+        following = encode_cursor(source, start + most) if source.cursor and given > most else None
+    return SearchPage(page, following, ["no records match the query"] if empty else [])
 
 
 def encode_cursor(source: Source, number: int) -> str:
