@@ -108,13 +108,13 @@ class StoredIndex:
         terms.coalesce(1).write.parquet(f"{at}/files")
         return name, n, tokens or 0
 
-    def build(self, rows: DataFrame) -> None:
-        """The index has these rows and no others."""
+    def build(self, rows: DataFrame, more: dict | None = None) -> None:
+        """The index has these rows and no others. `more` is kept in the manifest."""
         old = self.manifest()
         name, n, tokens = self._write(rows)
-        self._publish({"number": old["number"], "segments": [{"name": name, "gone": False}], "n_rows": n, "n_tokens": tokens})
+        self._publish({"number": old["number"], "segments": [{"name": name, "gone": False}], "n_rows": n, "n_tokens": tokens} | (more or {}))
 
-    def replace(self, rows: DataFrame, owners: DataFrame) -> None:
+    def replace(self, rows: DataFrame, owners: DataFrame, more: dict | None = None) -> None:
         """`rows` take the place of all rows of the given documents (document_key); documents without new rows end up
         with none. Older segments aren't rewritten."""
         old = self.manifest()
@@ -125,7 +125,7 @@ class StoredIndex:
         self._publish({
             "number": old["number"], "segments": [*old["segments"], {"name": name, "gone": True}],
             "n_rows": old["n_rows"] - dead[0] + n, "n_tokens": old["n_tokens"] - (dead[1] or 0) + tokens,
-        })
+        } | (more or {}))
 
     def merge(self) -> None:
         """One segment of all rows that count. Old segments stay for readers that have them open; `sweep` removes them."""

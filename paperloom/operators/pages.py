@@ -34,8 +34,8 @@ def quality(pages: DataFrame, doc_col: str = "document_key", text_col: str = "te
     full = F.col("n_pages") - F.col("n_blank")
     out = counts.withColumn("mean_visible", F.when(full > 0, F.floor(F.col("n_visible") / full)))
     warnings = F.array(
-        F.when(F.col("n_blank") > 0, F.concat(F.col("n_blank").cast("string"), F.lit(" blank page(s)"))),
-        F.when(F.col("mean_visible") < LOW_DENSITY, F.lit("low text density")),
+        F.when(F.col("n_blank") > 0, F.format_string("embedded PDF text contains %d blank page(s) among %d parsed page(s); OCR fallback may improve coverage", "n_blank", "n_pages")),
+        F.when(F.col("mean_visible") < LOW_DENSITY, F.format_string("embedded PDF text has low density (%d visible chars/page); OCR fallback may improve quality", "mean_visible")),
     )
     return out.withColumn("warnings", F.array_compact(warnings))
 

@@ -12,19 +12,26 @@ from paperloom.operators import jobs as jobs_
 from paperloom.operators import pages as pages_
 from paperloom.operators import reconcile, search
 from paperloom.operators.search import InvalidRequest
-from paperloom.operators.store import SnapshotStore, upsert
+from paperloom.operators.store import Conflict, SnapshotStore, upsert
+from paperloom.plans.ingest import full_text
+from paperloom.plans.policy import DirectPolicy
 from paperloom.sources import adapters, base, registry
 
 MAX_PAGES = 50
-JOBS = "job_id long, job_key string, operation string, source string, source_id string, status string, stage string, progress double, attempts int, lease_owner string, lease_expires_at string, error string, warnings array<string>, created_at timestamp, updated_at timestamp"
+JOBS = "job_id long, job_key string, document_key string, operation string, source string, source_id string, target_url string, next_action string, status string, stage string, progress double, attempts int, lease_owner string, lease_expires_at string, error string, warnings array<string>, created_at timestamp, updated_at timestamp"
 OUTBOX = "job_key string, topic string, payload string, status string, created_at timestamp"
 
 
 class Library:
-    """Documents, pages, chunks and index of a store, its jobs, and listings of sources given as tables."""
+    """Documents, pages, chunks and index of a store, its jobs, and listings of sources given as tables.
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore, listings: dict[str, DataFrame] | None = None) -> None:
-        self.spark, self.store, self.listings = spark, store, listings or {}
+    `assets` has the texts of the sources' assets (asset_url, text), `trusted` the address prefixes that may be ingested
+    directly, as `source=https://host/path`.
+    """
+
+    def __init__(self, spark: SparkSession, store: SnapshotStore, listings: dict[str, DataFrame] | None = None, assets: DataFrame | None = None, trusted: tuple[str, ...] = ()) -> None:
+        self.spark, self.store, self.listings, self.assets = spark, store, listings or {}, assets
+        self.queue, self.policy = jobs_.JobQueue(store), DirectPolicy(trusted)
 
     # sources
 
@@ -61,19 +68,38 @@ class Library:
     # jobs
 
     def _enqueue(self, key: str, operation: str, source: str, source_id: str, force: bool) -> DataFrame:
-        known = self.store.read("jobs") if self.store.has("jobs") else self.spark.createDataFrame([], JOBS)
-        sent = self.store.read("outbox") if self.store.has("outbox") else self.spark.createDataFrame([], OUTBOX)
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        number = (known.agg(F.max("job_id")).first()[0] or 0) + 1
-        new = self.spark.createDataFrame([(number, key, operation, source, source_id, "queued", "queued", 0.0, 0, None, None, None, [], now, now)], JOBS)
-        if force:  # an ended job is queued again
-            again = known.filter((F.col("job_key") == key) & F.col("status").isin("succeeded", "failed", "cancelled")).withColumns({"status": F.lit("queued"), "stage": F.lit("queued"), "progress": F.lit(0.0), "error": F.lit(None).cast("string")})
-            known = upsert(known, again, ["job_key"])
-        fresh, message = jobs_.enqueue(known, new)
-        self.store.commit({"jobs": known.unionByName(fresh.select(*known.columns)), "outbox": sent.unionByName(message.select(*sent.columns))})
+        for _ in range(self.queue.TRIES):
+            version = self.store.version()
+            manifest = self.store.manifest(version)
+            known = self.store.read("jobs", version) if "jobs" in manifest else self.spark.createDataFrame([], JOBS)
+            now = datetime.now(timezone.utc).replace(tzinfo=None)
+            number = (known.agg(F.max("job_id")).first()[0] or 0) + 1
+            row = {"job_id": number, "job_key": key, "operation": operation, "source": source, "source_id": source_id, "status": "queued", "stage": "queued", "progress": 0.0, "attempts": 0, "warnings": [], "created_at": now, "updated_at": now}
+            own = known.filter(F.col("job_key") == key)
+            fresh, message = jobs_.enqueue(own, self.spark.createDataFrame([row], JOBS))
+            if force:  # an ended job is queued again
+                again = own.filter(F.col("status").isin("succeeded", "failed", "cancelled")).withColumns({"status": F.lit("queued"), "stage": F.lit("queued"), "progress": F.lit(0.0), "error": F.lit(None).cast("string")})
+                fresh = fresh.select(*known.columns).unionByName(again)
+            new = self.spark.createDataFrame(fresh.select(*known.columns).collect(), known.schema)
+            if new.isEmpty():
+                break
+            sent = self.spark.createDataFrame(message.select("job_key", "topic", "payload", "status", "created_at").collect(), OUTBOX)
+            keys = new.select("job_key")
+            changes = {"jobs": (new, keys)} | ({} if sent.isEmpty() else {"outbox": (sent, keys)})
+            try:
+                self.store.commit_keys(changes, "job_key", version)
+                break
+            except Conflict:
+                continue
         return self.store.read("jobs").filter(F.col("job_key") == key)
 
     def ingest_document(self, locator: str, force: bool = False) -> DataFrame:
+        """Queues a document by `source:id`, or by `source:https://...` below a trusted prefix of the source."""
+        source, _, address = locator.strip().partition(":")
+        if address.lower().startswith(("http:", "https:")) and source in registry.BY_NAME:
+            if not self.policy.allows(source, address):
+                raise InvalidRequest(f"{source} has no trusted prefix for {address!r}")
+            return self._enqueue(f"ingest:{locator.strip()}", "ingest", source, address, force)
         parts = self.spark.range(1).select(locator_parts(F.lit(locator)).alias("p")).first()["p"]
         if not parts["ok"]:
             raise InvalidRequest(f"not a document locator: {locator!r}")
@@ -95,22 +121,26 @@ class Library:
     def search_local_documents(self, query: str, source: str | None = None, limit: int = 10) -> tuple[DataFrame, list[str]]:
         if source is not None:
             registry.source_named(source)
-        hits = search.with_snippets(search.search(search.build_index(self.store.read("index")), query, source, limit), query).drop("body")
+        index = full_text(self.store)
+        ranked = index.search(query, source, limit) if index.current(self.store) else search.search(search.build_index(self.store.read("index")), query, source, limit)
+        rows = search.with_snippets(ranked, query).drop("body").collect()  # at most 100
+        hits = self.spark.createDataFrame(rows, search.with_snippets(ranked, query).drop("body").schema)
         documents = self.store.read("documents")
         notes = [c for c in ("metadata_json", "citation_note", "terms_note") if c in documents.columns]
-        joined = F.broadcast(hits).join(documents.select("document_key", *notes), "document_key", "left").orderBy("score", "document_key", "chunk_id")
+        own = documents.select("document_key", *notes).filter(F.col("document_key").isin([r["document_key"] for r in rows]) if rows else F.lit(False))
+        joined = hits.join(F.broadcast(own), "document_key", "left").orderBy("score", "document_key", "chunk_id")  # at most 100 documents
         if "metadata_json" in notes:
             joined = joined.withColumn("source_warning", search.source_warning(F.col("metadata_json")))
-        return joined, search.next_actions(hits.count(), source)
+        return joined, search.next_actions(len(rows), source)
 
     def get_document(self, document_id: str) -> DataFrame:
         """The document by public id or key, with its number of pages."""
         found = self.store.read("documents").filter((F.col("public_id") == document_id) | (F.col("document_key") == document_id))
-        counts = self.store.read("pages").groupBy("document_key").agg(F.count("*").alias("n_pages"))
-        found = found.join(counts, "document_key", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
-        if found.isEmpty():
+        keys = [k for (k,) in found.select("document_key").collect()]  # ids are unique, so at most two
+        if not keys:
             raise InvalidRequest(f"no document {document_id!r}")
-        return found
+        n = self.store.read("pages").filter(F.col("document_key").isin(*keys)).groupBy("document_key").agg(F.count("*").alias("n_pages"))
+        return found.join(F.broadcast(n), "document_key", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
 
     def get_document_text(self, document_id: str, page_start: int, page_end: int) -> DataFrame:
         if page_start < 1 or page_end < page_start or page_end - page_start >= MAX_PAGES:
@@ -136,6 +166,7 @@ class Library:
         plan = {r["action"]: r["n"] for r in self.plan_index_repairs().groupBy("action").agg(F.count("*").alias("n")).collect()}
         repaired = reconcile.repaired_index(canonical, index, confirmation).select(*self.store.read("index").columns)
         self.store.commit({"index": repaired})
+        full_text(self.store).build(self.store.read("index"), {"tag": full_text(self.store).tag(self.store)})
         return {"rewritten": plan.get("rewrite_from_canonical", 0), "for_review": plan.get("manual_review", 0)}
 
     def _artifact_sides(self, document_id: str) -> tuple[str, DataFrame, DataFrame]:

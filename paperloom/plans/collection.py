@@ -434,7 +434,7 @@ SQL = {
     "postings": f"WITH ix AS ({_INDEX_SQL}), t AS (SELECT 'title' AS col, unnest(tt) AS term, generate_subscripts(tt, 1) - 1 AS pos FROM ix UNION ALL SELECT 'body', unnest(bt), generate_subscripts(bt, 1) - 1 FROM ix) SELECT term, col, count(*) AS n_postings, min(pos) AS first_pos, max(pos) AS last_pos FROM t GROUP BY 1, 2",
     "stored_hits_shape": "SELECT query, count(*) AS n_hits, count(*) FILTER (page_start > 0 AND page_end >= page_start) AS n_ranged, count(*) FILTER (contains(snippet, '[')) AS n_marked, count(DISTINCT document_key) AS n_documents FROM search_hits GROUP BY 1",
     "page_split": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS page_number FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, page_number, {sql_trim('x')} AS text FROM l), b AS (SELECT doc_id, min(page_number) AS a, max(page_number) AS z FROM t WHERE text <> '' GROUP BY 1) SELECT doc_id, page_number, text FROM t JOIN b USING (doc_id) WHERE page_number BETWEEN a AND z",
-    "quality_warnings": rf"WITH p AS ({_PAGES_SQL}), v AS (SELECT document_key, length(regexp_replace(coalesce(text, ''), '[{WS}]', '', 'g')) AS v FROM p), g AS (SELECT document_key, count(*) AS n_pages, count(*) FILTER (v = 0) AS n_blank, sum(v) AS n_visible FROM v GROUP BY 1), m AS (SELECT *, CASE WHEN n_pages > n_blank THEN CAST(floor(n_visible / (n_pages - n_blank)) AS BIGINT) END AS mean_visible FROM g) SELECT document_key, n_pages, n_blank, CAST(n_visible AS BIGINT) AS n_visible, mean_visible, array_to_string(list_filter([CASE WHEN n_blank > 0 THEN n_blank || ' blank page(s)' END, CASE WHEN mean_visible < 40 THEN 'low text density' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM m",
+    "quality_warnings": rf"WITH p AS ({_PAGES_SQL}), v AS (SELECT document_key, length(regexp_replace(coalesce(text, ''), '[{WS}]', '', 'g')) AS v FROM p), g AS (SELECT document_key, count(*) AS n_pages, count(*) FILTER (v = 0) AS n_blank, sum(v) AS n_visible FROM v GROUP BY 1), m AS (SELECT *, CASE WHEN n_pages > n_blank THEN CAST(floor(n_visible / (n_pages - n_blank)) AS BIGINT) END AS mean_visible FROM g) SELECT document_key, n_pages, n_blank, CAST(n_visible AS BIGINT) AS n_visible, mean_visible, array_to_string(list_filter([CASE WHEN n_blank > 0 THEN 'embedded PDF text contains ' || n_blank || ' blank page(s) among ' || n_pages || ' parsed page(s); OCR fallback may improve coverage' END, CASE WHEN mean_visible < 40 THEN 'embedded PDF text has low density (' || mean_visible || ' visible chars/page); OCR fallback may improve quality' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM m",
     "document_page_count": f"SELECT public_id, d.document_key, count(p.page_row_id) AS n_pages FROM stored_documents d LEFT JOIN ({_PAGES_SQL}) p USING (document_key) GROUP BY 1, 2",
     "page_range_text": f"SELECT document_key, string_agg('[page ' || page_number || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY page_number) AS text, string_agg(document_key || '#page=' || page_number, ' ' ORDER BY page_number) AS citations, count(*) AS n_pages FROM ({_PAGES_SQL}) WHERE page_number BETWEEN 2 AND 4 GROUP BY 1",
     "chunk_greedy_800": _chunk_sql(800, False), "chunk_greedy_40": _chunk_sql(40, False), "chunk_texts_800": _chunk_sql(800, True),

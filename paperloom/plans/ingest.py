@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.ident import public_id
 from paperloom.functions.url import without_query
 from paperloom.operators.chunking import TARGET, build_chunks
+from paperloom.operators.fts_index import StoredIndex
 from paperloom.operators.pages import split_pages
-from paperloom.operators.store import SnapshotStore, replace_children, upsert
+from paperloom.operators.store import SnapshotStore
 
+#: Segments of the full-text index after which it is built anew.
+MAX_SEGMENTS = 20
 #: Kinds of ingestible asset in order of preference; the record's own PDF link comes second.
 KINDS = ("pdf", "record_pdf", "ocr_text", "transcript", "plain_text", "html")
 
@@ -96,12 +101,33 @@ def ingest_texts(store: SnapshotStore, documents: DataFrame, texts: DataFrame, t
     chunks = build_chunks(pages, target).join(documents.select("document_key", "source", "title"), "document_key")
     index = chunks.select("document_key", "chunk_id", "source", "title", F.col("text").alias("body"), "page_start", "page_end")
     new = {"documents": documents, "pages": pages, "chunks": chunks, "index": index}
-    out = {}
-    for name, df in new.items():
-        if not store.has(name):
-            out[name] = df
-        elif name == "documents":
-            out[name] = upsert(store.read(name), df, ["document_key"])
+    owners = documents.select("document_key")
+    store.commit_keys({name: (df, owners) for name, df in new.items()}, "document_key")
+    full_text(store).follow(store, index, owners)
+
+
+class StoreIndex(StoredIndex):
+    """The stored full-text index of a store's table `index`, which may lag behind it: its manifest names the version of
+    the table that it has."""
+
+    def tag(self, store: SnapshotStore) -> str:
+        return json.dumps(store.manifest().get("index", {}).get("folders"), sort_keys=True)
+
+    def current(self, store: SnapshotStore) -> bool:
+        return self.manifest().get("tag") == self.tag(store)
+
+    def follow(self, store: SnapshotStore, rows: DataFrame, owners: DataFrame) -> None:
+        """After a commit: the documents' rows are replaced if the index had all else, or it is built anew from the
+        table."""
+        manifest, tag = self.manifest(), self.tag(store)
+        if manifest["segments"] and manifest.get("tag") == self.tag_before(store) and len(manifest["segments"]) < MAX_SEGMENTS:
+            self.replace(rows, owners, {"tag": tag})
         else:
-            out[name] = replace_children(store.read(name), df, documents)
-    store.commit(out)
+            self.build(store.read("index"), {"tag": tag})
+
+    def tag_before(self, store: SnapshotStore) -> str:
+        return json.dumps(store.manifest(store.version() - 1).get("index", {}).get("folders"), sort_keys=True)
+
+
+def full_text(store: SnapshotStore) -> StoreIndex:
+    return StoreIndex(store.spark, f"{store.root}/full-text")

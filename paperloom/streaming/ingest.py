@@ -10,6 +10,8 @@ from paperloom.operators.chunking import TARGET
 from paperloom.operators.jobs import fold_jobs
 from paperloom.operators.store import SnapshotStore
 from paperloom.plans.ingest import ingest_texts
+from paperloom.plans.worker import Worker
+from paperloom.session import shared
 
 TEXTS = "document_key string, public_id string, source string, source_id string, title string, text string, loaded_at timestamp"
 EVENTS = "job string, at timestamp, event_id long, status string, reported double, warning string, error string"
@@ -32,13 +34,19 @@ def stream_texts(spark: SparkSession, folder: str, store: SnapshotStore, checkpo
 
 
 def stream_jobs(spark: SparkSession, folder: str, store: SnapshotStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keeps the tables job_events (append-only, each event once) and jobs (current states) from files of events."""
+    """Keeps the tables job_events (each event once) and jobs (current states) from files of events. A batch reads and
+    writes the buckets of its jobs only."""
 
     def batch(df: DataFrame, _: int) -> None:
-        known = store.read("job_events") if store.has("job_events") else None
-        fresh = df.dropDuplicates(["event_id"])
-        events = fresh if known is None else known.unionByName(fresh.join(known.select("event_id"), "event_id", "left_anti").select(*known.columns))
-        store.commit({"job_events": events, "jobs": fold_jobs(events)})
+        keys = df.select("job").filter("job IS NOT NULL").distinct()
+        if keys.isEmpty():
+            return
+        fresh = df.filter("job IS NOT NULL").dropDuplicates(["event_id"])
+        if store.has("job_events"):
+            known = store.read("job_events").join(keys, "job", "left_semi")
+            fresh = known.unionByName(fresh.join(known.select("event_id"), "event_id", "left_anti").select(*known.columns))
+        events = shared(fresh)
+        store.commit_keys({"job_events": (events, keys), "jobs": (fold_jobs(events), keys)}, "job")
 
     writer = spark.readStream.schema(EVENTS).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -48,3 +56,13 @@ def arrivals(events: DataFrame, watermark: str = "30 days", window: str = "1 day
     """Events per window of their own time and kind, rows later than the watermark dropped; for batch and stream alike."""
     kept = events.withWatermark("at", watermark)
     return kept.groupBy(F.window("at", window).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+
+
+def stream_worker(spark: SparkSession, worker: Worker, checkpoint: str, every: str = "2 seconds", n: int = 20) -> StreamingQuery:
+    """Polls the queue and runs what can be claimed until the query is stopped."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        worker.run_until_idle(n)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

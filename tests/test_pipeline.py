@@ -78,7 +78,7 @@ def test_quality_and_choice(spark):
     rows = [("a", 1, "x" * 50), ("a", 2, " "), ("b", 1, "short"), ("c", 1, "y" * 80)]
     e = spark.createDataFrame(rows, "document_key string, page_number int, text string")
     q = {r["document_key"]: r for r in pages.quality(e).collect()}
-    assert q["a"]["warnings"] == ["1 blank page(s)"] and q["b"]["warnings"] == ["low text density"] and q["c"]["warnings"] == [] and q["a"]["mean_visible"] == 50
+    assert q["a"]["warnings"] == ["embedded PDF text contains 1 blank page(s) among 2 parsed page(s); OCR fallback may improve coverage"] and q["b"]["warnings"] == ["embedded PDF text has low density (5 visible chars/page); OCR fallback may improve quality"] and q["c"]["warnings"] == [] and q["a"]["mean_visible"] == 50
     o = spark.createDataFrame([("a", 1, "O1"), ("a", 2, "O2"), ("b", 1, "O"), ("b", 2, "extra"), ("c", 1, "O"), ("d", 1, "O")], e.schema)
     got = sorted((r["document_key"], r["page_number"], r["text_source"]) for r in pages.choose_text(e, o).collect())
     assert got == [("a", 1, "local_ocr"), ("a", 2, "local_ocr"), ("b", 1, "embedded_pdf_text"), ("c", 1, "embedded_pdf_text"), ("d", 1, "local_ocr")]
