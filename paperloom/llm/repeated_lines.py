@@ -64,7 +64,21 @@ def page_forms(text: str) -> list[tuple[int, str]]:
 
 def eligible_lines(text: str) -> list[tuple[int, str]]:
     """Number (from 1) and form of the lines with at least four runs of letters."""
-    return [(n, form) for n, form in page_forms(text) if _FOUR_RUNS.search(form)]
+    low = _numbers_as_signs(text)
+    if _SEPARATORS.search(low):
+        return [(n, form) for n, form in page_forms(text) if _FOUR_RUNS.search(form)]
+    out = []
+    for n, x in enumerate(low.split("\n"), 1):
+        if len(x) > 6:
+            words = x.split()
+            # Four words of letters alone have four runs; anything else is looked at in whole.
+            if len(words) > 3 and words[0].isalpha() and words[1].isalpha() and words[2].isalpha() and words[3].isalpha():
+                out.append((n, " ".join(words)))
+                continue
+            form = " ".join(words)
+            if _FOUR_RUNS.search(form):
+                out.append((n, form))
+    return out
 
 
 def line_hash(form: str) -> int:

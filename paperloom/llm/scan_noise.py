@@ -142,6 +142,9 @@ class SiteLines:
     def __init__(self, forms: set[str]) -> None:
         self.forms = forms
         self.firsts = {f.split(" ", 1)[0] for f in forms}
+        heads = {f[:1] for f in forms}
+        #: First characters of lines that can't be the site's: letters that none of them begins with.
+        self.others = frozenset(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.lower() not in heads)
 
 
 class Page:
@@ -153,7 +156,10 @@ class Page:
         self.lines = self.text.split("\n")
         self.kind = ["text" if x and not x.isspace() else "blank" for x in self.lines]
         if site:
+            others = site.others
             for n, line in enumerate(self.lines if self.text is text else text.split("\n")):
+                if line[:1] in others:
+                    continue
                 first = line.split(None, 1)[:1]
                 if first and (first[0].lower() in site.firsts or not first[0].isalpha()) and line_form(line) in site.forms:
                     self.kind[n] = "site"
