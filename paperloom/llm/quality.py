@@ -21,9 +21,10 @@ from paperloom.session import shared
 WORDS = r"[\p{L}\p{N}]+"
 #: Statistics that the mixture is fitted to, all in the order of the fit.
 FEATURES = ("common_share", "mean_word_length", "symbol_share", "punctuated_share", "digit_share", "distinct_share", "long_line_share", "sentence_share", "word_share")
-#: Labelled documents that name the components and documents that start the fit, at most.
+#: Labelled documents that name the components, at most (by a hash of their id).
 MAX_LABELS = 20_000
-MAX_SEEDS = 2_000
+#: Passes that look for centres to start from, and centres that each adds.
+SEED_ROUNDS, ROUND_SEEDS = 4, 40
 #: Common words, a short list by their nature; a longer one is refused.
 MAX_COMMON_WORDS = 50_000
 
@@ -122,32 +123,91 @@ def _sums(model: Mixture):
     return run
 
 
+def _distances(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((z[:, None, :] - centres[None]) ** 2).sum(axis=2)
+
+
+def _far_rows(center: np.ndarray, scale: np.ndarray, centres: np.ndarray, n: int):
+    """The task's n rows with the largest keys, where a row's key is a random number (from its hash) to the power of one
+    over its squared distance from the nearest centre: a sample without replacement in proportion to that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = np.empty(0), np.empty((0, len(FEATURES)))
+        for batch in batches:
+            x = _matrix(batch)
+            for i in range(0, len(x), 5000):
+                z = (x[i:i + 5000] - center) / scale
+                far = _distances(z, centres).min(axis=1)
+                u = ((batch.column(0).to_numpy()[i:i + 5000].view(np.uint64) >> np.uint64(11)).astype(float) + 1) / 2.0**53
+                key = np.where(far > 1e-9, np.log(u) / np.maximum(far, 1e-9), -np.inf)
+                keys, rows = np.concatenate([keys, key]), np.concatenate([rows, z])
+                top = np.argsort(-keys, kind="stable")[:n]
+                keys, rows = keys[top], rows[top]
+        good = np.isfinite(keys)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[good], pa.float64()), "z": pa.array(rows[good].tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _counts(center: np.ndarray, scale: np.ndarray, centres: np.ndarray):
+    """Rows nearest to each centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres))
+        for batch in batches:
+            x = _matrix(batch)
+            for i in range(0, len(x), 5000):
+                total += np.bincount(_distances((x[i:i + 5000] - center) / scale, centres).argmin(axis=1), minlength=len(centres))
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "v": pa.array(total, pa.float64())})
+
+    return run
+
+
+def starting_centres(stats: DataFrame, center: np.ndarray, scale: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and the shares of the rows that are nearest to them.
+
+    All rows are looked at: every round samples rows in proportion to their squared distance from the centres so far,
+    so a kind that is far from all others gets a centre however rare it is; then the candidates, weighted by the rows
+    nearest to each, are reduced to `components` that are far from each other and moved to their means.
+    """
+    hashed = stats.select(F.xxhash64("doc_id", *FEATURES).alias("h"), *FEATURES)
+    centres = np.zeros((1, len(FEATURES)))
+    for _ in range(SEED_ROUNDS):
+        found = hashed.mapInArrow(_far_rows(center, scale, centres, ROUND_SEEDS), "key double, z array<double>").orderBy(F.desc("key"), "z").limit(ROUND_SEEDS).select("z").collect()
+        if not found:
+            break
+        centres = np.concatenate([centres, np.array([r["z"] for r in found])])
+    weights = np.zeros(len(centres))
+    for i, v in hashed.mapInArrow(_counts(center, scale, centres), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        weights[i] = v
+    centres, weights = centres[weights > 0], weights[weights > 0]
+    chosen = [int(np.argmin((centres**2).sum(axis=1)))]
+    near = _distances(centres, centres[chosen]).min(axis=1)
+    while len(chosen) < min(components, len(centres)) and near.max() > 1e-9:
+        chosen.append(int(np.argmax(near)))
+        near = np.minimum(near, _distances(centres, centres[chosen[-1:]])[:, 0])
+    means = centres[chosen]
+    for _ in range(5):  # far centres may be outliers
+        own = _distances(centres, means).argmin(axis=1)
+        means = np.array([np.average(centres[own == c], axis=0, weights=weights[own == c]) if (own == c).any() else means[c] for c in range(len(means))])
+    own = _distances(centres, means).argmin(axis=1)
+    return means, np.bincount(own, weights=weights, minlength=len(means)) / weights.sum()
+
+
 def fit_mixture(stats: DataFrame, components: int = 10, iterations: int = 25, tolerance: float = 1e-3, floor: float = 0.02) -> Mixture | None:
     """Expectation-maximisation over all rows of `stats`; null if there are none.
 
-    Starts from centres far from each other among at most MAX_SEEDS rows in the order of a hash of their id. Stops
-    when the mean log-likelihood gains less than `tolerance`. `floor` is the least variance of a standardised
-    statistic.
+    Starts from `starting_centres`. Stops when the mean log-likelihood gains less than `tolerance`. `floor` is the least
+    variance of a standardised statistic.
     """
     first = stats.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES], F.count("*").alias("n")).first()
     if not first["n"]:
         return None
     center = np.array([first[f"m_{f}"] for f in FEATURES])
     scale = np.array([max(first[f"s_{f}"], 1e-6) for f in FEATURES])
-    seeds = stats.select(F.xxhash64("doc_id").alias("h"), *FEATURES).orderBy("h", *FEATURES).limit(MAX_SEEDS).toPandas()
-    z = (seeds[list(FEATURES)].to_numpy(float) - center) / scale
-    chosen = [int(np.argmin((z**2).sum(axis=1)))]
-    near = ((z - z[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < min(components, len(z)) and near.max() > 1e-9:
-        chosen.append(int(np.argmax(near)))
-        near = np.minimum(near, ((z - z[chosen[-1]]) ** 2).sum(axis=1))
-    k, d = len(chosen), len(FEATURES)
-    # Far seeds may be outliers: a few rounds of means over the seeds give the start.
-    means = z[chosen]
-    for _ in range(5):
-        own = ((z[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
-        means = np.array([z[own == c].mean(axis=0) if (own == c).any() else means[c] for c in range(k)])
-    model = Mixture(center, scale, np.bincount(own, minlength=k) / len(z) + 1e-3, means, np.full((k, d), 0.5))
+    means, shares = starting_centres(stats, center, scale, components)
+    k, d = means.shape
+    model = Mixture(center, scale, shares + 1e-3, means, np.full((k, d), 0.5))
     before = -np.inf
     for _ in range(iterations):
         rows = stats.select(*FEATURES).mapInArrow(_sums(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -169,7 +229,7 @@ def name_components(model: Mixture, stats: DataFrame, labels: DataFrame) -> Mixt
     proportion to the label's number of documents; without any weight, the label of the nearest named component. At
     most MAX_LABELS labelled documents are used."""
     known = stats.join(labels.select(F.col("doc_id").cast("long"), "label").filter("label IS NOT NULL"), "doc_id").select("label", *FEATURES)
-    sample = known.limit(MAX_LABELS).toPandas()
+    sample = known.orderBy(F.xxhash64("label", *FEATURES), "label").limit(MAX_LABELS).toPandas()
     if sample.empty:
         return Mixture(model.center, model.scale, model.weights, model.means, model.variances, tuple(["prose"] * len(model.weights)))
     p = model.posterior(sample[list(FEATURES)].to_numpy(float))
