@@ -1,19 +1,21 @@
 """References to records that do not exist at the time of the reference.
 
-A blocked Bloom filter of the parents' keys (one 64-bit word per key) is aggregated in Spark and broadcast as a table
-of words whose number is bounded by a parameter; a reference whose bits aren't all set is an orphan for certain. Only
-the others go through the exact join with the parents' lifetimes, so most proven orphans are never shuffled.
+A blocked Bloom filter of the parents' keys (four keys to a 64-bit word) is aggregated in Spark, as large as the keys
+need. A reference whose bits aren't all set is an orphan for certain. Up to a number of words the filter is broadcast, so
+that most proven orphans are never shuffled; a larger one is joined by word. Only the references that pass go through the
+exact join with the parents' lifetimes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of 64 bits in a filter, at most: 2^20 words are 16 MB as broadcast rows. Beyond a quarter as many keys the
-#: filter lets more references through to the exact join; results don't change.
+#: Words of 64 bits in a filter that is broadcast, at most: 2^20 words are 16 MB as broadcast rows. A filter has a word
+#: for four keys, whatever their number.
 MAX_WORDS = 1 << 20
 
 
@@ -37,6 +39,23 @@ class Parent:
     created_col: str
     deleted_col: str | None = None
 
+    @cached_property
+    def lives(self) -> DataFrame:
+        """One row per key (_k0, ...) and end of life (_gone) with its earliest beginning (_born)."""
+        keys = [f"_k{i}" for i in range(len(self.key_cols))]
+        deleted = F.col(self.deleted_col) if self.deleted_col else F.lit(None)
+        rows = self.rows.select(*[F.col(c).alias(k) for c, k in zip(self.key_cols, keys)], F.col(self.created_col).cast("timestamp").alias("_born"), deleted.cast("timestamp").alias("_gone"))
+        return rows.na.drop(subset=[*keys, "_born"]).groupBy(*keys, "_gone").agg(F.min("_born").alias("_born"))
+
+    @cached_property
+    def words(self) -> int:
+        """Words of the filter: a power of two with a word for four keys. Counted once for all its references."""
+        n = self.lives.select(F.approx_count_distinct(F.xxhash64(*[f"_k{i}" for i in range(len(self.key_cols))]))).first()[0]
+        words = 64
+        while words < n // 4 + 1:
+            words *= 2
+        return words
+
 
 def _bits(hash_: str) -> Column:
     bit = lambda i: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({hash_}, {6 * i}) & 63 AS INT))")
@@ -70,19 +89,10 @@ def find_orphans(ref: Reference, parent: Parent, max_words: int = MAX_WORDS) ->
     hot key among the references stays on the streamed side, which adaptive execution splits.
     """
     keys = [f"_k{i}" for i in range(len(ref.key_cols))]
-    deleted = F.col(parent.deleted_col) if parent.deleted_col else F.lit(None)
-    lives = (
-        parent.rows.select(*[F.col(c).alias(k) for c, k in zip(parent.key_cols, keys)], F.col(parent.created_col).cast("timestamp").alias("_born"), deleted.cast("timestamp").alias("_gone"))
-        .na.drop(subset=[*keys, "_born"])
-        .groupBy(*keys, "_gone").agg(F.min("_born").alias("_born"))
-    )
-    distinct_keys = lives.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
-    words = 64
-    while words < min(max_words, distinct_keys // 4 + 1):
-        words *= 2
+    lives, words = parent.lives, parent.words
     bloom = bloom_words(lives, keys, words)
     refs = ref.rows.select(F.lit(ref.tbl).alias("tbl"), F.col(ref.id_col).alias("row_id"), *[F.col(c).alias(k) for c, k in zip(ref.key_cols, keys)], F.col(ref.at_col).cast("timestamp").alias("at")).na.drop(subset=keys)
-    probed = _with_filter_columns(refs, keys, words).join(F.broadcast(bloom), "_word", "left")
+    probed = _with_filter_columns(refs, keys, words).join(F.broadcast(bloom) if words <= max_words else bloom, "_word", "left")
     passes = F.coalesce(F.col("_set").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
     probed = probed.withColumn("_passes", passes)
     unknown = probed.filter(~F.col("_passes")).select("tbl", "row_id", "at", F.lit("unknown_key").alias("reason"))

@@ -5,6 +5,10 @@ Reports and plans are plain joins and never write. Repairs of the index give the
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,21 +87,44 @@ def repaired_index(canonical: DataFrame, index: DataFrame, confirmation: str) ->
 # --- text artefacts ---------------------------------------------------------------------------------------------
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams pages (document, page, text, ocr) in order; only the open document's digest is kept."""
+    document, digest = None, None
+    for batch in batches:
+        rows: list[tuple] = []
+        for d, n, text, ocr in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if d != document:
+                if digest is not None:
+                    rows.append((document, ARTIFACTS[0], None, digest.hexdigest()))
+                document, digest, mark = d, hashlib.sha256(), ""
+            else:
+                mark = "\n\n"
+            body = (text or "").encode("utf-8", "surrogatepass")
+            digest.update(f"{mark}[page {n}]\n".encode())
+            digest.update(body)
+            own = hashlib.sha256(body).hexdigest()
+            rows.append((d, ARTIFACTS[1], n, own))
+            if ocr:
+                rows.append((d, ARTIFACTS[2], n, own))
+        yield _artifact_batch(rows)
+    if digest is not None:
+        yield _artifact_batch([(document, ARTIFACTS[0], None, digest.hexdigest())])
+
+
+def _artifact_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["document_key", "kind", "page", "sha256"])
+
+
 def expected_artifacts(pages: DataFrame) -> DataFrame:
     """document_key, kind, page (null for whole documents), sha256 of the text that should be on disk.
 
-    A document with any page has its whole text, every page its own, pages recognised locally one more.
+    A document with any page has its whole text, every page its own, pages recognised locally one more. Pages are sorted
+    by Spark and streamed, so a document of any length takes no more memory than a page.
     """
-    page = F.struct(F.col("page_number").cast("int").alias("n"), F.coalesce("text", F.lit("")).alias("t"), F.col("text_source").eqNullSafe("local_ocr").alias("ocr"))
-    documents = pages.groupBy("document_key").agg(F.sort_array(F.collect_list(page)).alias("p"))
-    artifact = lambda kind, n, t: F.struct(F.lit(kind).alias("kind"), n.alias("page"), F.sha2(t, 256).alias("sha256"))
-    rendered = F.array_join(F.transform("p", lambda x: F.concat(F.lit("[page "), x["n"].cast("string"), F.lit("]\n"), x["t"])), "\n\n")
-    # All kinds at once: the texts are brought together only once.
-    return documents.select("document_key", F.inline(F.concat(
-        F.array(artifact("document_text", F.lit(None).cast("int"), rendered)),
-        F.transform("p", lambda x: artifact("page_text", x["n"], x["t"])),
-        F.transform(F.filter("p", lambda x: x["ocr"]), lambda x: artifact("ocr_page_text", x["n"], x["t"])),
-    )))
+    rows = pages.filter("document_key IS NOT NULL").select("document_key", F.col("page_number").cast("int").alias("n"), "text", F.col("text_source").eqNullSafe("local_ocr").alias("ocr"))
+    ordered = rows.repartition("document_key").sortWithinPartitions("document_key", "n", F.coalesce("text", F.lit("")), "ocr")
+    return ordered.mapInArrow(_digests, "document_key string, kind string, page int, sha256 string")
 
 
 def artifact_drift(expected: DataFrame, files: DataFrame) -> DataFrame:
@@ -126,6 +153,32 @@ def artifact_repair_plan(issues: DataFrame) -> DataFrame:
     return issues.groupBy("document_key", "kind", "page", action.alias("action")).agg(F.count("*").alias("n_issues"))
 
 
+# What to do after a report, a plan and a repair of the index.
+def report_actions(issues: DataFrame) -> list[str]:
+    if issues.isEmpty():
+        return ["No SQLite FTS index drift detected."]
+    if not issues.filter("kind = 'orphaned'").isEmpty():
+        return ["Plan the drift before applying; orphaned chunk_fts rows are manual-review only."]
+    return ["Plan the drift before applying."]
+
+
+def plan_actions(plan: DataFrame) -> list[str]:
+    if plan.isEmpty():
+        return ["No repair actions were required."]
+    if not plan.filter("action = 'manual_review'").isEmpty():
+        return [f"Review manual-review items first; apply skips them. To rewrite safe items, confirm: {INDEX_CONFIRMATION}"]
+    return [f"Apply only if the scope is correct, with confirmation: {INDEX_CONFIRMATION}"]
+
+
+def apply_actions(n_issues: int, rewritten: int, skipped: int, for_review: int) -> list[str]:
+    out = ["Manual-review chunk_fts rows remain; inspect the report and resolve them separately."] if for_review else []
+    if not n_issues:
+        return [*out, "No SQLite FTS index drift was present."]
+    if skipped and not rewritten:
+        return [*out, "All applicable repair targets were already current."]
+    return [*out, "Re-run report or plan if the canonical SQLite chunks have changed."]
+
+
 def check_artifact_confirmation(document_id: str, confirmation: str) -> None:
     if confirmation != f"apply derived artifact repairs for {document_id}":
         raise InvalidRequest(f"the confirmation must be 'apply derived artifact repairs for {document_id}'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from paperloom.operators import chunking, evals, jobs, pages, reconcile, search,
 from paperloom.operators.fts_index import StoredIndex
 from paperloom.plans import ingest
 from paperloom.session import shared_folder, table
+from paperloom.sources import adapters
+from paperloom.sources.base import mime_of, role_of
 
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -157,10 +160,11 @@ def stored_hits_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages, chunks ----------------------------------------------------------------------------------------------
 
 
-def _pages(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
-    """Pages as first delivered; together: those of a document in one part, so its text needs no second shuffle."""
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as first delivered: the rows that count are picked by id, so no text is shuffled for it."""
     rows = table(spark, sf_dir, "document_pages").select("document_key", "page_number", "page_row_id", "text", "text_source").filter("document_key IS NOT NULL AND page_number > 0")
-    return pages.one_delivery(rows.repartition("document_key") if together else rows, ["document_key", "page_number"], "page_row_id")
+    first = rows.groupBy("document_key", "page_number").agg(F.min("page_row_id").alias("page_row_id")).select("page_row_id")
+    return rows.join(first, "page_row_id", "left_semi")
 
 
 _PAGES_SQL = "SELECT document_key, page_number, arg_min(page_row_id, page_row_id) AS page_row_id, first(text ORDER BY page_row_id) AS text, first(text_source ORDER BY page_row_id) AS text_source FROM document_pages WHERE document_key IS NOT NULL AND page_number > 0 GROUP BY 1, 2"
@@ -388,31 +392,101 @@ def fts_repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of all kinds as they would be after the first day: pages by row, of which the last delivery counts."""
     p = table(spark, sf_dir, "document_pages").filter("document_key IS NOT NULL AND page_number > 0 AND loaded_at <= created_at + INTERVAL 1 DAY")
-    last = p.repartition("document_key").groupBy("document_key", "page_number").agg(F.max_by(F.struct("text", "text_source"), "page_row_id").alias("_r")).select("document_key", "page_number", "_r.text", "_r.text_source")
+    last = p.join(p.groupBy("document_key", "page_number").agg(F.max("page_row_id").alias("page_row_id")).select("page_row_id"), "page_row_id", "left_semi").select("document_key", "page_number", "text", "text_source")
     name = F.when(F.col("kind") == "document_text", F.lit("document.txt")).otherwise(F.concat(F.col("page").cast("string"), F.lit(".txt")))
     return reconcile.expected_artifacts(last).select("document_key", "kind", name.alias("name"), F.lit(True).alias("is_file"), "sha256")
 
 
-def artifact_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of all kinds of text files: whole documents, pages, pages recognised locally."""
-    return reconcile.artifact_drift(reconcile.expected_artifacts(_pages(spark, sf_dir, together=True)), _files(spark, sf_dir))
-
-
 def artifact_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issues of page texts alone, as its SQL has them; artifact_drift_whole has all."""
-    expected = reconcile.expected_artifacts(_pages(spark, sf_dir, together=True)).filter("kind = 'page_text'")
-    return reconcile.artifact_drift(expected, _files(spark, sf_dir).filter("kind = 'page_text'"))
+    """Issues of all kinds of text files: whole documents, pages, pages recognised locally."""
+    return reconcile.artifact_drift(reconcile.expected_artifacts(_pages(spark, sf_dir)), _files(spark, sf_dir))
 
 
 def artifact_repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.artifact_repair_plan(artifact_drift_whole(spark, sf_dir))
+    return reconcile.artifact_repair_plan(artifact_drift_report(spark, sf_dir))
 
 
+_KINDS_SQL = """SELECT document_key, 'document_text' AS kind, NULL::INT AS page, sha256(string_agg('[page ' || page_number || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY page_number)) AS h FROM {0} GROUP BY 1
+UNION ALL SELECT document_key, 'page_text', page_number, sha256(coalesce(text, '')) FROM {0} UNION ALL SELECT document_key, 'ocr_page_text', page_number, sha256(coalesce(text, '')) FROM {0} WHERE text_source = 'local_ocr'"""
 _ARTIFACT_SQL = f"""
-WITH p AS ({_PAGES_SQL}), e AS (SELECT document_key, page_number AS page, sha256(coalesce(text, '')) AS h FROM p),
-f AS (SELECT document_key, page_number AS page, sha256(arg_max(coalesce(text, ''), page_row_id)) AS h FROM document_pages WHERE document_key IS NOT NULL AND page_number > 0 AND loaded_at <= created_at + INTERVAL 1 DAY GROUP BY 1, 2)
-SELECT coalesce(e.document_key, f.document_key) AS document_key, 'page_text' AS kind, coalesce(e.page, f.page) AS page, CASE WHEN f.h IS NULL THEN 'missing' ELSE 'stale' END AS issue, CASE WHEN f.h IS NULL THEN 'no file' ELSE 'other content' END AS detail
-FROM e LEFT JOIN f ON e.document_key = f.document_key AND e.page = f.page WHERE f.h IS DISTINCT FROM e.h"""
+WITH p AS ({_PAGES_SQL}), l AS (SELECT document_key, page_number, last(text ORDER BY page_row_id) AS text, last(text_source ORDER BY page_row_id) AS text_source FROM document_pages WHERE document_key IS NOT NULL AND page_number > 0 AND loaded_at <= created_at + INTERVAL 1 DAY GROUP BY 1, 2),
+e AS ({_KINDS_SQL.format('p')}), f AS ({_KINDS_SQL.format('l')})
+SELECT coalesce(e.document_key, f.document_key) AS document_key, coalesce(e.kind, f.kind) AS kind, coalesce(e.page, f.page) AS page, CASE WHEN f.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'orphaned' ELSE 'stale' END AS issue,
+CASE WHEN f.h IS NULL THEN 'no file' WHEN e.h IS NULL THEN 'unexpected entry ' || coalesce(f.page || '.txt', 'document.txt') ELSE 'other content' END AS detail
+FROM e FULL JOIN f ON e.document_key = f.document_key AND e.kind = f.kind AND e.page IS NOT DISTINCT FROM f.page WHERE f.h IS DISTINCT FROM e.h"""
+
+
+# --- rules of single sources over the records -------------------------------------------------------------------
+
+
+def source_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sources' own rules read from each record: agency, data set, part, accession numbers, role and type."""
+    r = table(spark, sf_dir, "source_records")
+    described = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    role = role_of(F.coalesce("document_url", F.lit("")), F.col("title"))
+    return r.select(
+        "record_seq", adapters.agency_of(described).alias("agency"), adapters.data_set_number(F.coalesce("source_id", F.lit("")), F.coalesce("title", F.lit(""))).alias("data_set"), adapters.part_number(F.coalesce("title", F.lit(""))).alias("part"),
+        F.array_join(adapters.accessions(F.concat_ws(" ", "source_id", "title", "description")), " ").alias("accessions"), role.alias("role"), mime_of(role).alias("mime_type"),
+    )
+
+
+_RULES_SQL = r"""
+WITH r AS (SELECT record_seq, source_id, coalesce(title, '') AS t, lower(coalesce(title, '') || ' ' || coalesce(description, '')) AS d, lower(split_part(split_part(coalesce(document_url, ''), '?', 1), '#', 1)) AS u, upper(concat_ws(' ', source_id, title, description)) AS a FROM source_records),
+k AS (SELECT *, CASE WHEN u LIKE '%.pdf' OR lower(t) LIKE '%.pdf' THEN 'pdf' WHEN u LIKE '%.txt' THEN 'ocr_text' WHEN regexp_matches(u, '[.]html?$') THEN 'html' WHEN regexp_matches(u, '[.](jpe?g|png|gif|tiff?|webp)$') THEN 'image' WHEN regexp_matches(u, '[.](vtt|srt)$') THEN 'transcript' ELSE 'other' END AS role FROM r)
+SELECT record_seq, CASE WHEN contains(d, 'department of homeland security') OR contains(d, 'kona blue') THEN 'Department of Homeland Security (DHS)' WHEN contains(d, 'national archives') OR contains(d, 'nara') THEN 'National Archives and Records Administration (NARA)'
+WHEN contains(d, 'nasa') THEN 'National Aeronautics and Space Administration (NASA)' WHEN contains(d, 'oak ridge') OR contains(d, 'ornl') THEN 'Oak Ridge National Laboratory (ORNL)' ELSE 'All-domain Anomaly Resolution Office (AARO)' END AS agency,
+coalesce(nullif(regexp_extract(coalesce(source_id, ''), '^.*?data-set-([0-9]*)', 1), ''), nullif(regexp_extract(lower(t), '^.*?data set ([0-9]*)', 1), '')) AS data_set,
+TRY_CAST(nullif(regexp_extract(lower(t), 'part[^0-9]*([0-9]+)', 1), '') AS INT) AS part,
+array_to_string(list_distinct_in_order, ' ') AS accessions, role, CASE role WHEN 'pdf' THEN 'application/pdf' WHEN 'ocr_text' THEN 'text/plain' WHEN 'html' THEN 'text/html' END AS mime_type
+FROM (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM (SELECT *, list_filter(regexp_split_to_array(a, '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, 'AD[A-Z0-9]{5,14}')) AS w FROM k))"""
+
+
+def asset_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of each record in each of the sources' orders."""
+    r = table(spark, sf_dir, "source_records")
+    parts = [ingest.ordered_assets(r, order).select(F.lit(order).alias("asset_order"), "record_seq", "position", "asset_url") for order in sorted(ingest.ROLE_ORDERS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _orders_sql() -> str:
+    parts = []
+    for order in sorted(ingest.ROLE_ORDERS):
+        ranks = ingest.ROLE_ORDERS[order]
+        rank = "CASE " + " ".join("WHEN true THEN " + str(i) if names == "*" else "WHEN role IN (" + ", ".join(f"'{n}'" for n in names.split(",")) + f") THEN {i}" for i, names in enumerate(ranks)) + f" ELSE {len(ranks)} END"
+        parts.append(f"SELECT '{order}' AS asset_order, record_seq, row_number() OVER (PARTITION BY record_seq ORDER BY {rank}, l, i) - 1 AS position, asset_url FROM f")
+    return "WITH a AS (SELECT record_seq, unnest(attachments) AS a, generate_subscripts(attachments, 1) AS i FROM source_records), n AS (SELECT record_seq, i, a.asset_url AS asset_url, a.role AS role, lower(coalesce(a.label, '')) AS l FROM a), f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY record_seq, asset_url ORDER BY i) = 1) " + " UNION ALL ".join(parts)
+
+
+# --- job changes ------------------------------------------------------------------------------------------------
+
+
+def job_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every job that worker-12 could claim by its key, as it would be claimed."""
+    j = jobs.first_deliveries(table(spark, sf_dir, "ingestion_jobs"))
+    out = jobs.claimed(j.filter(jobs.can_claim("worker-12", NOW)), "worker-12", "2016-01-01T00:05:00Z", NOW)
+    return out.select("job_id", "job_key", "status", "attempts", "lease_owner", "lease_expires_at", "error", "next_action", "progress")
+
+
+def job_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs under worker-12's lease at a later stage, and as they end each way."""
+    j = jobs.first_deliveries(table(spark, sf_dir, "ingestion_jobs"))
+    parts = [jobs.staged(j, "worker-12", "extracting_text", 0.6, NOW).withColumn("end", F.lit("staged"))]
+    parts += [jobs.finished(j, "worker-12", end, NOW, F.lit("why"), F.lit("do")).withColumn("end", F.lit(end)) for end in ("succeeded", "failed", "interrupted")]
+    return reduce(DataFrame.unionByName, [p.select("end", "job_id", "status", "stage", "progress", "lease_owner", "error", "next_action") for p in parts])
+
+
+_FIRST_JOBS = "SELECT * FROM ingestion_jobs QUALIFY row_number() OVER (PARTITION BY job_key ORDER BY job_id) = 1"
+_CLAIMS_SQL = f"""
+SELECT job_id, job_key, 'running' AS status, attempts + CASE WHEN status = 'running' AND lease_owner = 'worker-12' THEN 0 ELSE 1 END AS attempts, 'worker-12' AS lease_owner, '2016-01-01T00:05:00Z' AS lease_expires_at, NULL::VARCHAR AS error,
+'Claimed by worker-12 until 2016-01-01T00:05:00Z; ingestion execution may resume from stage.' AS next_action, progress
+FROM ({_FIRST_JOBS}) WHERE status IN ('queued', 'interrupted') OR (status = 'running' AND (lease_owner = 'worker-12' OR TRY_CAST(replace(replace(lease_expires_at, 'T', ' '), 'Z', '') AS TIMESTAMP) <= TIMESTAMP '2016-01-01 00:00:00'))"""
+_ENDS_SQL = f"""
+WITH j AS ({_FIRST_JOBS}), h AS (SELECT * FROM j WHERE status = 'running' AND lease_owner = 'worker-12')
+SELECT 'staged' AS "end", job_id, status, 'extracting_text' AS stage, greatest(progress, 0.6) AS progress, lease_owner, error, NULL::VARCHAR AS next_action FROM h
+UNION ALL SELECT 'succeeded', job_id, 'succeeded', 'succeeded', 1.0, NULL, NULL, 'Ingestion completed; local search index is ready.' FROM h UNION ALL SELECT 'succeeded', job_id, status, stage, progress, lease_owner, error, next_action FROM j WHERE status = 'succeeded'
+UNION ALL SELECT 'failed', job_id, 'failed', 'failed', progress, NULL, 'why', 'do' FROM h UNION ALL SELECT 'failed', job_id, status, stage, progress, lease_owner, error, next_action FROM j WHERE status = 'failed'
+UNION ALL SELECT 'interrupted', job_id, 'interrupted', stage, progress, NULL, 'why', 'do' FROM h UNION ALL SELECT 'interrupted', job_id, status, stage, progress, lease_owner, error, next_action FROM j WHERE status = 'interrupted'"""
+
 
 QUERIES = {
     **{name: _search(q, s) for name, (q, s) in SEARCHES.items()},
@@ -423,11 +497,14 @@ QUERIES = {
     "record_dedupe_first": record_dedupe_first, "record_upsert": record_upsert, "record_query_filter": record_query_filter, "asset_select": asset_select, "asset_priority_order": asset_priority_order, "ingest_plan": ingest_plan,
     "url_parts": url_parts, "url_absolutize": url_absolutize, "cache_key": cache_key, "slugs": slugs,
     "job_first_deliveries": job_first_deliveries, "job_claim_next": job_claim_next, "job_warning_dedupe": job_warning_dedupe, "job_rules": job_rules, "job_progress_monotonic": job_progress_monotonic, "job_states": job_states,
-    "fts_drift_report": fts_drift_report, "fts_repair_plan": fts_repair_plan, "fts_repair_apply": fts_repair_apply, "artifact_drift_report": artifact_drift_report, "artifact_drift_whole": artifact_drift_whole, "artifact_repair_plan": artifact_repair_plan,
+    "fts_drift_report": fts_drift_report, "fts_repair_plan": fts_repair_plan, "fts_repair_apply": fts_repair_apply, "artifact_drift_report": artifact_drift_report, "artifact_repair_plan": artifact_repair_plan,
+    "source_rules": source_rules, "asset_orders": asset_orders, "job_claims": job_claims, "job_ends": job_ends,
 }
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 SQL = {
+    "source_rules": _RULES_SQL, "asset_orders": _orders_sql(), "job_claims": _CLAIMS_SQL, "job_ends": _ENDS_SQL,
+    "artifact_repair_plan": f"SELECT document_key, kind, page, CASE WHEN issue = 'orphaned' THEN 'manual_review' ELSE 'write_from_canonical' END AS action, count(*) AS n_issues FROM ({_ARTIFACT_SQL}) GROUP BY 1, 2, 3, 4",
     **{name: _search_sql(q, s) for name, (q, s) in SEARCHES.items()},
     "term_stats": f"WITH ix AS ({_INDEX_SQL}), t AS (SELECT row_id, unnest(tt || bt) AS term FROM ix) SELECT term, count(DISTINCT row_id) AS n_rows, count(*) AS n_occurrences FROM t GROUP BY 1",
     "doc_lengths": f"SELECT row_id, len(tt) + len(bt) AS n_tokens FROM ({_INDEX_SQL})",
