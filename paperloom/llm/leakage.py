@@ -93,6 +93,33 @@ def simhashes(lanes: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(packed << shifts, axis=1)
 
 
+class RunPrints:
+    """SimHashes of all windows of a text's runs, for windows of any length (under 128 runs): the bits of the runs'
+    hashes are summed once, a lane of eight byte counters after the other."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.total = np.zeros((8, len(hashes) + 1), dtype=np.uint64)
+        for k in range(8):
+            np.cumsum(_SPREAD[((hashes >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)], out=self.total[k, 1:])
+
+    def __call__(self, width: int) -> np.ndarray:
+        n = self.total.shape[1] - width
+        out = np.zeros(max(0, n), dtype=np.uint64)
+        if n < 1:
+            return out
+        bits = np.empty(n, dtype=np.uint64)
+        for k in range(8):
+            np.subtract(self.total[k, width:], self.total[k, :n], out=bits)
+            bits += _ONES * np.uint64(128 - (width + 1) // 2)
+            bits &= _HIGH
+            bits >>= np.uint64(7)
+            bits *= _GATHER
+            bits >>= np.uint64(56)
+            bits <<= np.uint64(8 * k)
+            out |= bits
+        return out
+
+
 class BlockIndex:
     """Finds every stored fingerprint within `radius` of a given one by tables over radius + 1 blocks of bits."""
 
@@ -139,10 +166,6 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
-def spread_lanes(hashes: np.ndarray) -> np.ndarray:
-    return np.stack([_SPREAD[((hashes >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)] for k in range(8)], axis=1) if len(hashes) else np.zeros((0, 8), np.uint64)
-
-
 def window_lengths() -> list[int]:
     out = [RUN + 1]
     while out[-1] < TILE:
@@ -166,13 +189,33 @@ class NearIndex:
             width = int(lengths[np.searchsorted(lengths, each, "right") - 1])
             hashes = run_hashes(vocabulary.hashes[vocabulary.number(words)], RUN)
             for k in range(parts):
-                tiles[width].append((n, k * each, int(simhashes(spread_lanes(hashes[k * each:k * each + width - RUN + 1]), width - RUN + 1)[0])))
+                tiles[width].append((n, k * each, int(RunPrints(hashes[k * each:k * each + width - RUN + 1])(width - RUN + 1)[0])))
+        # Of each item its distinct shingles' hashes, sorted, with their letters.
+        self.shingles = [self.weighed(vocabulary, vocabulary.number(words)) for words in items]
         self.edges = np.linspace(0, 64, blocks + 1).astype(int)
         self.by_width = []
         for width, own in sorted(tiles.items()):
             prints = np.array([x[2] for x in own], dtype=np.uint64)
             self.by_width.append((width, own, prints, [self._near(prints, a, b, radius // blocks) for a, b in zip(self.edges, self.edges[1:])]))
 
+    @staticmethod
+    def weighed(vocabulary: Vocabulary, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = run_hashes(vocabulary.hashes[numbers], SHINGLE)
+        letters = np.concatenate([[0], np.cumsum(vocabulary.letters[numbers])])
+        keys, at = np.unique(keys, return_index=True)
+        return keys, (letters[SHINGLE:] - letters[:-SHINGLE])[at] if len(keys) else np.empty(0, np.int64)
+
+    def may_be_similar(self, item: int, keys: np.ndarray, weights: np.ndarray, least: float) -> bool:
+        """Whether the window of these shingles is similar enough by their hashes."""
+        own, own_weights = self.shingles[item]
+        if not len(own) or not len(keys):
+            return True  # too short for shingles: the words decide
+        keys, at = np.unique(keys, return_index=True)
+        weights = weights[at]
+        place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        common = int(weights[own[place] == keys].sum())
+        return common >= least * (int(weights.sum()) + int(own_weights.sum()) - common) * (1 - 1e-9)
+
     @staticmethod
     def _near(prints: np.ndarray, a: int, b: int, changed: int) -> np.ndarray:
         keys = np.unique((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1))
@@ -182,12 +225,12 @@ class NearIndex:
         present[keys.astype(np.int64)] = True
         return present
 
-    def search(self, lanes: np.ndarray, n_words: int) -> Iterator[tuple[np.ndarray, int, tuple[int, int, int]]]:
+    def search(self, runs: RunPrints, n_words: int) -> Iterator[tuple[np.ndarray, int, tuple[int, int, int]]]:
         """Positions of the windows within the radius of a tile, the window's words and the tile (item, offset, print)."""
         for width, own, prints, present in self.by_width:
             if n_words < width:
                 break
-            of = simhashes(lanes, width - RUN + 1)
+            of = runs(width - RUN + 1)
             may = np.zeros(len(of), dtype=bool)
             for (a, b), keys in zip(zip(self.edges, self.edges[1:]), present):
                 may |= keys[((of >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)]
@@ -326,12 +369,19 @@ def _matcher(block, key: int, width: int, radius: int | None, least: float):
                         x = best[ids[d], item]
                         x[0], x[1], x[2] = x[0] + 1, max(x[1], similarity), x[2] + exact
             if len(numbers) > RUN:
-                lanes = spread_lanes(run_hashes(vocabulary.hashes[numbers], RUN))
-                for at, long, (n, offset, _) in index.near.search(lanes, len(numbers)):
+                runs = RunPrints(run_hashes(vocabulary.hashes[numbers], RUN))
+                keys = run_hashes(vocabulary.hashes[numbers], SHINGLE)
+                letters = np.concatenate([[0], np.cumsum(vocabulary.letters[numbers])])
+                weights = letters[SHINGLE:] - letters[:-SHINGLE]
+                for at, long, (n, offset, _) in index.near.search(runs, len(numbers)):
                     item, words = items[n]
                     for i in at[owner[at] == owner[at + long - 1]].tolist():
                         d = owner[i]
-                        first = max(0, i - start[d] - offset)
+                        first = max(start[d], i - offset)
+                        last = max(first, min(first + len(words), start[d + 1]) - SHINGLE + 1)
+                        if not index.near.may_be_similar(n, keys[first:last], weights[first:last], least):
+                            continue
+                        first -= start[d]
                         similarity = shingle_similarity(tuple(docs[d][first:first + len(words)]), tuple(words))
                         if similarity >= least:
                             x = best[ids[d], item]
