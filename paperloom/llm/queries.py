@@ -158,21 +158,52 @@ s AS (SELECT source, count(DISTINCT document_key) AS src_docs FROM document_page
 k AS (SELECT source, form, count(DISTINCT document_key) AS n_docs FROM f GROUP BY 1, 2),
 c AS (SELECT source, form, n_docs, src_docs FROM k JOIN s USING (source) WHERE n_docs >= 3 AND n_docs >= 0.08 * src_docs)
 """
+_SIMILAR = r"""
+WITH RECURSIVE r AS (SELECT 'canonical_chunks' AS tbl, chunk_row_id AS id, document_key AS own, text FROM canonical_chunks WHERE text IS NOT NULL
+UNION ALL SELECT 'source_records', record_seq, id, coalesce(title, '') || ' ' || description FROM source_records WHERE description IS NOT NULL),
+w AS (SELECT tbl, id, own, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r),
+g AS (SELECT DISTINCT tbl, id, own, hash(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT tbl, id, own, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY 1, 2),
+"""
+_PAIRS = _SIMILAR + r"""
+c AS (SELECT x.tbl, x.id AS id_a, y.id AS id_b, count(*) AS c FROM g x JOIN g y ON x.tbl = y.tbl AND x.g = y.g AND x.id < y.id AND x.own <> y.own GROUP BY 1, 2, 3),
+p AS (SELECT c.tbl, id_a, id_b, c.c, a.n AS n_a, b.n AS n_b FROM c JOIN n a ON a.tbl = c.tbl AND a.id = id_a JOIN n b ON b.tbl = c.tbl AND b.id = id_b WHERE 2 * c.c >= a.n + b.n - c.c)
+"""
+_GROUPS = _SIMILAR + r"""
+t AS (SELECT tbl, text, min(id) AS class_id FROM r GROUP BY 1, 2), m AS (SELECT r.tbl, r.id AS row_id, class_id FROM r JOIN t ON r.tbl = t.tbl AND r.text = t.text),
+f AS (SELECT g.tbl, g.id, g.g FROM g JOIN t ON g.tbl = t.tbl AND g.id = t.class_id),
+c AS (SELECT x.tbl, x.id AS a, y.id AS b, count(*) AS c FROM f x JOIN f y ON x.tbl = y.tbl AND x.g = y.g AND x.id <> y.id GROUP BY 1, 2, 3),
+l AS (SELECT c.tbl, c.a, c.b FROM c JOIN n x ON x.tbl = c.tbl AND x.id = c.a JOIN n y ON y.tbl = c.tbl AND y.id = c.b WHERE 2 * c.c >= x.n + y.n - c.c),
+reach AS (SELECT tbl, class_id AS a, class_id AS b FROM t UNION SELECT reach.tbl, reach.a, l.b FROM reach JOIN l ON l.tbl = reach.tbl AND l.a = reach.b),
+k AS (SELECT tbl, a, min(b) AS group_id FROM reach GROUP BY 1, 2), d AS (SELECT tbl, a, count(*) AS n_links FROM l GROUP BY 1, 2)
+SELECT m.tbl, m.row_id, m.class_id, k.group_id, coalesce(d.n_links, 0) AS n_links FROM m JOIN k ON k.tbl = m.tbl AND k.a = m.class_id LEFT JOIN d ON d.tbl = m.tbl AND d.a = m.class_id"""
 SQL = {
     "p2_found": rf"""
 SELECT 'document_pages' AS tbl, page_row_id AS row_id FROM document_pages JOIN chunk_options USING (source) WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > target_tokens
 UNION ALL
 SELECT 'canonical_chunks', chunk_row_id FROM canonical_chunks JOIN chunk_options USING (source) WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > target_tokens""",
-    "p5_found": r"""
-WITH r AS (SELECT 'canonical_chunks' AS tbl, chunk_row_id AS id, document_key AS own, text FROM canonical_chunks WHERE text IS NOT NULL
-UNION ALL SELECT 'source_records', record_seq, id, coalesce(title, '') || ' ' || description FROM source_records WHERE description IS NOT NULL),
-w AS (SELECT tbl, id, own, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r),
-g AS (SELECT DISTINCT tbl, id, own, hash(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT tbl, id, own, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
-n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY 1, 2),
-c AS (SELECT x.tbl, x.id AS id_a, y.id AS id_b, count(*) AS c FROM g x JOIN g y ON x.tbl = y.tbl AND x.g = y.g AND x.id < y.id AND x.own <> y.own GROUP BY 1, 2, 3)
-SELECT c.tbl, id_a, id_b FROM c JOIN n a ON a.tbl = c.tbl AND a.id = id_a JOIN n b ON b.tbl = c.tbl AND b.id = id_b WHERE 2 * c >= a.n + b.n - c""",
+    "p5_found": _PAIRS + "SELECT tbl, id_a, id_b FROM p",
+    "p5_pairs": _PAIRS + "SELECT tbl, id_a, id_b, c::DOUBLE / (n_a + n_b - c) AS similarity FROM p",
+    "p5_groups": _GROUPS,
     "p6_found": _LINES + "SELECT page_row_id, line_no FROM f JOIN c USING (source, form)",
+    "p6_pages": _LINES + """, x AS (SELECT page_row_id, line_no FROM f JOIN c USING (source, form)),
+a AS (SELECT page_row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM document_pages WHERE text IS NOT NULL),
+kept AS (SELECT page_row_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM a ANTI JOIN x USING (page_row_id, line_no) GROUP BY 1), d AS (SELECT page_row_id, count(*) AS n FROM x GROUP BY 1)
+SELECT p.page_row_id, coalesce(d.n, 0)::INT AS n_removed, CASE WHEN p.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM document_pages p LEFT JOIN kept USING (page_row_id) LEFT JOIN d USING (page_row_id)""",
     "p6_lines": _LINES + "SELECT source, form AS line_form, n_docs, src_docs FROM c",
+    "p10_statistics": rf"""
+WITH stop AS (SELECT list(DISTINCT lower(word)) AS s FROM common_words WHERE word IS NOT NULL),
+t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w, list_filter(string_split(x, chr(10)), lambda y: trim(y) <> '') AS f, string_split(x, chr(10)) AS l FROM t),
+m AS (SELECT *, len(w) AS n, length(regexp_replace(x, '[{_WHITE}]+', '', 'g')) AS dense, length(regexp_replace(x, '[^\p{{L}}]+', '', 'g')) AS letters, length(array_to_string(w, '')) AS in_words FROM w)
+SELECT doc_id, n AS n_words, len(f) AS n_lines, CASE WHEN n > 0 THEN in_words / n ELSE 0.0 END::DOUBLE AS mean_word_length, CASE WHEN dense > 0 THEN greatest(dense - in_words, 0) / dense ELSE 0.0 END::DOUBLE AS symbol_share,
+least(CASE WHEN len(f) > 0 THEN len(regexp_extract_all(x, '(?m)[.!?:;…]["''”’»)\]]*[ \t]*$')) / len(f) ELSE 0.0 END::DOUBLE, 1.0) AS punctuated_share,
+CASE WHEN n > 0 THEN len(list_filter(w, lambda y: list_contains(s, y))) / n ELSE 0.0 END::DOUBLE AS common_share,
+least(CASE WHEN n > 0 THEN len(regexp_extract_all(x, '\p{{L}}*\p{{N}}[\p{{L}}\p{{N}}]*')) / n ELSE 0.0 END::DOUBLE, 1.0) AS digit_share,
+least(CASE WHEN n > 0 THEN len(list_distinct(w)) / sqrt(n::DOUBLE) ELSE 0.0 END::DOUBLE / 20, 1.0) AS distinct_share,
+CASE WHEN length(x) > 0 THEN coalesce(list_sum(list_transform(l, lambda y: CASE WHEN length(y) >= 50 THEN length(y) ELSE 0 END)), 0) / length(x) ELSE 0.0 END::DOUBLE AS long_line_share,
+CASE WHEN n > 0 THEN len(regexp_extract_all(x, '\p{{L}}[,;]? \p{{L}}')) / n ELSE 0.0 END::DOUBLE AS sentence_share, CASE WHEN dense > 0 THEN letters / greatest(dense, 1) ELSE 0.0 END::DOUBLE AS word_share
+FROM m, stop""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
