@@ -77,5 +77,14 @@ def one_delivery(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def one_row(pages: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+    """The first (or last) of rows with equal keys by `order`, which is unique. Only keys and `order` are shuffled to find
+    the others; these are few where deliveries are, so the rows themselves mostly stay where they are. Keys aren't null."""
+    ids = pages.select(*keys, F.col(order))
+    best = ids.groupBy(*keys).agg((F.max(order) if last else F.min(order)).alias("_best"))
+    others = ids.join(best, keys).filter(F.col(order) != F.col("_best")).select(order)
+    return pages.join(others, order, "left_anti")
+
+
 def is_blank(text: Column) -> Column:
     return trim_all(F.coalesce(text, F.lit(""))) == ""

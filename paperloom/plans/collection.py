@@ -161,10 +161,9 @@ def stored_hits_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as first delivered: the rows that count are picked by id, so no text is shuffled for it."""
+    """Pages as first delivered."""
     rows = table(spark, sf_dir, "document_pages").select("document_key", "page_number", "page_row_id", "text", "text_source").filter("document_key IS NOT NULL AND page_number > 0")
-    first = rows.groupBy("document_key", "page_number").agg(F.min("page_row_id").alias("page_row_id")).select("page_row_id")
-    return rows.join(first, "page_row_id", "left_semi")
+    return pages.one_row(rows, ["document_key", "page_number"], "page_row_id")
 
 
 _PAGES_SQL = "SELECT document_key, page_number, arg_min(page_row_id, page_row_id) AS page_row_id, first(text ORDER BY page_row_id) AS text, first(text_source ORDER BY page_row_id) AS text_source FROM document_pages WHERE document_key IS NOT NULL AND page_number > 0 GROUP BY 1, 2"
@@ -392,7 +391,7 @@ def fts_repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of all kinds as they would be after the first day: pages by row, of which the last delivery counts."""
     p = table(spark, sf_dir, "document_pages").filter("document_key IS NOT NULL AND page_number > 0 AND loaded_at <= created_at + INTERVAL 1 DAY")
-    last = p.join(p.groupBy("document_key", "page_number").agg(F.max("page_row_id").alias("page_row_id")).select("page_row_id"), "page_row_id", "left_semi").select("document_key", "page_number", "text", "text_source")
+    last = pages.one_row(p.select("document_key", "page_number", "page_row_id", "text", "text_source"), ["document_key", "page_number"], "page_row_id", last=True)
     name = F.when(F.col("kind") == "document_text", F.lit("document.txt")).otherwise(F.concat(F.col("page").cast("string"), F.lit(".txt")))
     return reconcile.expected_artifacts(last).select("document_key", "kind", name.alias("name"), F.lit(True).alias("is_file"), "sha256")
 
