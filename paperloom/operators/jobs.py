@@ -27,6 +27,12 @@ def enqueue(jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fresh, outbox
 
 
+def lease_end(now: Column, seconds: int = LEASE_SECONDS) -> Column:
+    """When a lease that begins now ends, as it is stored: ISO in UTC with milliseconds."""
+    at = (now + F.make_interval(secs=F.lit(seconds))).cast("timestamp")
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def first_deliveries(jobs: DataFrame) -> DataFrame:
     """One row per job_key, the one with the least job_id."""
     others = [c for c in jobs.columns if c != "job_key"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import page_text, trim_all, visible_chars
+from paperloom.session import shared
 
 FORM_FEED = "\f"
 #: Characters other than white space on an average non-blank page below which a text layer is thought poor.
@@ -77,13 +78,19 @@ def one_delivery(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+#: Rows of repeated deliveries whose ids are broadcast to leave them out, at most; beyond it they are joined.
+MAX_REPEATED = 1_000_000
+
+
 def one_row(pages: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
     """The first (or last) of rows with equal keys by `order`, which is unique. Only keys and `order` are shuffled to find
-    the others; these are few where deliveries are, so the rows themselves mostly stay where they are. Keys aren't null."""
+    the others; where these are few, as with repeated deliveries, the rows themselves stay where they are. Keys aren't
+    null."""
     ids = pages.select(*keys, F.col(order))
     best = ids.groupBy(*keys).agg((F.max(order) if last else F.min(order)).alias("_best"))
-    others = ids.join(best, keys).filter(F.col(order) != F.col("_best")).select(order)
-    return pages.join(others, order, "left_anti")
+    others = shared(ids.join(best, keys).filter(F.col(order) != F.col("_best")).select(order))
+    few = others.limit(MAX_REPEATED + 1).count() <= MAX_REPEATED
+    return pages.join(F.broadcast(others) if few else others, order, "left_anti")
 
 
 def is_blank(text: Column) -> Column:

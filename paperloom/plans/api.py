@@ -12,7 +12,8 @@ from paperloom.operators import jobs as jobs_
 from paperloom.operators import pages as pages_
 from paperloom.operators import reconcile, search
 from paperloom.operators.search import InvalidRequest
-from paperloom.operators.store import Conflict, SnapshotStore, upsert
+from paperloom.operators.store import Conflict, SnapshotStore
+from paperloom.plans.artifacts import TextFolder
 from paperloom.plans.ingest import full_text
 from paperloom.plans.policy import DirectPolicy
 from paperloom.sources import adapters, base, registry
@@ -31,7 +32,7 @@ class Library:
 
     def __init__(self, spark: SparkSession, store: SnapshotStore, listings: dict[str, DataFrame] | None = None, assets: DataFrame | None = None, trusted: tuple[str, ...] = ()) -> None:
         self.spark, self.store, self.listings, self.assets = spark, store, listings or {}, assets
-        self.queue, self.policy = jobs_.JobQueue(store), DirectPolicy(trusted)
+        self.queue, self.policy, self.texts = jobs_.JobQueue(store), DirectPolicy(trusted), TextFolder(spark, f"{store.root}/texts")
 
     # sources
 
@@ -174,8 +175,7 @@ class Library:
         pages = self.store.read("pages").filter(F.col("document_key") == key)
         if "text_source" not in pages.columns:
             pages = pages.withColumn("text_source", F.lit("embedded_pdf_text"))
-        files = self.store.read("artifacts") if self.store.has("artifacts") else self.spark.createDataFrame([], "document_key string, kind string, name string, is_file boolean, sha256 string")
-        return key, reconcile.expected_artifacts(pages), files.filter(F.col("document_key") == key)
+        return key, reconcile.expected_artifacts(pages), self.texts.files(key)
 
     def report_artifact_drift(self, document_id: str) -> DataFrame:
         _, expected, files = self._artifact_sides(document_id)
@@ -185,12 +185,26 @@ class Library:
         return reconcile.artifact_repair_plan(self.report_artifact_drift(document_id))
 
     def apply_artifact_repairs(self, document_id: str, confirmation: str) -> dict[str, int]:
-        """Writes what is missing or stale into the table of artefacts; unexpected entries stay for review."""
+        """Writes the text files that are missing or stale; unexpected entries stay for review, and a file that already
+        has its text isn't written."""
         reconcile.check_artifact_confirmation(document_id, confirmation)
         key, expected, files = self._artifact_sides(document_id)
-        plan = {r["action"]: r["n"] for r in reconcile.artifact_repair_plan(reconcile.artifact_drift(expected, files)).groupBy("action").agg(F.count("*").alias("n")).collect()}
-        name = F.when(F.col("page").isNull(), F.lit("document.txt")).otherwise(F.concat(F.col("page").cast("string"), F.lit(".txt")))
-        good = expected.select("document_key", "kind", name.alias("name"), F.lit(True).alias("is_file"), "sha256")
-        everything = self.store.read("artifacts") if self.store.has("artifacts") else files
-        self.store.commit({"artifacts": upsert(everything, good, ["document_key", "kind", "name"])})
-        return {"written": plan.get("write_from_canonical", 0), "for_review": plan.get("manual_review", 0)}
+        plan = reconcile.artifact_repair_plan(reconcile.artifact_drift(expected, files)).collect()  # one document's files
+        wanted = {(r["kind"], r["page"]) for r in plan if r["action"] == "write_from_canonical"}
+        done = {"written": 0, "current": 0, "for_review": sum(r["action"] == "manual_review" for r in plan)}
+        pages = self.store.read("pages").filter(F.col("document_key") == key).select("page_number", F.coalesce("text", F.lit("")).alias("text"))
+
+        def put(kind: str, page: int | None, text: str) -> None:
+            fresh = self.texts.write(key, kind, "document.txt" if page is None else f"{page}.txt", text)
+            done["written" if fresh else "current"] += 1
+
+        whole: list[str] = []
+        for r in pages.orderBy("page_number").toLocalIterator():
+            if (reconcile.ARTIFACTS[0], None) in wanted:
+                whole.append(f"[page {r['page_number']}]\n{r['text']}")
+            for kind in reconcile.ARTIFACTS[1:]:
+                if (kind, r["page_number"]) in wanted:
+                    put(kind, r["page_number"], r["text"])
+        if (reconcile.ARTIFACTS[0], None) in wanted:
+            put(reconcile.ARTIFACTS[0], None, "\n\n".join(whole))
+        return done

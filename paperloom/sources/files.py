@@ -23,6 +23,12 @@ def blobs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.filter(F.col("length") <= MAX_BYTES).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), "content")
 
 
+def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """path and text of whole files in UTF-8."""
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def blob_path(kind: Column, sha256: Column, extension: Column) -> Column:
     """Where a blob is kept under its content's hash."""
     return F.concat(F.lit("blobs/"), kind, F.lit("/sha256/"), sha256, F.lit("."), extension)
