@@ -245,6 +245,8 @@ class Lexicon:
 _CLEAN = 0
 STATES = ["clean", *(f"utf8>{r}" for r in UTF8_READ_AS), *(f"{w}>{r}" for w, r in SINGLE_BYTE), "lost"]
 _RUNS = re.compile(f"{LOST}+")
+#: Capitals beyond ASCII behind a small letter, which words don't have, and their price.
+_INNER_CAPITAL, _CAPITAL = re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-Þ]"), 10.0
 _ENTER, _TOKEN_PRICE, _SINGLE_PRICE, _UTF8_GAIN, _GAP_PRICE, _NEVER, _STRANGE = 5.0, 1.0, 3.0, 8.0, 6.0, 60.0, 20.0
 
 
@@ -272,7 +274,7 @@ class Restorer:
         scores: list[float] = [-_NEVER * 10] * len(STATES)
         texts: list[str | None] = [None] * len(STATES)
         texts[_CLEAN] = token
-        scores[_CLEAN] = lex.score(token) - _NEVER * (LOST in token) - 15.0 * len(_CONTROL.findall(token)) - _STRANGE * _strange(token)
+        scores[_CLEAN] = lex.score(token) - _NEVER * (LOST in token) - 15.0 * len(_CONTROL.findall(token)) - _STRANGE * _strange(token) - _CAPITAL * len(_INNER_CAPITAL.findall(token))
         for k, read in enumerate(UTF8_READ_AS, 1):
             found = byte_lattice(token, read)
             if found and found[0] != token:
@@ -295,8 +297,7 @@ class Restorer:
         if LOST in asked:
             # As many letters as signs, or one for the two bytes of a letter or the three of a sign.
             forms = dict.fromkeys([asked, *(_RUNS.sub(lambda m, k=k: LOST * -(-len(m.group()) // k), asked) for k in (2, 3) if LOST * k in asked)])
-            filled = [(t.count(LOST), n, t) for n, t in enumerate(map(lex.fill, forms))]
-            text = min(filled)[2]
+            text = min(map(lex.fill, forms), key=lambda t: (t.count(LOST), -lex.score(t)))
             if LOST in token or LOST not in text:
                 text = re.sub(rf"(?<=[^\W_]){LOST}(?=s\b)", "’", text)
                 text = re.sub(rf"\A{LOST}+\Z", "—", text)
