@@ -17,9 +17,9 @@ KEY_PATTERN = r"\A[A-Za-z0-9_-]{1,160}\z"
 def fnv64(text: Column) -> Column:
     """FNV-1a of the UTF-8 bytes as 16 lower-case hexadecimal digits.
 
-    A fold over the bytes with the state in two halves of 32 bits, so no product leaves 63 bits.
+    A fold over the bytes with the state in two halves of 32 bits, so no product leaves 63 bits. Null stays null.
     """
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(text) - 1, F.lit(0))), lambda i: F.substr(F.hex(F.encode(text, "UTF-8")), i * 2 + 1, F.lit(2)))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     digit = lambda p, k: F.position(F.substr(p, F.lit(k), F.lit(1)), F.lit("0123456789ABCDEF")) - 1
     state = F.struct(F.lit(_OFFSET >> 32).cast("long").alias("hi"), F.lit(_OFFSET & _MASK).cast("long").alias("lo"))
 
@@ -29,7 +29,7 @@ def fnv64(text: Column) -> Column:
         hi = (acc["hi"] * _PRIME_LOW + F.shiftright(low, 32) + lo * 256).bitwiseAND(F.lit(_MASK))
         return F.struct(hi.cast("long").alias("hi"), low.bitwiseAND(F.lit(_MASK)).cast("long").alias("lo"))
 
-    hexed = F.aggregate(F.filter(pairs, lambda p: p != ""), state, step, lambda acc: F.concat(F.lpad(F.hex(acc["hi"]), 8, "0"), F.lpad(F.hex(acc["lo"]), 8, "0")))
+    hexed = F.aggregate(pairs, state, step, lambda acc: F.concat(F.lpad(F.hex(acc["hi"]), 8, "0"), F.lpad(F.hex(acc["lo"]), 8, "0")))
     return F.lower(hexed)
 
 

@@ -99,7 +99,7 @@ FROM c, s WHERE {where} ORDER BY CAST({score} AS DOUBLE), document_key, chunk_id
 
 
 SEARCHES = {
-    "search_bm25": ("observatory", None), "search_and": ("quarterly OR observatory harvest", None), "search_or": ('glacier OR "key list"', None),
+    "search_bm25": ("observatory", None), "search_and_word": ("quarterly AND observatory", None), "search_and": ("quarterly OR observatory harvest", None), "search_or": ('glacier OR "key list"', None),
     "search_not": ("garrison NOT senate", None), "search_phrase": ('"in spite of the glacier"', None), "search_prefix": ("hydrogr*", None),
     "search_title_filter": ("title : memorandum", None), "search_source_filter": ("observatory", "cia"), "search_near": ("NEAR(treaty harbor, 5)", None),
     "search_empty": ("nosuchword", None), "search_repeated": ("glacier glacier", None), "search_accents": ("télégramme", None),
