@@ -99,7 +99,7 @@ FROM c, s WHERE {where} ORDER BY CAST({score} AS DOUBLE), document_key, chunk_id
 
 
 SEARCHES = {
-    "search_bm25": ("observatory", None), "search_and_word": ("quarterly AND observatory", None), "search_and": ("quarterly OR observatory harvest", None), "search_or": ('glacier OR "key list"', None),
+    "search_bm25": ("observatory", None), "search_and_word": ("treaty AND observatory", None), "search_and": ("quarterly OR observatory harvest", None), "search_or": ('glacier OR "key list"', None),
     "search_not": ("garrison NOT senate", None), "search_phrase": ('"in spite of the glacier"', None), "search_prefix": ("hydrogr*", None),
     "search_title_filter": ("title : memorandum", None), "search_source_filter": ("observatory", "cia"), "search_near": ("NEAR(treaty harbor, 5)", None),
     "search_empty": ("nosuchword", None), "search_repeated": ("glacier glacier", None), "search_accents": ("télégramme", None),
@@ -550,3 +550,11 @@ SELECT record_seq, row_number() OVER (PARTITION BY record_seq ORDER BY CASE a.ro
     "fts_repair_apply": _DRIFT_SQL + ", w AS (SELECT DISTINCT document_key, chunk_id FROM issues WHERE kind <> 'orphaned'), u AS (SELECT source, false AS fresh FROM i ANTI JOIN w USING (document_key, chunk_id) UNION ALL SELECT source, true FROM c SEMI JOIN w USING (document_key, chunk_id)) SELECT source, count(*) AS n_rows, count(*) FILTER (fresh) AS n_rewritten FROM u GROUP BY 1",
     "artifact_drift_report": _ARTIFACT_SQL,
 }
+
+_FIELD = """'"{0}":' || to_json(s.{0})::VARCHAR"""
+SQL["ingest_plan"] = f"""
+WITH s AS (SELECT record_seq, kind AS asset_kind, asset_url, text_source FROM ({SQL['asset_select']}))
+SELECT r.record_seq, document_key, source || ':' || source_id AS public_id, source, source_id, title, date, collection, record_group, description, origin_url, document_url, pdf_url,
+'{{"ingest_plan":{{' || array_to_string(list_filter([{', '.join(_FIELD.format(c) for c in ('asset_kind', 'asset_url', 'text_source'))}], lambda x: x IS NOT NULL AND NOT ends_with(x, ':null')), ',') || '}}' ||
+coalesce(',"source_metadata":{{' || array_to_string(list_transform(map_entries(metadata), lambda e: to_json(e.key)::VARCHAR || ':' || coalesce(to_json(e.value)::VARCHAR, 'null')), ',') || '}}', '') || '}}' AS metadata_json, citation_note, terms_note
+FROM source_records r JOIN s ON r.record_seq = s.record_seq"""
