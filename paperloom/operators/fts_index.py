@@ -15,15 +15,19 @@ import uuid
 from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import search as scan
 from paperloom.operators.search import COLUMNS, Phrase
+from paperloom.session import shared
 
 #: Occurrences of terms in one file of postings, and index rows in one file of rows, about.
 FILE_OCCURRENCES = 20_000_000
+LEAST_OCCURRENCES = 500_000
 FILE_ROWS = 200_000
 OWNER = "document_key"
 
@@ -33,20 +37,30 @@ def _positions(n_keys: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, terms, title, body = [], [], [], []
-            for i, (a, b) in enumerate(zip(batch.column(n_keys + 1).to_pylist(), batch.column(n_keys + 2).to_pylist())):
+            sides = []
+            for column in (batch.column(n_keys + 1), batch.column(n_keys + 2)):
+                sides.append((column.flatten().to_pylist(), [0, *np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)).tolist()]))
+            row, terms = [], []
+            at: tuple[list[int], list[int]] = ([], [])
+            ends: tuple[list[int], list[int]] = ([0], [0])
+            for i in range(batch.num_rows):
                 seen: dict[str, tuple[list[int], list[int]]] = {}
-                for side, tokens in enumerate((a, b)):
-                    for at, t in enumerate(tokens):
-                        seen.setdefault(t, ([], []))[side].append(at)
-                for t, (x, y) in seen.items():
+                for side, (tokens, edges) in enumerate(sides):
+                    first = edges[i]
+                    for k in range(first, edges[i + 1]):
+                        held = seen.get(tokens[k])
+                        if held is None:
+                            held = seen[tokens[k]] = ([], [])
+                        held[side].append(k - first)
+                for t, places in seen.items():
                     row.append(i)
                     terms.append(t)
-                    title.append(x)
-                    body.append(y)
+                    for side in (0, 1):
+                        at[side].extend(places[side])
+                        ends[side].append(len(at[side]))
             kept = batch.take(pa.array(row, pa.int64()))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *kept.columns[:n_keys + 1], pa.array(title, ints), pa.array(body, ints)], names=["term", *kept.schema.names[:n_keys + 1], "title", "body"])
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int32())) for x, e in zip(at, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *kept.columns[:n_keys + 1], *lists], names=["term", *kept.schema.names[:n_keys + 1], "title", "body"])
 
     return run
 
@@ -94,6 +108,9 @@ class StoredIndex:
         """A segment's name, rows and tokens."""
         name = f"s{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         at = f"{self.root}/{name}"
+        tasks = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < tasks:  # one file of a small table isn't one task's work
+            rows = rows.repartition(tasks)
         numbered = scan.build_index(rows).withColumn("rid", F.monotonically_increasing_id())
         numbered.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{at}/rows")
         stored = self.spark.read.parquet(f"{at}/rows")
@@ -102,7 +119,8 @@ class StoredIndex:
         types = dict(stored.dtypes)
         schema = ", ".join(["term string", *(f"`{c}` {types[c]}" for c in kept), "n_tokens int", "title array<int>", "body array<int>"])
         made = stored.select(*kept, "n_tokens", "title_tokens", "body_tokens").mapInArrow(_positions(len(kept)), schema)
-        files = int(max(1, -(-(tokens or 0) // FILE_OCCURRENCES)))
+        files = int(max(1, -(-(tokens or 0) // FILE_OCCURRENCES), min(tasks, (tokens or 0) // LEAST_OCCURRENCES)))
+        made = shared(made)  # ranges are found by a pass of their own
         made.repartitionByRange(files, "term", "rid").sortWithinPartitions("term", "rid").write.option("parquet.block.size", str(16 << 20)).parquet(f"{at}/postings")
         terms = self.spark.read.parquet(f"{at}/postings").groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"))
         terms.coalesce(1).write.parquet(f"{at}/files")

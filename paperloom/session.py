@@ -48,7 +48,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
     ship_package(spark.sparkContext)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Bytes of a table in few files from which its rows are spread over the cores, and bytes a core up to which they are.
+SPREAD_FROM, SPREAD_TO = 2 << 20, 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, spread over all cores if it's a small table in so few files that most cores would stay idle: a file's row
+    group is one task's work. Larger tables and those in enough files are left as they are, without a shuffle."""
+    sc = df.sparkSession.sparkContext
+    files = df.inputFiles()
+    if not files or len(files) > sc.defaultParallelism // 4:
+        return df
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    size = sum(path(f).getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(sc.defaultParallelism) if SPREAD_FROM <= size <= SPREAD_TO * sc.defaultParallelism else df
 
 
 def shared_folder(spark: SparkSession) -> str:
