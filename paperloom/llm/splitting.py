@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeated_lines import PY_SPACE, SPACE
+from paperloom.llm.repeated_lines import PY_SPACE
 
+#: White space to str.split, not to Unicode.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 _TOKEN = re.compile(PY_SPACE.replace("[", "[^", 1) + "+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\Z")
 _CLAUSE = re.compile(r"[,;:—–][\"'”’»)\]]*\Z")
@@ -74,11 +76,20 @@ def pieces_of(text: str, target: int, overlap: int) -> list[tuple[int, int, int,
     return out
 
 
+def has_more_tokens(text: str, n: int) -> bool:
+    """Whether the text has more than n tokens."""
+    if SEPARATORS.search(text):
+        return sum(1 for _ in _TOKEN.finditer(text)) > n
+    return len(text.split()) > n
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("overlap", pa.int32()), ("page_start", pa.int64()), ("page_end", pa.int64()), ("text", pa.string())])
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
+        target, texts = batch.column("target").to_pylist(), batch.column("text").to_pylist()
+        big = [i for i, (n, text) in enumerate(zip(target, texts)) if has_more_tokens(text, max(1, n))]
+        for r in batch.take(pa.array(big, pa.int64())).to_pylist():
             found = pieces_of(r["text"], r["target"], r["overlap"])
             rows += [
                 {"tbl": r["tbl"], "row_id": r["row_id"], "piece_no": i + 1, "n_pieces": len(found), "token_start": a, "token_end": b, "overlap": back, "page_start": r["page_start"], "page_end": r["page_end"], "text": t}
@@ -98,6 +109,7 @@ def split_oversized(df: DataFrame, tbl: str, id_col: str, options: DataFrame, pa
     """
     limits = options.groupBy(F.col("source").cast("string").alias("_src")).agg(F.min("target_tokens").cast("int").alias("target"), F.coalesce(F.min("overlap_tokens"), F.lit(0)).cast("int").alias("overlap"))
     rows = df.select(F.lit(tbl).alias("tbl"), F.col(id_col).cast("long").alias("row_id"), F.col("source").cast("string").alias("_src"), F.col(page_start).cast("long").alias("page_start"), F.col(page_end).cast("long").alias("page_end"), F.col(text_col).alias("text"))
-    # A row with n tokens has at least 2n - 1 characters, so most rows need no counting.
-    big = rows.join(limits, "_src").filter((F.length("text") >= 2 * F.col("target")) & (F.regexp_count("text", F.lit(SPACE.replace("[", "[^", 1) + "+")) > F.greatest(F.col("target"), F.lit(1))))
+    # A row with n tokens has at least 2n - 1 characters, so most rows need no counting; the others are counted in Arrow
+    # batches.
+    big = rows.join(limits, "_src").filter(F.length("text") >= 2 * F.col("target"))
     return big.select("tbl", "row_id", "page_start", "page_end", "target", "overlap", "text").mapInArrow(_split, PIECES)
