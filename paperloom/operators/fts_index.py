@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.operators import search as scan
 from paperloom.operators.search import COLUMNS, Phrase
@@ -104,8 +105,8 @@ class StoredIndex:
         if fs.exists(final) or not fs.rename(staged, final):
             raise OSError(f"another writer has published {final}")
 
-    def _write(self, rows: DataFrame) -> tuple[str, int, int]:
-        """A segment's name, rows and tokens."""
+    def _write(self, rows: DataFrame) -> tuple[dict, int, int]:
+        """A segment, its rows and tokens."""
         name = f"s{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         at = f"{self.root}/{name}"
         tasks = self.spark.sparkContext.defaultParallelism
@@ -124,13 +125,13 @@ class StoredIndex:
         made.repartitionByRange(files, "term", "rid").sortWithinPartitions("term", "rid").write.option("parquet.block.size", str(16 << 20)).parquet(f"{at}/postings")
         terms = self.spark.read.parquet(f"{at}/postings").groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"))
         terms.coalesce(1).write.parquet(f"{at}/files")
-        return name, n, tokens or 0
+        return {"name": name, "gone": False, "schema": json.loads(made.schema.json())}, n, tokens or 0
 
     def build(self, rows: DataFrame, more: dict | None = None) -> None:
         """The index has these rows and no others. `more` is kept in the manifest."""
         old = self.manifest()
-        name, n, tokens = self._write(rows)
-        self._publish({"number": old["number"], "segments": [{"name": name, "gone": False}], "n_rows": n, "n_tokens": tokens} | (more or {}))
+        segment, n, tokens = self._write(rows)
+        self._publish({"number": old["number"], "segments": [segment], "n_rows": n, "n_tokens": tokens} | (more or {}))
 
     def replace(self, rows: DataFrame, owners: DataFrame, more: dict | None = None) -> None:
         """`rows` take the place of all rows of the given documents (document_key); documents without new rows end up
@@ -138,10 +139,10 @@ class StoredIndex:
         old = self.manifest()
         keys = owners.select(OWNER).distinct()
         dead = self.rows(old, [OWNER, "n_tokens"]).join(keys, OWNER, "left_semi").agg(F.count("*"), F.sum("n_tokens")).first() if old["segments"] else (0, 0)
-        name, n, tokens = self._write(rows)
-        keys.write.parquet(f"{self.root}/{name}/gone")
+        segment, n, tokens = self._write(rows)
+        keys.write.parquet(f"{self.root}/{segment['name']}/gone")
         self._publish({
-            "number": old["number"], "segments": [*old["segments"], {"name": name, "gone": True}],
+            "number": old["number"], "segments": [*old["segments"], segment | {"gone": True}],
             "n_rows": old["n_rows"] - dead[0] + n, "n_tokens": old["n_tokens"] - (dead[1] or 0) + tokens,
         } | (more or {}))
 
@@ -185,10 +186,9 @@ class StoredIndex:
             may = [(F.col("first") <= w) & (F.col("last") >= w) for w in sorted(exact)] + [(F.substring("first", 1, len(p)) <= p) & (F.col("last") >= p) for p in sorted(prefixes or ())]
             files = [f for (f,) in self.spark.read.schema("file string, first string, last string").parquet(f"{at}/files").filter(reduce(lambda a, b: a | b, may, F.lit(False))).select("file").collect()]
             if files:
-                known = self.spark.read.parquet(files[0]).schema
                 terms = [F.col("term").isin(*sorted(exact))] if exact else []
                 terms += [F.col("term").startswith(p) for p in sorted(prefixes or ())]
-                parts.append(self.spark.read.schema(known).parquet(*files).filter(reduce(lambda a, b: a | b, terms)).withColumn("seg", F.lit(i)))
+                parts.append(self.spark.read.schema(StructType.fromJson(s["schema"])).parquet(*files).filter(reduce(lambda a, b: a | b, terms)).withColumn("seg", F.lit(i)))
         if not parts:
             return None
         return self._living(reduce(DataFrame.unionByName, parts), manifest)

@@ -332,6 +332,9 @@ def ranked(rows: DataFrame, match: Match, phrases: list[Phrase], source: str | N
     wanted = [F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))]
     found = rows.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *wanted).first()
     total, mean = corpus if corpus is not None else (found["_n"], found["_avg"])
+    gone = ["title_tokens", "body_tokens", "n_tokens", *[c for c in rows.columns if re.fullmatch(r"_f\d+|_s\d+_\w+", c)]]
+    if corpus is not None and not any(found[f"_n{i}"] for i in range(len(phrases))):
+        return rows.limit(0).withColumn("score", F.lit(0.0)).drop(*gone)
     by_phrase = {p: F.col(f"_f{i}") for i, p in enumerate(phrases)}
     score = F.lit(0.0)
     for p, alternatives in match.scored():
@@ -344,7 +347,6 @@ def ranked(rows: DataFrame, match: Match, phrases: list[Phrase], source: str | N
     hits = rows.filter(_matches(match, by_phrase, starts))
     if source is not None:
         hits = hits.filter(F.col("source") == source)
-    gone = ["title_tokens", "body_tokens", "n_tokens", *[c for c in rows.columns if re.fullmatch(r"_f\d+|_s\d+_\w+", c)]]
     return hits.withColumn("score", score).drop(*gone).orderBy("score", *tie).limit(max(1, min(100, limit)))
 
 
