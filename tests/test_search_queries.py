@@ -17,6 +17,7 @@ MOST_BYTES = 32 << 20
 NAMES = [
     "doc_lengths",
     "eval_report",
+    "postings",
 ]
 
 
