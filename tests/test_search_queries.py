@@ -18,6 +18,7 @@ NAMES = [
     "doc_lengths",
     "eval_report",
     "postings",
+    "term_stats",
 ]
 
 
