@@ -16,6 +16,7 @@ WORDS = "observatory treaty quarterly harvest glacier key list garrison senate h
 MOST_BYTES = 32 << 20
 NAMES = [
     "doc_lengths",
+    "search_bm25",
     "eval_report",
     "postings",
     "term_stats",
