@@ -19,6 +19,7 @@ NAMES = [
     "search_bm25",
     "eval_report",
     "postings",
+    "search_snippets",
     "term_stats",
 ]
 
