@@ -21,6 +21,7 @@ NAMES = [
     "postings",
     "search_snippets",
     "term_stats",
+    "search_accents",
 ]
 
 
