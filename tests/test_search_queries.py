@@ -22,6 +22,7 @@ NAMES = [
     "search_snippets",
     "term_stats",
     "search_accents",
+    "search_not",
 ]
 
 
