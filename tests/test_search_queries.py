@@ -23,6 +23,7 @@ NAMES = [
     "term_stats",
     "search_accents",
     "search_not",
+    "search_prefix",
 ]
 
 
