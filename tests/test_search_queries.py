@@ -24,6 +24,7 @@ NAMES = [
     "search_accents",
     "search_not",
     "search_prefix",
+    "search_source_filter",
 ]
 
 
