@@ -25,6 +25,7 @@ NAMES = [
     "search_not",
     "search_prefix",
     "search_source_filter",
+    "search_and",
 ]
 
 
