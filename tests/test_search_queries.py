@@ -26,6 +26,7 @@ NAMES = [
     "search_prefix",
     "search_source_filter",
     "search_and",
+    "search_empty",
 ]
 
 
