@@ -27,6 +27,7 @@ NAMES = [
     "search_source_filter",
     "search_and",
     "search_empty",
+    "search_or",
 ]
 
 
