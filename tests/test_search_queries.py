@@ -28,6 +28,7 @@ NAMES = [
     "search_and",
     "search_empty",
     "search_or",
+    "search_repeated",
 ]
 
 
