@@ -29,6 +29,7 @@ NAMES = [
     "search_empty",
     "search_or",
     "search_repeated",
+    "search_title_filter",
 ]
 
 
