@@ -30,6 +30,7 @@ NAMES = [
     "search_or",
     "search_repeated",
     "search_title_filter",
+    "search_and_word",
 ]
 
 
