@@ -31,6 +31,7 @@ NAMES = [
     "search_repeated",
     "search_title_filter",
     "search_and_word",
+    "search_near",
 ]
 
 
