@@ -32,6 +32,7 @@ NAMES = [
     "search_title_filter",
     "search_and_word",
     "search_near",
+    "search_phrase",
 ]
 
 
